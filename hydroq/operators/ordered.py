@@ -58,7 +58,8 @@ def distribution(df, keys, value, block=None):
     """Distinct values of each key with their frequency and position.
 
     Columns: keys, value, ``n`` (rows with this value), ``before`` (rows with a smaller value),
-    ``rank`` (distinct smaller values) and ``total`` (rows of the key). Null values are left out.
+    ``rank`` (distinct smaller values), ``total`` (rows of the key) and ``distinct`` (its values).
+    Null values are left out.
     """
     counts = (
         df.where(col(value).isNotNull())
@@ -67,14 +68,14 @@ def distribution(df, keys, value, block=None):
         .withColumn("_one", F.lit(1).cast("long"))
     )
     placed = running_totals(counts, keys, value, {"n": "before", "_one": "rank"}, block if block is not None else value_block(value))
-    return placed.withColumnRenamed("before_all", "total").drop("_one", "rank_all")
+    return placed.withColumnsRenamed({"before_all": "total", "rank_all": "distinct"}).drop("_one")
 
 
 def quantile_columns(value, probs):
-    """Aggregates over a ``distribution`` frame: {name: probability} with linear interpolation."""
+    """Aggregates over a ``distribution`` frame: {name: probability or column} with linear interpolation."""
     out = []
     for name, p in probs.items():
-        spot = (F.col("total") - 1) * F.lit(float(p))
+        spot = (F.col("total") - 1) * (F.lit(float(p)) if isinstance(p, (int, float)) else p)
         low, high = F.floor(spot), F.ceil(spot)
 
         def at(i):

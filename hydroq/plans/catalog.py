@@ -26,7 +26,7 @@ def with_views(body):
     return f"WITH obs AS (\n{test_tables.observations_sql()}\n)\n{body}"
 
 
-def query(name, sql=None, rounding=None, digits=6, raw_sql=False):
+def query(name, sql=None, rounding=None, digits=7, raw_sql=False):
     """Register ``build(spark, sf_dir)`` under ``name``; ``rounding`` lists double columns to round."""
     rounding = {c: digits for c in rounding.split()} if isinstance(rounding, str) else (rounding or {})
 
@@ -46,3 +46,7 @@ def query(name, sql=None, rounding=None, digits=6, raw_sql=False):
 
 
 obs = test_tables.observations
+
+
+def records(name="records"):
+    return F.count(F.lit(1)).alias(name)

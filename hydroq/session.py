@@ -19,6 +19,7 @@ def local_session(cpus="8", shuffle_partitions=None, app="hydroq"):
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("HYDROQ_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", shuffle_partitions or cpus)
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="hydroq-ckpt-"))

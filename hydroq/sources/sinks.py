@@ -1,17 +1,10 @@
 """Writers. All of them write in parallel, one file per task."""
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
-
-def scratch_dir(spark, name):
-    """A fresh folder below the shared folder the session names in spark.checkpoint.dir."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir is not set; name a folder all executors can reach")
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+from hydroq.sources.staging import scratch_dir  # noqa: F401
 
 
 def write_csv(df, path):

@@ -158,9 +158,9 @@ def basin_aggregates(df):
 
 
 def basin_slopes(aggregates):
-    """Slope of the yearly basin medians."""
+    """Slope of the yearly basin medians of at least two years."""
     x = F.col("Year").cast("double")
-    out = aggregates.groupBy("RiverBasinCode", "VmvCode").agg(F.count(F.lit(1)).alias("years"), F.regr_slope("median", x).alias("slope"))
+    out = aggregates.groupBy("RiverBasinCode", "VmvCode").agg(F.count(F.lit(1)).alias("years"), F.regr_slope("median", x).alias("slope")).where("years >= 2")
     return out.withColumn("direction", F.when(F.col("slope") > 0, "increasing").when(F.col("slope") < 0, "decreasing").otherwise("stable"))
 
 
@@ -337,6 +337,17 @@ def code_trend(df):
     )
 
 
+def flag_rate_by_tier(df, wide=12, years=4):
+    """Flag share per station tier: 1 with many variables in enough years, else 2."""
+    per = df.where(col("StationNumber").isNotNull()).groupBy("StationNumber").agg(
+        F.countDistinct("VariableName").alias("v"), F.countDistinct(F.year(TS)).alias("y"),
+        F.count(F.lit(1)).alias("n"), F.count_if(~is_blank("MeasurementQualifier")).alias("f"),
+    )
+    tier = F.when((F.col("v") >= wide) & (F.col("y") >= years), 1).otherwise(2)
+    out = per.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("stations"), F.sum("n").alias("records"), F.sum("f").alias("flagged"))
+    return out.withColumn("flagged_pct", percent("flagged", "records"))
+
+
 def station_ranking(df):
     """Score, flag share, variables, span, tier and rank per station.
 

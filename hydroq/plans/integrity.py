@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from hydroq.operators import filters, integrity, ordered, quality, temporal
+from hydroq.functions import labels as L
+from hydroq.operators import integrity, ordered, quality, temporal
 from hydroq.plans.catalog import obs, query, records
 
 _Q = "MeasurementQualifier"
@@ -187,6 +188,17 @@ def _(spark, sf):
     return temporal.coverage_by_station(obs(spark, sf, *_TEMPORAL), compat=True)
 
 
+@query(
+    "b25_frequency_class",
+    _GAPS + """SELECT frequency, count(*) AS stations FROM (SELECT StationNumber, CASE WHEN avg(gap) < 10 THEN 'Weekly or more' WHEN avg(gap) < 35 THEN 'Monthly' WHEN avg(gap) < 100 THEN 'Quarterly' ELSE 'Annual or less' END AS frequency
+    FROM g GROUP BY 1) GROUP BY 1""",
+)
+def _(spark, sf):
+    gaps = temporal.gaps(obs(spark, sf, "StationNumber", "SampleDateTime", "row_key"))
+    per = gaps.groupBy("StationNumber").agg(F.avg("gap_days").alias("avg_gap"))
+    return per.groupBy(L.frequency_class("avg_gap").alias("frequency")).agg(records("stations"))
+
+
 @query(
     "f37_seasonal_sampling",
     """SELECT quarter(SampleDateTime)::INT AS "Quarter", count(*) AS "SampleCount", ['Q1 (Jan-Mar)','Q2 (Apr-Jun)','Q3 (Jul-Sep)','Q4 (Oct-Dec)'][quarter(SampleDateTime)] AS "QuarterName",

@@ -5,10 +5,9 @@ import os
 from pyspark.sql import functions as F
 
 from hydroq import schema as S
-from hydroq.functions import labels as L
 from hydroq.operators import filters
 from hydroq.plans.catalog import obs, query
-from hydroq.sources import loader, sinks, test_tables
+from hydroq.sources import loader, sinks
 
 
 def _csv_copy(spark, sf_dir):
@@ -38,6 +37,12 @@ def _(spark, sf):
     )
 
 
+@query("a05_source_fallback", "SELECT count(*) AS records FROM nation", raw_sql=True)
+def _(spark, sf):
+    found = loader.first_existing(spark, [os.path.join(sf, "absent.parquet"), os.path.join(sf, "nation.parquet"), os.path.join(sf, "region.parquet")])
+    return spark.read.parquet(found).agg(F.count(F.lit(1)).alias("records"))
+
+
 @query("a02_parts_union", "SELECT VmvCode, count(*) AS records FROM obs GROUP BY 1")
 def _(spark, sf):
     path = _csv_copy(spark, sf)

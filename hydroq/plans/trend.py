@@ -165,7 +165,7 @@ def _(spark, sf):
 
 @query(
     "j20_basin_slopes",
-    f"""SELECT *, CASE WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'stable' END AS direction FROM (SELECT RiverBasinCode, VmvCode, count(*) AS years, regr_slope(median, "Year") AS slope FROM {_BASIN} GROUP BY 1,2)""",
+    f"""SELECT *, CASE WHEN slope > 0 THEN 'increasing' WHEN slope < 0 THEN 'decreasing' ELSE 'stable' END AS direction FROM (SELECT RiverBasinCode, VmvCode, count(*) AS years, regr_slope(median, "Year") AS slope FROM {_BASIN} GROUP BY 1,2 HAVING count(*) >= 2)""",
     "slope",
 )
 def _(spark, sf):
@@ -385,6 +385,16 @@ _codes_by("j29_codes_by_year", "year", "year(SampleDateTime)::INT", lambda: F.ye
 _codes_by("j29_codes_by_quarter", "quarter", "quarter(SampleDateTime)::INT", lambda: F.quarter("SampleDateTime"))
 
 
+@query(
+    "j29_flag_rate_by_tier",
+    f"""SELECT CASE WHEN v >= 90 AND y >= 4 THEN 1 ELSE 2 END::INT AS tier, count(*) AS stations, sum(n)::BIGINT AS records, sum(f)::BIGINT AS flagged, 100.0*sum(f)/sum(n) AS flagged_pct FROM
+    (SELECT StationNumber, count(DISTINCT VariableName) v, count(DISTINCT year(SampleDateTime)) y, count(*) n, count(*) FILTER (NOT {_BLANK}) f FROM obs GROUP BY 1) GROUP BY 1""",
+    "flagged_pct",
+)
+def _(spark, sf):
+    return trend.flag_rate_by_tier(obs(spark, sf, "StationNumber", "VariableName", "SampleDateTime", _Q), 90)
+
+
 @query(
     "j31_station_ranking",
     f"""WITH s AS (SELECT StationNumber, arg_min(Station,row_key) AS Station, arg_min(LatitudeDecimalDegrees,row_key) AS "Latitude", arg_min(LongitudeDecimalDegrees,row_key) AS "Longitude", {_CLEAN} AS quality_score,

@@ -1,12 +1,13 @@
 """The eleven-rule row audit and its reports."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hydroq import schema as S
 from hydroq.functions import labels as L
-from hydroq.functions.values import any_of, col, contains_text, is_blank, percent, percent_or_zero, true_or_false
+from hydroq.functions.values import col, contains_text, is_blank, percent, percent_or_zero, true_or_false
 from hydroq.operators import integrity, ordered, temporal
-from hydroq.sources.staging import stage
+from hydroq.sources.staging import stage_all
 
 TS = "SampleDateTime"
 V = "MeasurementValueNum"
@@ -27,12 +28,16 @@ def flag_without_qualifier(flag="S"):
 
 
 def out_of_range(bounds=S.AUDIT_BOUNDS):
-    """Outside the bounds of a rule whose name matches exactly or is contained."""
-    rules = []
-    for name, exact, low, high in bounds:
-        match = true_or_false(col("VariableName") == name) if exact else contains_text("VariableName", name)
-        rules.append(match & ((col(V) < low) | (col(V) > high)))
-    return true_or_false(any_of(rules))
+    """Outside the bounds of any rule whose name matches exactly or is contained.
+
+    Breaking one of several bounds means lying under the largest minimum or over the smallest maximum.
+    """
+    def match(name, exact):
+        return true_or_false(col("VariableName") == name) if exact else contains_text("VariableName", name)
+
+    low = F.greatest(*[F.when(match(n, exact), F.lit(lo)) for n, exact, lo, _ in bounds], F.lit(None).cast("double"))
+    high = F.least(*[F.when(match(n, exact), F.lit(hi)) for n, exact, _, hi in bounds], F.lit(None).cast("double"))
+    return true_or_false(~col(V).between(low, high))
 
 
 def cold_summer(limit=5.0):
@@ -99,9 +104,12 @@ def with_issues(df):
 
     One window pass by arrival order (T2); the group findings are staged, small tables joined on.
     """
-    codes = stage(codes_with_several_units(df).withColumn("s1", F.lit(True)), "audit-codes")
-    samples = stage(incomplete_samples(df).withColumn("c1", F.lit(True)), "audit-samples")
-    found = stage(station_findings(df), "audit-stations")
+    staged = stage_all({
+        "codes": codes_with_several_units(df).withColumn("s1", F.lit(True)),
+        "samples": incomplete_samples(df).withColumn("c1", F.lit(True)),
+        "stations": station_findings(df),
+    })
+    codes, samples, found = staged["codes"], staged["samples"], staged["stations"]
     placed = temporal.with_arrival_previous(df.withColumn("_p", F.coalesce("ProjectNumber", F.lit(""))), ["_p"])
     rows = placed.join(codes, "VmvCode", "left").join(samples, "SampleNumber", "left").join(found, "StationNumber", "left")
     broken = {
@@ -205,8 +213,6 @@ def samples_with_lab_issue(df):
 
 def lab_stability(df, jump=5.0):
     """L3: out-of-range and flag rate per laboratory and year, and the change to the year before."""
-    from pyspark.sql import Window
-
     yearly = df.where(col("LabCode").isNotNull()).groupBy("LabCode", F.year(TS).alias("Year")).agg(
         F.count(F.lit(1)).alias("records"),
         F.count_if(out_of_range()).alias("out_of_range"),

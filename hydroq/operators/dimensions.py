@@ -3,13 +3,15 @@
 from pyspark.sql import functions as F
 
 from hydroq.functions import labels as L
-from hydroq.functions.values import col, first_row, first_value
+from hydroq.functions.values import col
+from hydroq.operators import ordered
 
 
 def variable_map(df):
     """VmvCode and the VariableName of its first row (the code as text where no name column exists)."""
-    name = first_row("VariableName") if "VariableName" in df.columns else F.first(col("VmvCode").cast("string"))
-    return df.groupBy("VmvCode").agg(name.alias("VariableName"))
+    if "VariableName" not in df.columns:
+        return df.select("VmvCode").distinct().withColumn("VariableName", col("VmvCode").cast("string"))
+    return ordered.group_with_first(df, ["VmvCode"], ["VariableName"], row=True)
 
 
 def variable_labels(df):
@@ -19,17 +21,13 @@ def variable_labels(df):
 
 def variable_keys(df):
     """VmvCode with 'Name (Vmv-VarCode)' from its first row."""
-    first = df.groupBy("VmvCode").agg(F.min_by(F.struct("VariableCode", "VariableName"), col("row_key")).alias("f"))
-    return first.select("VmvCode", L.variable_key_label("VmvCode", "f.VariableCode", "f.VariableName").alias("variable_label"))
+    first = ordered.group_with_first(df, ["VmvCode"], ["VariableCode", "VariableName"], row=True)
+    return first.select("VmvCode", L.variable_key_label().alias("variable_label"))
 
 
 def stations(df):
     """StationNumber, first name and first coordinates."""
-    return df.groupBy("StationNumber").agg(
-        first_value("Station").alias("Station"),
-        first_value("LatitudeDecimalDegrees").alias("LatitudeDecimalDegrees"),
-        first_value("LongitudeDecimalDegrees").alias("LongitudeDecimalDegrees"),
-    )
+    return ordered.group_with_first(df, ["StationNumber"], ["Station", "LatitudeDecimalDegrees", "LongitudeDecimalDegrees"])
 
 
 def station_labels(df):

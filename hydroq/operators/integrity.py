@@ -5,8 +5,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from hydroq.functions import labels as L
-from hydroq.functions.values import col, contains_text, first_row, first_value, percent, percent_or_zero
-from hydroq.operators import quality
+from hydroq.functions.values import col, contains_text, first_value, percent, percent_or_zero
+from hydroq.operators import ordered, quality
 
 TS = "SampleDateTime"
 
@@ -57,14 +57,18 @@ def location_violations(df, key="StationNumber"):
 
 def vmv_registry(df):
     """First variable and method per code, all units and limits (null counts as a value), row count."""
-    def texts(c):
-        return F.array_sort(F.collect_set(F.coalesce(col(c).cast("string"), F.lit("nan"))))
-
-    reg = df.where(col("VmvCode").isNotNull()).groupBy("VmvCode").agg(
+    rows = df.where(col("VmvCode").isNotNull()).withColumns({
+        "_u": F.coalesce("UnitCode", F.lit("nan")), "_m": F.coalesce(col("MethodDetectionLimit").cast("string"), F.lit("nan"))
+    })
+    # one row per combination that occurs; the sets and first values are taken from these
+    parts = rows.groupBy("VmvCode", "VariableCode", "VariableName", "MethodCode", "_u", "_m").agg(
+        F.min("row_key").alias("row_key"), F.count("MeasurementValue").alias("n")
+    )
+    reg = parts.groupBy("VmvCode").agg(
         *[first_value(c).alias(c) for c in ("VariableCode", "VariableName", "MethodCode")],
-        texts("UnitCode").alias("_units"),
-        texts("MethodDetectionLimit").alias("_mdls"),
-        F.count("MeasurementValue").alias("RecordCount"),
+        F.array_sort(F.collect_set("_u")).alias("_units"),
+        F.array_sort(F.collect_set("_m")).alias("_mdls"),
+        F.sum("n").alias("RecordCount"),
     )
     return reg.select(
         "VmvCode", "VariableCode", "VariableName", "MethodCode",
@@ -82,13 +86,14 @@ def station_variable_counts(df):
 
 
 def station_summary(df):
-    return df.where(col("StationNumber").isNotNull()).groupBy("StationNumber").agg(
-        first_row("Station").alias("StationName"),
+    rows = df.where(col("StationNumber").isNotNull())
+    names = ordered.group_with_first(rows, ["StationNumber"], ["Station"], row=True).withColumnRenamed("Station", "StationName")
+    return names.join(rows.groupBy("StationNumber").agg(
         F.count(F.lit(1)).alias("MeasurementCount"),
         F.countDistinct("VariableName").alias("UniqueVariables"),
         F.min(TS).alias("DateRangeStart"),
         F.max(TS).alias("DateRangeEnd"),
-    )
+    ), "StationNumber")
 
 
 def variable_popularity(df):
@@ -124,17 +129,21 @@ def coverage_matrix(df, variables):
 def station_profiles(df):
     """Coordinates, counts, date range, years, variable list, coverage level and diversity per station."""
     variables = df.agg(F.countDistinct("VariableName")).scalar()
-    s = df.where(col("StationNumber").isNotNull()).groupBy("StationNumber").agg(
-        *[first_row(c).alias(n) for c, n in (("Station", "Station"), ("LatitudeDecimalDegrees", "Latitude"), ("LongitudeDecimalDegrees", "Longitude"))],
+    rows = df.where(col("StationNumber").isNotNull())
+    heads = ordered.group_with_first(rows, ["StationNumber"], ["Station", "LatitudeDecimalDegrees", "LongitudeDecimalDegrees"], row=True)
+    lists = rows.where(col("VariableName").isNotNull()).groupBy("StationNumber", "VariableName").agg(F.count(F.lit(1)).alias("n")).groupBy("StationNumber").agg(
+        F.count(F.lit(1)).alias("UniqueVariables"), F.array_join(F.array_sort(F.collect_list("VariableName")), ", ").alias("VariableList")
+    )
+    figures = rows.groupBy("StationNumber").agg(
         F.count(F.lit(1)).alias("TotalMeasurements"),
-        F.countDistinct("VariableName").alias("UniqueVariables"),
         F.countDistinct("SampleNumber").alias("UniqueSamples"),
         F.countDistinct("ProjectNumber").alias("UniqueProjects"),
         F.min(TS).alias("DateRangeStart"),
         F.max(TS).alias("DateRangeEnd"),
         F.countDistinct(F.year(TS)).alias("YearsOfData"),
-        F.array_join(F.array_sort(F.collect_set("VariableName")), ", ").alias("VariableList"),
     )
+    s = heads.withColumnsRenamed({"LatitudeDecimalDegrees": "Latitude", "LongitudeDecimalDegrees": "Longitude"})
+    s = s.join(figures, "StationNumber").join(lists, "StationNumber", "left").na.fill(0, ["UniqueVariables"])
     return s.withColumns({
         "CoverageLevel": L.coverage_level("UniqueVariables"),
         "VariableDiversityPct": percent("UniqueVariables", variables),
@@ -156,11 +165,14 @@ def station_extent(profiles, complete=7, sparse=3):
 
 def unit_report(df):
     """Units per code: non-null texts, number with null counted, first variable name, rows."""
-    reg = df.where(col("VmvCode").isNotNull()).groupBy("VmvCode").agg(
+    parts = df.where(col("VmvCode").isNotNull()).groupBy("VmvCode", "VariableName", "UnitCode").agg(
+        F.min("row_key").alias("row_key"), F.count("MeasurementValue").alias("n")
+    )
+    reg = parts.groupBy("VmvCode").agg(
         first_value("VariableName").alias("VariableName"),
         F.array_join(F.array_sort(F.collect_set("UnitCode")), "; ").alias("Units"),
         (F.countDistinct("UnitCode") + F.max(col("UnitCode").isNull().cast("int"))).alias("UniqueUnitCount"),
-        F.count("MeasurementValue").alias("TotalRecords"),
+        F.sum("n").alias("TotalRecords"),
     )
     return reg.withColumn("IsConsistent", col("UniqueUnitCount") == 1)
 
@@ -216,13 +228,13 @@ def code_description_pairs(df):
 
 
 def completeness_by_code(df):
-    return df.where(col("MeasurementQualifier").isNotNull()).groupBy("MeasurementQualifier").agg(
-        first_row("MeasurementQualifierDescription").alias("description"),
-        F.count(F.lit(1)).alias("records"),
-        *[F.count(c).alias(f"has_{n}") for c, n in (
-            ("MeasurementValue", "value"), ("SampleComment", "sample_comment"),
-            ("MeasurementComment", "measurement_comment"), ("MeasurementFlag", "flag"))],
-    )
+    rows = df.where(col("MeasurementQualifier").isNotNull())
+    filled = {
+        f"has_{n}": col(c) for c, n in (
+            ("MeasurementValue", "value"), ("SampleComment", "sample_comment"), ("MeasurementComment", "measurement_comment"), ("MeasurementFlag", "flag"))
+    }
+    out = ordered.group_with_first(rows, ["MeasurementQualifier"], ["MeasurementQualifierDescription"], {"records": F.lit(1), **filled}, row=True)
+    return out.withColumnRenamed("MeasurementQualifierDescription", "description")
 
 
 def code_details(df):

@@ -26,8 +26,20 @@ def month_block(c):
     return F.year(col(c)) * 12 + F.month(col(c))
 
 
-def _non_empty(df, keys):
-    return (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
+def _blocked(df, keys, block):
+    """The frame with its block, rows with a null key left out.
+
+    A join on keys and block implies null checks on one side only. A block that cannot be null and
+    key checks on the shared input keep both sides equal, so the planner reuses one shuffle for both.
+    """
+    if not keys:
+        df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
+    return df.dropna(subset=list(keys)).withColumn(_BLOCK, F.coalesce(block.cast("bigint"), F.lit(0).cast("bigint"))), list(keys)
+
+
+def day_block(c):
+    """Order-preserving block number of a timestamp: its day."""
+    return F.unix_date(F.to_date(col(c)))
 
 
 def running_totals(df, keys, order, sums, block):
@@ -36,8 +48,7 @@ def running_totals(df, keys, order, sums, block):
     ``sums`` maps a numeric column to the name of its exclusive running total; ``<name>_all``
     holds the total of the key. ``block`` is an order-preserving column expression.
     """
-    df, keys_ = _non_empty(df, keys)
-    df = df.withColumn(_BLOCK, block)
+    df, keys_ = _blocked(df, keys, block)
     per_block = df.groupBy(*keys_, _BLOCK).agg(*[F.sum(s).alias(f"_b_{n}") for s, n in sums.items()])
     before = Window.partitionBy(*keys_).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys_)
@@ -48,7 +59,8 @@ def running_totals(df, keys, order, sums, block):
         *[F.sum(f"_b_{n}").over(whole).alias(f"{n}_all") for n in sums.values()],
     )
     inside = Window.partitionBy(*keys_, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(offsets, [*keys_, _BLOCK])
+    # a merge join shares its partitioning with the window below and may spill on both sides
+    joined = df.join(offsets.hint("merge"), [*keys_, _BLOCK])
     for s, n in sums.items():
         joined = joined.withColumn(n, F.coalesce(F.sum(s).over(inside), F.lit(0)) + F.col(f"_o_{n}"))
     return joined.drop(_BLOCK, "_all", *[f"_o_{n}" for n in sums.values()])
@@ -120,33 +132,68 @@ def with_previous(df, keys, order, carry, block):
     (keys, order) must be unique. Inside a block a window looks back one row; the first row of a
     block takes the last row of the block before it, which one summary row per block carries over.
     """
-    df, keys_ = _non_empty(df, keys)
-    df = df.withColumn(_BLOCK, block)
+    df, keys_ = _blocked(df, keys, block)
     bundle = F.struct(*[F.col(c).alias(n) for c, n in carry.items()])
     inside = Window.partitionBy(*keys_, _BLOCK).orderBy(order)
     across = Window.partitionBy(*keys_).orderBy(_BLOCK)
-    edges = (
-        df.groupBy(*keys_, _BLOCK)
-        .agg(F.max_by(bundle, F.col(order)).alias("_last"))
-        .select(*keys_, _BLOCK, F.lag("_last").over(across).alias("_edge"))
-    )
-    looked = df.withColumn("_prev", F.lag(bundle).over(inside)).join(edges, [*keys_, _BLOCK])
+    looked = df.withColumns({"_prev": F.lag(bundle).over(inside), "_next": F.lead(F.lit(1)).over(inside)})
+    # the last row of each block comes out of the same shuffle and sort
+    edges = looked.where(F.col("_next").isNull()).select(*keys_, _BLOCK, F.lag(bundle).over(across).alias("_edge"))
+    joined = looked.join(edges.hint("merge"), [*keys_, _BLOCK])
     for n in carry.values():
-        looked = looked.withColumn(n, F.coalesce(F.col("_prev")[n], F.col("_edge")[n]))
-    return looked.drop(_BLOCK, "_all", "_prev", "_edge")
+        joined = joined.withColumn(n, F.coalesce(F.col("_prev")[n], F.col("_edge")[n]))
+    return joined.drop(_BLOCK, "_all", "_prev", "_next", "_edge")
+
+
+def group_with_first(df, keys, first, counts=None, sums=None, row=False, order="row_key"):
+    """One row per key: the first value of each ``first`` column in arrival order, with counts and sums.
+
+    The first stage groups by the attributes themselves, so its buffers are numbers and it hashes
+    instead of sorting the fact rows; the second stage sees one row per distinct combination.
+    ``row`` takes the first row as it is, otherwise each column skips nulls.
+    """
+    counts, sums = counts or {}, sums or {}
+    parts = df.groupBy(*keys, *first).agg(
+        F.min(order).alias("_k"), *[F.count(e).alias(n) for n, e in counts.items()], *[F.sum(e).alias(n) for n, e in sums.items()]
+    )
+    picks = [F.min_by(c, F.col("_k") if row else F.when(col(c).isNotNull(), F.col("_k"))).alias(c) for c in first]
+    return parts.groupBy(*keys).agg(*picks, *[F.sum(n).alias(n) for n in (*counts, *sums)])
+
+
+SHORT_SERIES = 64
+
+
+def pair_sign_sum(df, keys, order, value, block):
+    """Sum of sign(later value - earlier value) over all row pairs of a series, without making pairs.
+
+    Series of at most 64 rows are compared inside one array; longer ones go through
+    ``long_pair_sign_sum``. Returns keys, ``n`` and ``s`` for series of two rows or more.
+    """
+    keys = list(keys)
+    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    short = df.join(sized.where(F.col("n") <= SHORT_SERIES), keys).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct(order, col(value).alias("_v")))), lambda e: e["_v"]).alias("_a")
+    )
+
+    def later_minus_earlier(v, i):
+        rest = F.slice("_a", i + 2, SHORT_SERIES)
+        return F.aggregate(rest, F.lit(0), lambda acc, w: acc + F.signum(w - v).cast("int"))
+
+    total = F.aggregate(F.transform("_a", later_minus_earlier), F.lit(0).cast("long"), lambda acc, w: acc + w)
+    long_rows = df.join(sized.where(F.col("n") > SHORT_SERIES).select(*keys), keys, "left_semi")
+    placed = with_position(long_rows, keys, order, block)
+    return short.select(*keys, "n", total.alias("s")).unionByName(long_pair_sign_sum(placed, keys, "position", value))
 
 
-def pair_sign_sum(df, keys, position, value):
-    """Sum of sign(later value - earlier value) over all row pairs of a key, without making pairs.
+def long_pair_sign_sum(df, keys, position, value):
+    """The pair sum for series of any length from their positions 0..n-1.
 
-    ``position`` runs 0..n-1 in time order. Two positions first differ at exactly one binary digit;
-    at that digit's level they sit in the left and the right half of one block. So each row enters
-    one block per level, and a block compares its halves by running totals in value order:
-    n log n rows instead of n squared. Returns keys, ``s`` and ``n``.
+    Two positions first differ at exactly one binary digit; at that digit's level they sit in the
+    left and the right half of one block. So each row enters one block per level, and a block
+    compares its halves by running totals in value order: n log n rows instead of n squared.
     """
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    with_n = df.join(sized, list(keys)).where(F.col("n") > 1)
-    levels = with_n.select(
+    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    levels = df.join(sized, list(keys)).select(
         *keys,
         "n",
         F.col(value).alias("_v"),
@@ -162,5 +209,4 @@ def pair_sign_sum(df, keys, position, value):
     )
     run = running_totals(cells, [*keys, "n", "_level", "_half"], "_v", {"_l": "_below"}, value_block("_v"))
     above = F.col("_below_all") - F.col("_below") - F.col("_l")
-    scored = run.groupBy(*keys, "n").agg(F.sum(F.col("_r") * (F.col("_below") - above)).alias("s"))
-    return sized.join(scored.drop("n"), list(keys), "left").withColumn("s", F.coalesce(F.col("s"), F.lit(0)).cast("long"))
+    return run.groupBy(*keys, "n").agg(F.sum(F.col("_r") * (F.col("_below") - above)).cast("long").alias("s"))

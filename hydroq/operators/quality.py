@@ -1,11 +1,12 @@
 """Flag rates, rankings, crosstabs and station quality: one conditional aggregate each."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hydroq import schema as S
 from hydroq.functions import labels as L
-from hydroq.functions.values import col, first_row, first_value, is_blank, percent, percent_or_zero
-from hydroq.operators import filters
+from hydroq.functions.values import col, is_blank, percent, percent_or_zero
+from hydroq.operators import filters, ordered
 
 Q = "MeasurementQualifier"
 NO_FLAG = "(Clean/No Flag)"
@@ -40,8 +41,6 @@ def top_counts(df, key, n=15):
 
 def qualifier_distribution(df, top=None):
     """Rows per qualifier with share and running share. The window sees one row per code."""
-    from pyspark.sql import Window
-
     counts = df.groupBy(Q).agg(F.count(F.lit(1)).alias("n"))
     every, order = Window.partitionBy(), Window.partitionBy().orderBy(F.desc("n"), F.asc_nulls_first(Q))
     shares = counts.select(
@@ -64,34 +63,29 @@ def crosstab_wide(df, row, column, values):
     return df.where(col(row).isNotNull() & col(column).isin(list(values))).groupBy(row).pivot(column, list(values)).count().na.fill(0)
 
 
-def _flag_stats(df, key, label, include_potentially, extra=()):
-    agg = df.where(col(key).isNotNull()).groupBy(key).agg(
-        *label,
-        *extra,
-        F.count(F.lit(1)).alias("total_records"),
-        F.count_if(L.is_tier_flagged(include_potentially)).alias("flagged_count"),
-    )
+def _flag_stats(df, key, first, include_potentially, row=False):
+    flagged = F.when(L.is_tier_flagged(include_potentially), 1)
+    counts = {"total_records": F.lit(1), "flagged_count": flagged}
+    agg = ordered.group_with_first(df.where(col(key).isNotNull()), [key], first, counts, row=row)
     return agg.withColumn("flagged_pct", percent("flagged_count", "total_records"))
 
 
 def variable_flag_stats(df, include_potentially=False):
     """Flag rate per variable code with its display label."""
-    first = F.min_by(F.struct("VariableCode", "VariableName"), col("row_key")).alias("_f")
-    stats = _flag_stats(df, "VmvCode", [first], include_potentially)
-    label = L.variable_key_label("VmvCode", "_f.VariableCode", "_f.VariableName")
-    return stats.withColumn("variable_label", label).drop("_f").orderBy(F.desc("flagged_pct"), "VmvCode")
+    stats = _flag_stats(df, "VmvCode", ["VariableCode", "VariableName"], include_potentially, row=True)
+    stats = stats.withColumn("variable_label", L.variable_key_label())
+    return stats.drop("VariableCode", "VariableName").orderBy(F.desc("flagged_pct"), "VmvCode")
 
 
 def station_flag_stats(df, include_potentially=False):
-    stats = _flag_stats(df, "StationNumber", [first_value("Station").alias("Station")], include_potentially)
+    stats = _flag_stats(df, "StationNumber", ["Station"], include_potentially)
     return stats.withColumn("station_label", L.station_label()).drop("Station").orderBy(F.desc("flagged_pct"), "StationNumber")
 
 
 def station_flag_map(df, include_potentially=False, codes=None):
     """Flag rate per station with its first name and coordinates."""
-    extra = [first_value(c).alias(c) for c in ("LatitudeDecimalDegrees", "LongitudeDecimalDegrees")]
     rows = filters.by_parameters(df, codes)
-    return _flag_stats(rows, "StationNumber", [first_value("Station").alias("Station")], include_potentially, extra)
+    return _flag_stats(rows, "StationNumber", ["Station", "LatitudeDecimalDegrees", "LongitudeDecimalDegrees"], include_potentially)
 
 
 def flag_matrix(df, by="variable"):
@@ -141,12 +135,10 @@ def completeness_matrix(df, codes, first=30):
 
 def station_quality_map(df, threshold=90.0):
     """Clean share (null only), rows, class and marker size per station."""
-    s = df.where(col("StationNumber").isNotNull()).groupBy("StationNumber").agg(
-        first_row("LatitudeDecimalDegrees").alias("LatitudeDecimalDegrees"),
-        first_row("LongitudeDecimalDegrees").alias("LongitudeDecimalDegrees"),
-        (F.avg(col(Q).isNull().cast("double")) * 100).alias("quality"),
-        F.count(F.lit(1)).alias("records"),
-    )
+    rows = df.where(col("StationNumber").isNotNull())
+    counts = {"records": F.lit(1), "_clean": F.when(col(Q).isNull(), 1)}
+    s = ordered.group_with_first(rows, ["StationNumber"], ["LatitudeDecimalDegrees", "LongitudeDecimalDegrees"], counts, row=True)
+    s = s.withColumn("quality", percent("_clean", "records")).drop("_clean")
     return s.withColumns({"category": L.station_class("quality", threshold), "radius": L.marker_radius("records")})
 
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hydroq.functions import labels as L
-from hydroq.functions.values import col, first_value, percent_or_zero
+from hydroq.functions.values import col, percent_or_zero
 from hydroq.operators import filters, ordered
 
 V = "MeasurementValueNum"
@@ -14,13 +14,9 @@ _PLACE = ("LatitudeDecimalDegrees", "LongitudeDecimalDegrees")
 def station_values(df, *keys):
     """Mean value, rows and first name, coordinates and unit per station (and extra keys)."""
     rows = filters.with_all(df, [V, *_PLACE]).where(col("StationNumber").isNotNull())
-    return rows.groupBy(*keys, "StationNumber").agg(
-        first_value("Station").alias("Station"),
-        *[first_value(c).alias(c) for c in _PLACE],
-        F.avg(V).alias(V),
-        F.count(F.lit(1)).alias("RecordCount"),
-        first_value("UnitCode").alias("UnitCode"),
-    )
+    by = [*keys, "StationNumber"]
+    out = ordered.group_with_first(rows, by, ["Station", *_PLACE, "UnitCode"], {"RecordCount": F.lit(1)}, {"_sum": col(V)})
+    return out.withColumn(V, col("_sum") / col("RecordCount")).drop("_sum")
 
 
 def period_percentiles(df, period="M", *keys):

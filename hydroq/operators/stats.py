@@ -136,14 +136,10 @@ def identify_distribution(df, keys=("VmvCode",), value=V, least=10):
 
 # ---- trend ---------------------------------------------------------------------------
 
-def with_time_position(df, keys, ts=TS):
-    """0-based place of each row in its series by (time, arrival)."""
-    return ordered.with_position(df.withColumn("_order", F.struct(ts, "row_key")), list(keys), "_order", F.to_date(ts)).drop("_order")
-
-
 def _pair_sums(df, keys, value):
-    rows = df.where(col(value).isNotNull() & col(TS).isNotNull()).select(*keys, TS, "row_key", value)
-    return ordered.pair_sign_sum(with_time_position(rows, keys), list(keys), "position", value)
+    """Pair sums of each series in the order of (time, arrival)."""
+    rows = df.where(col(value).isNotNull() & col(TS).isNotNull()).select(*keys, F.struct(TS, "row_key").alias("_order"), value)
+    return ordered.pair_sign_sum(rows, keys, "_order", value, ordered.day_block(F.col("_order")[TS]))
 
 
 def mann_kendall(df, keys=("StationNumber", "VmvCode"), value=V, compat=False):

@@ -1,10 +1,11 @@
 """Sampling gaps, coverage by time and arrival-order checks."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hydroq import schema as S
 from hydroq.functions import labels as L
-from hydroq.functions.values import col, days_between, first_row, percent
+from hydroq.functions.values import col, days_between, percent
 from hydroq.operators import ordered
 
 TS = "SampleDateTime"
@@ -41,11 +42,8 @@ def coverage_by_station(df, compat=False):
         F.max("gap_days").alias("MaxGapDays"),
         F.count_if(col("gap_days") > S.GAP_DAYS).alias("_large"),
     )
-    per_row = df.groupBy("StationNumber").agg(
-        first_row("Station").alias("Station"),
-        F.countDistinct("SampleNumber").alias("SampleCount"),
-        F.count(F.lit(1)).alias("_rows"),
-    ).where("_rows >= 2")
+    names = ordered.group_with_first(df, ["StationNumber"], ["Station"], {"_rows": F.lit(1)}, row=True).where("_rows >= 2")
+    per_row = names.join(df.groupBy("StationNumber").agg(F.countDistinct("SampleNumber").alias("SampleCount")), "StationNumber")
     return per_row.join(per_gap, "StationNumber").select(
         "StationNumber", "Station", "SampleCount", "DateRangeStart", "DateRangeEnd",
         (days_between("DateRangeEnd", "DateRangeStart") / 365.25).alias("YearsSpanned"),
@@ -125,8 +123,6 @@ def sample_clusters(df, tolerance_days=1, keys=("StationNumber",), compat=False)
 
 def rolling_year_mean(df, years=3, keys=("StationNumber", "VmvCode")):
     """Mean of the yearly means of the last years; the window covers one row per year of a series."""
-    from pyspark.sql import Window
-
     yearly = df.groupBy(*keys, F.year(TS).alias("Year")).agg(F.avg("MeasurementValueNum").alias("year_mean"))
     back = Window.partitionBy(*keys).orderBy("Year").rowsBetween(1 - years, 0)
     return yearly.withColumn("rolling_mean", F.avg("year_mean").over(back))

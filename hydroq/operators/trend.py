@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from hydroq import schema as S
 from hydroq.functions import labels as L
 from hydroq.functions import tails
-from hydroq.functions.values import col, days_between, first_value, is_blank, percent, percent_or_zero, true_or_false
+from hydroq.functions.values import col, days_between, is_blank, percent, percent_or_zero, true_or_false
 from hydroq.operators import audit, filters, integrity, ordered, quality
 
 V = "MeasurementValueNum"
@@ -354,11 +354,13 @@ def station_ranking(df):
     Equal scores share a rank. Ranks come from the distribution of the scores, not from one window
     over all stations.
     """
-    s = df.where(col("StationNumber").isNotNull()).groupBy("StationNumber").agg(
-        first_value("Station").alias("Station"), first_value("LatitudeDecimalDegrees").alias("Latitude"), first_value("LongitudeDecimalDegrees").alias("Longitude"),
+    rows = df.where(col("StationNumber").isNotNull())
+    heads = ordered.group_with_first(rows, ["StationNumber"], ["Station", "LatitudeDecimalDegrees", "LongitudeDecimalDegrees"])
+    heads = heads.withColumnsRenamed({"LatitudeDecimalDegrees": "Latitude", "LongitudeDecimalDegrees": "Longitude"})
+    s = heads.join(rows.groupBy("StationNumber").agg(
         percent_or_zero(F.count_if(is_blank("MeasurementQualifier")), F.count(F.lit(1))).alias("quality_score"),
         F.countDistinct("VmvCode").alias("parameters"), (F.floor(F.datediff(F.max(TS), F.min(TS)) / 365.25)).alias("span_years"),
-    )
+    ), "StationNumber")
     s = s.withColumns({
         "flag_rate": 100.0 - F.col("quality_score"),
         "tier": F.when(F.col("quality_score") > 98, "Excellent").when(F.col("quality_score") >= 95, "Good").when(F.col("quality_score") >= 90, "Fair").otherwise("Poor"),

@@ -351,7 +351,7 @@ def _(spark, sf):
     from hydroq.sources.test_tables import table
 
     events = table(spark, sf, "events").select("user_id", "ts").distinct()
-    looked = ordered.with_previous(events, ["user_id"], "ts", {"ts": "p"}, F.to_date("ts"))
+    looked = ordered.with_previous(events, ["user_id"], "ts", {"ts": "p"}, ordered.day_block("ts"))
     # timestamps carry fractions, so the elapsed time is taken in microseconds
     micros = F.expr("timestampdiff(MICROSECOND, p, ts)")
     return looked.where("p is not null").groupBy("user_id").agg(records("gaps"), F.max(F.floor(micros / 1000000)).alias("max_gap"))

@@ -32,36 +32,40 @@ def null_texts_to_null(c):
     return F.when(~col(c).isin(S.NULL_TEXTS), col(c))
 
 
-def read_csv(spark, paths, strict_dates=False):
-    """Scan measurement CSV files into the fixed schema.
-
-    Columns are taken by header name. ``row_key`` orders rows as they lie in the files and
-    ``arrival_block`` is the file split a row came from.
-    """
-    raw = spark.read.option("header", True).option("multiLine", False).csv(paths)
+def _raw_csv(spark, paths):
+    raw = spark.read.option("header", True).csv(paths)
     missing = [n for n, _ in S.CSV_COLUMNS if n not in raw.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    split = F.concat_ws("|", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 15, "0"))
-    place = F.lpad(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("string"), 11, "0")
+    return raw
+
+
+def _typed(raw, strict_dates):
+    """Fixed schema plus ``row_key``, the arrival order within the read, and its blocks of 2^20 rows."""
     cells = []
     for name, kind in S.CSV_COLUMNS:
         text = null_texts_to_null(name)
         cells.append((text if isinstance(kind, T.StringType) else text.try_cast(kind)).alias(name))
-    typed = raw.select(*cells, split.alias("arrival_block"), F.concat_ws("|", split, place).alias("row_key"))
+    typed = raw.select(*cells, F.monotonically_increasing_id().alias("row_key"))
     return typed.withColumns({
         "SampleDateTime": parse_dates("SampleDateTime", strict_dates),
         "MeasurementValueNum": to_number("MeasurementValue"),
+        "arrival_block": F.shiftright("row_key", 20),
     })
 
 
-def read_parts(spark, paths, **options):
-    """Several files as one frame: a union by column name, the splits taking the place of chunks."""
-    frames = [read_csv(spark, p, **options) for p in paths]
+def read_csv(spark, paths, strict_dates=False):
+    """Scan measurement CSV files into the fixed schema; columns are taken by header name."""
+    return _typed(_raw_csv(spark, paths), strict_dates)
+
+
+def read_parts(spark, paths, strict_dates=False):
+    """Files with differing column order as one frame: a union by name, the splits taking the place of chunks."""
+    frames = [_raw_csv(spark, p).select(*[n for n, _ in S.CSV_COLUMNS]) for p in paths]
     whole = frames[0]
     for frame in frames[1:]:
         whole = whole.unionByName(frame)
-    return whole
+    return _typed(whole, strict_dates)
 
 
 def first_rows(df, n, order="row_key"):

@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 
 def shared_folder(spark):
@@ -32,3 +33,10 @@ def stage(df, name):
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_all(frames):
+    """Stage several independent frames at the same time; returns them by name."""
+    with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+        staged = {name: pool.submit(stage, frame, name) for name, frame in frames.items()}
+        return {name: job.result() for name, job in staged.items()}

@@ -10,13 +10,13 @@ _D0 = (
     "(CASE WHEN l_suppkey % 10 = 3 THEN date_trunc('quarter', l_shipdate)"
     " WHEN l_suppkey % 10 = 4 THEN date_trunc('year', l_shipdate) ELSE date_trunc('month', l_shipdate) END)"
 )
-_QUALIFIER = (
-    "(CASE WHEN h<12 THEN 'OBS' WHEN h<23 THEN 'FSE' WHEN h<29 THEN 'HT' WHEN h<33 THEN 'SUS' WHEN h<35 THEN 'DR'"
-    " WHEN h<37 THEN 'SPNF' WHEN h=37 THEN 'RER|SUS' WHEN h=38 THEN 'HT|RER' WHEN h=39 THEN 'DR|SUS'"
-    " WHEN h=40 THEN 'EST' WHEN h=41 THEN 'RER' WHEN h=42 THEN 'FSE|HT' WHEN h=43 THEN 'DR|SPNF'"
-    " WHEN h=44 THEN 'HT|SUS' WHEN h=45 THEN 'HT|RER|SUS' WHEN h=46 THEN 'DR|HT' WHEN h=47 THEN 'DR|FSE'"
-    " WHEN h=48 THEN '' END)"
-).replace("h<", f"{_H}<").replace("h=", f"{_H}=")
+# code of each pseudo-random number 0..48; the last one is the empty text, higher numbers have none
+_CODES = (
+    ["OBS"] * 12 + ["FSE"] * 11 + ["HT"] * 6 + ["SUS"] * 4 + ["DR"] * 2 + ["SPNF"] * 2
+    + ["RER|SUS", "HT|RER", "DR|SUS", "EST", "RER", "FSE|HT", "DR|SPNF", "HT|SUS", "HT|RER|SUS", "DR|HT", "DR|FSE", ""]
+)
+_QUALIFIER = f"(CASE WHEN {_H} <= 48 THEN split_part('{','.join(_CODES)}', ',', CAST({_H} + 1 AS INT)) END)"
+_NAMES = "PH (LAB),OXYGEN DISSOLVED (FIELD METER),TEMPERATURE WATER,TEMPERATURE AIR,PHOSPHORUS TOTAL (P),TURBIDITY,pH,Dissolved Oxygen,Temperature"
 _TEXT_VALUE = (
     "(CASE WHEN {h}%97=0 THEN concat('<', CAST(l_quantity AS STRING)) WHEN {v} IN (2,3,8) THEN CAST(l_quantity-10.0 AS STRING)"
     " WHEN {v}<10 THEN CAST(l_quantity AS STRING) ELSE CAST(l_extendedprice AS STRING) END)"
@@ -24,14 +24,13 @@ _TEXT_VALUE = (
 
 # column -> (expression, dimension tables it needs)
 COLUMNS = {
+    # arrival order: order and line number, then digits that separate repeated pairs
     "row_key": (
-        "concat(lpad(CAST(l_orderkey AS STRING),12,'0'),'-',CAST(l_linenumber AS STRING),'-',"
-        "lpad(CAST(l_partkey AS STRING),9,'0'),'-',lpad(CAST(l_suppkey AS STRING),7,'0'),'-',"
-        "CAST(CAST(l_shipdate AS DATE) AS STRING),'-',lpad(CAST(CAST(round(l_extendedprice*100) AS BIGINT) AS STRING),12,'0'))",
+        "((l_orderkey*8 + l_linenumber) * 1048576 + (l_partkey*7919 + l_suppkey*104729 + CAST(round(l_extendedprice*100) AS BIGINT)*31) % 1048576)",
         "",
     ),
-    # order-preserving block of row_key: the first digits of the order number
-    "arrival_block": ("substring(lpad(CAST(l_orderkey AS STRING),12,'0'),1,8)", ""),
+    # order-preserving block of row_key
+    "arrival_block": ("CAST(floor(l_orderkey / 4096) AS BIGINT)", ""),
     "ProjectNumber": ("concat('ABS', lpad(CAST(s_nationkey AS STRING),3,'0'))", "s"),
     "ContinentalRiverBasinCode": ("r_name", "snr"),
     "RiverBasinCode": ("n_name", "sn"),
@@ -55,15 +54,15 @@ COLUMNS = {
     "VariableCode": (f"CAST({_V} % 82 + 364 AS INT)", ""),
     "MethodCode": (f"CAST({_V} % 59 + 4 AS INT)", ""),
     "VariableName": (
-        f"(CASE {_V} WHEN 0 THEN 'PH (LAB)' WHEN 1 THEN 'OXYGEN DISSOLVED (FIELD METER)' WHEN 2 THEN 'TEMPERATURE WATER'"
-        " WHEN 3 THEN 'TEMPERATURE AIR' WHEN 4 THEN 'PHOSPHORUS TOTAL (P)' WHEN 5 THEN 'TURBIDITY' WHEN 6 THEN 'pH'"
-        " WHEN 7 THEN 'Dissolved Oxygen' WHEN 8 THEN 'Temperature'"
-        f" ELSE concat('VARIABLE ', lpad(CAST({_V} % 82 AS STRING),2,'0')) END)",
+        f"(CASE WHEN {_V} < 9 THEN split_part('{_NAMES}', ',', {_V} + 1) ELSE concat('VARIABLE ', lpad(CAST({_V} % 82 AS STRING),2,'0')) END)",
         "",
     ),
     "MeasurementFlag": (f"(CASE WHEN {_H}%25=0 THEN 'G' WHEN {_H}%7=0 THEN 'L' END)", ""),
     "MeasurementValue": (_TEXT_VALUE, ""),
-    "MeasurementValueNum": (f"try_cast({_TEXT_VALUE} AS DOUBLE)", ""),
+    "MeasurementValueNum": (
+        f"(CASE WHEN {_H}%97=0 THEN NULL WHEN {_V} IN (2,3,8) THEN l_quantity-10.0 WHEN {_V}<10 THEN l_quantity ELSE l_extendedprice END)",
+        "",
+    ),
     "UnitCode": (
         f"(CASE WHEN {_V}%11=10 THEN NULL WHEN {_V} IN (0,6) THEN 'pH units' WHEN {_V} IN (2,3,8) THEN 'deg C'"
         f" WHEN {_V}=9 AND {_H}%50=0 THEN 'ug/L' ELSE 'mg/L' END)",
@@ -96,10 +95,25 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+SPLIT_BYTES = 128 << 20
+SMALL_BYTES = 4 << 20
+
+
+def spread(rows, key):
+    """Redistribute a table that is too small to fill all cores with file splits, but not tiny.
+
+    A file of one row group is read by one task, which would then evaluate everything up to the
+    first shuffle. Tables with a full split per core are left as they are.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, key) if SMALL_BYTES < size < cores * SPLIT_BYTES else rows
+
+
 def observations(spark, sf_dir, *columns):
     """The measurement view; a dimension is joined only when a requested column needs it."""
     columns = columns or tuple(COLUMNS)
-    rows = table(spark, sf_dir, "lineitem")
+    rows = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     for key in "snr":
         if any(key in COLUMNS[c][1] for c in columns):
             name, condition = _JOINS[key]

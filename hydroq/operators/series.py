@@ -67,7 +67,7 @@ def threshold_control(df):
         F.coalesce("lo", F.lit(0.0)).alias("threshold_min"),
         F.coalesce(high, F.lit(1.0)).alias("threshold_max"),
         F.coalesce("mid", F.lit(0.5)).alias("threshold_p50"),
-        F.coalesce(F.greatest((high - F.col("lo")) / 1000, F.lit(0.0001)), F.lit(0.001)).alias("threshold_step"),
+        F.when(F.col("lo").isNull(), 0.001).otherwise(F.greatest((high - F.col("lo")) / 1000, F.lit(0.0001))).alias("threshold_step"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from hydroq import schema as S
 from hydroq.functions import labels as L
 from hydroq.functions.values import col, contains_text, is_blank, percent, percent_or_zero, true_or_false
-from hydroq.operators import integrity, ordered, temporal
+from hydroq.operators import integrity, temporal
 from hydroq.sources.staging import stage_all
 
 TS = "SampleDateTime"

@@ -13,7 +13,12 @@ TS = "SampleDateTime"
 
 
 def by_date_range(df, start, end, ts=TS):
-    """Inclusive on both days, written on the raw column so that it is pushed down."""
+    """Inclusive on both days, written on the raw column so that it is pushed down.
+
+    A table that is partitioned by Year is pruned to the years of the range as well.
+    """
+    if "Year" in df.columns:
+        df = df.where(col("Year").between(int(str(start)[:4]), int(str(end)[:4])))
     end_open = datetime.date.fromisoformat(str(end)) + datetime.timedelta(days=1)
     low = F.lit(f"{start} 00:00:00").cast("timestamp_ntz")
     return df.where((col(ts) >= low) & (col(ts) < F.lit(f"{end_open} 00:00:00").cast("timestamp_ntz")))

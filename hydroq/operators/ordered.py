@@ -160,6 +160,12 @@ def group_with_first(df, keys, first, counts=None, sums=None, row=False, order="
     return parts.groupBy(*keys).agg(*picks, *[F.sum(n).alias(n) for n in (*counts, *sums)])
 
 
+def top_k(df, keys, order, k):
+    """First k rows per key. The planner also applies the rank limit before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+
+
 SHORT_SERIES = 64
 
 

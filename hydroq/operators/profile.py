@@ -3,10 +3,10 @@
 from pyspark.sql import functions as F
 
 from hydroq import schema as S
-from hydroq.functions import labels as L
-from hydroq.functions.values import any_of, col, contains_text, percent, percent_or_zero, ratio
-from hydroq.operators import ordered, units
+from hydroq.functions.values import col, contains_text, percent, percent_or_zero, ratio
+from hydroq.operators import ordered
 from hydroq.sources import loader
+from hydroq.sources.staging import stage
 
 V = "MeasurementValueNum"
 
@@ -107,7 +107,7 @@ def column_profile(df, k=5):
         "duplicate_values": F.col("non_null_count") + F.col("null_count") - F.col("unique_values"),
     })
     texts = loader.text_columns(df)
-    top = units.top_k(counts.where(col("value").isNotNull() & col("column").isin(texts)), ["column"], [F.desc("n"), F.asc("value")], k)
+    top = ordered.top_k(counts.where(col("value").isNotNull() & col("column").isin(texts)), ["column"], [F.desc("n"), F.asc("value")], k)
     lists = top.groupBy("column").agg(
         F.map_from_entries(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "value", "n"))), lambda x: F.struct(x["value"], x["n"]))).alias("top_values")
     )
@@ -164,8 +164,6 @@ def outlier_counts(df, keys, value=V, method="iqr"):
 
 def with_outlier_flag(df, keys, value=V, method="iqr", name="is_outlier"):
     """Rows with an outlier flag. The bounds are staged, so a small table is broadcast and a big one is not."""
-    from hydroq.sources.staging import stage
-
     bounds = stage(outlier_bounds(df, keys, value, method), "outlier-bounds")
     joined = df.join(bounds, list(keys), "left")
     return joined.withColumn(name, outlier_condition(method, value)).select(*df.columns, name)

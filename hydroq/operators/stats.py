@@ -1,5 +1,7 @@
 """Normality, distribution fits, trends and group comparisons, computed from ordered distinct values."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -370,9 +372,6 @@ def cross_correlation(df, unit, category, categories, value=V):
     Each task folds its pivoted rows into one matrix of sums, so a task emits a matrix instead of
     the pairs of every unit, and the matrices are added up.
     """
-    import numpy as np
-    import pandas as pd
-
     names = [str(c) for c in categories]
     wide = df.where(col(value).isNotNull()).groupBy(unit).pivot(category, list(categories)).agg(F.avg(value)).drop(unit)
 
@@ -421,9 +420,6 @@ def isolation_forest(df, value=V, trees=100, sample=256, seed=42):
     forest (at most 100 x 511 nodes) is a bounded broadcast; scores are computed once per distinct
     value and the cut is the exact quantile of the scores of all rows.
     """
-    import numpy as np
-    import pandas as pd
-
     rows = df.where(col(value).isNotNull())
     counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
     # a seeded hash per (row, tree) is the draw; a threshold keeps some twice the sample size per tree,

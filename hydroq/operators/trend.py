@@ -7,7 +7,7 @@ from hydroq import schema as S
 from hydroq.functions import labels as L
 from hydroq.functions import tails
 from hydroq.functions.values import col, days_between, is_blank, percent, percent_or_zero, true_or_false
-from hydroq.operators import audit, filters, integrity, ordered, quality
+from hydroq.operators import audit, filters, ordered, quality, units
 
 V = "MeasurementValueNum"
 TS = "SampleDateTime"
@@ -72,8 +72,6 @@ def compare_basin_stations(df, stations, basin, code, year):
 
 def pre_analysis_check(df, bad_units=("ug/L",)):
     """Counts, span, violations and compliance in one row."""
-    from hydroq.operators import units
-
     flagged = units.with_ingest_flags(df, list(bad_units))
     out = flagged.agg(
         F.countDistinct("StationNumber").alias("n_stations"), F.countDistinct("VariableName").alias("n_parameters"), F.count(F.lit(1)).alias("n_observations"),
@@ -100,8 +98,6 @@ def station_overview(stations, df, bad_units=("ug/L",)):
 
     The rows are aggregated per station before the outer join, so the join sees one row per station.
     """
-    from hydroq.operators import units
-
     flagged = units.with_ingest_flags(df, list(bad_units))
     any_flag = F.col("QA_S1") | F.col("QA_M2") | F.col("QA_C2")
     per = flagged.groupBy("StationNumber").agg(
@@ -166,13 +162,11 @@ def basin_slopes(aggregates):
 
 def basin_scorecard(df, k=3):
     """Stations, quality score, and the k most frequent qualifier codes per basin."""
-    from hydroq.operators import units
-
     base = df.groupBy("RiverBasinCode").agg(
         F.countDistinct("StationNumber").alias("stations"), percent_or_zero(F.count_if(is_blank("MeasurementQualifier")), F.count(F.lit(1))).alias("quality_score")
     )
     codes = df.where(~is_blank("MeasurementQualifier")).groupBy("RiverBasinCode", col("MeasurementQualifier").alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    top = units.top_k(codes, ["RiverBasinCode"], [F.desc("n"), F.asc("code")], k)
+    top = ordered.top_k(codes, ["RiverBasinCode"], [F.desc("n"), F.asc("code")], k)
     listed = top.groupBy("RiverBasinCode").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "code"))), lambda e: e["code"]), ", ").alias("concerns")
     )

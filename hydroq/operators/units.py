@@ -1,11 +1,10 @@
 """Unit conversion, ingest flags and comment words."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hydroq import schema as S
 from hydroq.functions.values import any_of, col, true_or_false
-from hydroq.operators import dimensions
+from hydroq.operators import dimensions, ordered
 
 
 def standardize_units(df, target, value="MeasurementValueNum", unit="UnitCode"):
@@ -54,10 +53,5 @@ def comment_words(df, code, comment, k):
     texts = df.where(col(code).isNotNull() & col(comment).isNotNull()).groupBy(code, comment).agg(F.count(F.lit(1)).alias("n"))
     words = texts.select(col(code).alias("code"), F.explode(F.split(F.lower(col(comment)), "\\W+")).alias("word"), "n").where("word <> ''")
     counts = words.groupBy("code", "word").agg(F.sum("n").alias("n"))
-    return top_k(counts, ["code"], [F.desc("n"), F.asc("word")], k)
+    return ordered.top_k(counts, ["code"], [F.desc("n"), F.asc("word")], k)
 
-
-def top_k(df, keys, order, k):
-    """First k rows per key. The window rank limit is applied before the shuffle as well."""
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hydroq import schema as S
-from hydroq.operators import audit
+from hydroq.operators import audit, temporal
 from hydroq.plans.catalog import obs, query, records
 
 _Q = "MeasurementQualifier"
@@ -93,8 +93,6 @@ def _(spark, sf):
     """SELECT ProjectNumber, count(*) AS reversals FROM (SELECT ProjectNumber, SampleDateTime t, lag(SampleDateTime) OVER (PARTITION BY ProjectNumber ORDER BY row_key) p FROM obs) WHERE t < p GROUP BY 1""",
 )
 def _(spark, sf):
-    from hydroq.operators import temporal
-
     return temporal.time_travel(obs(spark, sf, "ProjectNumber", "SampleDateTime", "row_key", "arrival_block"), "ProjectNumber")
 
 

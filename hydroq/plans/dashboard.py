@@ -1,7 +1,5 @@
 """Dashboard queries: quality page and variable page."""
 
-from pyspark.sql import functions as F
-
 from hydroq.functions import labels as L
 from hydroq.functions.values import none_of
 from hydroq import schema as S

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from hydroq import schema as S
 from hydroq.functions import labels as L
 from hydroq.functions.values import to_number
 from hydroq.operators import dimensions, units

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from hydroq import schema as S
 from hydroq.functions import labels as L
-from hydroq.operators import dimensions, filters, integrity, units
+from hydroq.operators import dimensions, filters, integrity, ordered
 from hydroq.plans.catalog import obs, query, records
-from hydroq.sources import loader
+from hydroq.sources.test_tables import table
 
 _Q = "MeasurementQualifier"
 _DEF = "('SUS','RER|SUS','HT|RER|SUS','HT|SUS','DR|SUS')"
@@ -79,8 +79,6 @@ def _(spark, sf):
     raw_sql=True,
 )
 def _(spark, sf):
-    from hydroq.sources.test_tables import table
-
     stations = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.expr("s_nationkey = n_nationkey"))
     facts = obs(spark, sf, "StationNumber", "VmvCode").groupBy("StationNumber").agg(records(), F.countDistinct("VmvCode").alias("variables"))
     keyed = stations.selectExpr("concat('AB', lpad(CAST(s_suppkey AS STRING),8,'0')) AS StationNumber", "s_name AS Station", "n_name AS basin")
@@ -110,7 +108,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     counts = obs(spark, sf, "StationNumber", "VmvCode").groupBy("StationNumber", "VmvCode").agg(records())
-    return units.top_k(counts, ["StationNumber"], [F.desc("records"), F.asc("VmvCode")], 3)
+    return ordered.top_k(counts, ["StationNumber"], [F.desc("records"), F.asc("VmvCode")], 3)
 
 
 @query(

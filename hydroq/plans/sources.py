@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from hydroq import schema as S
 from hydroq.operators import filters
 from hydroq.plans.catalog import obs, query
-from hydroq.sources import loader, sinks
+from hydroq.sources import loader, sinks, staging
 
 
 def _csv_copy(spark, sf_dir):
@@ -16,7 +16,7 @@ def _csv_copy(spark, sf_dir):
     for name, kind in S.CSV_COLUMNS:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
-    path = sinks.scratch_dir(spark, "csv")
+    path = staging.scratch_dir(spark, "csv")
     sinks.write_csv(rows.select(*[n for n, _ in S.CSV_COLUMNS]), path)
     return path
 
@@ -37,9 +37,9 @@ def _(spark, sf):
     )
 
 
-@query("a05_source_fallback", "SELECT count(*) AS records FROM nation", raw_sql=True)
+@query("a05_source_fallback", "SELECT count(*) AS records FROM lineitem", raw_sql=True)
 def _(spark, sf):
-    found = loader.first_existing(spark, [os.path.join(sf, "absent.parquet"), os.path.join(sf, "nation.parquet"), os.path.join(sf, "region.parquet")])
+    found = loader.first_existing(spark, [os.path.join(sf, "absent.parquet"), os.path.join(sf, "lineitem.parquet"), os.path.join(sf, "orders.parquet")])
     return spark.read.parquet(found).agg(F.count(F.lit(1)).alias("records"))
 
 
@@ -135,7 +135,7 @@ def _(spark, sf):
     report = obs(spark, sf, "VariableName", "StationNumber").groupBy("VariableName").agg(
         F.count(F.lit(1)).alias("records"), F.countDistinct("StationNumber").alias("stations")
     )
-    path = sinks.write_outputs({"variables": report}, sinks.scratch_dir(spark, "reports"), "run_")["variables"]
+    path = sinks.write_outputs({"variables": report}, staging.scratch_dir(spark, "reports"), "run_")["variables"]
     return spark.read.option("header", True).schema("VariableName string, records bigint, stations bigint").csv(path)
 
 
@@ -147,7 +147,7 @@ def _(spark, sf):
     report = obs(spark, sf, "ProjectNumber", "VmvCode").groupBy(F.col("ProjectNumber").alias("project")).agg(
         F.count(F.lit(1)).alias("records"), F.struct(F.min("VmvCode").alias("low"), F.max("VmvCode").alias("high")).alias("codes")
     )
-    path = sinks.scratch_dir(spark, "json")
+    path = staging.scratch_dir(spark, "json")
     sinks.write_json(report, path)
     back = spark.read.schema("project string, records bigint, codes struct<low:int,high:int>").json(path)
     return back.select("project", "records", "codes.low", "codes.high")
@@ -164,7 +164,7 @@ def _(spark, sf):
     )
     lines = [F.concat(F.lit(t), F.col(c).cast("string")) for t, c in (("Records: ", "r"), ("Stations: ", "s"), ("Variables: ", "v"))]
     report = facts.select(F.posexplode(F.array(*lines)).alias("line_no", "text"))
-    path = sinks.scratch_dir(spark, "text")
+    path = staging.scratch_dir(spark, "text")
     sinks.write_text_report(report, path)
     return spark.read.text(path).withColumnRenamed("value", "text")
 
@@ -191,7 +191,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = filters.with_versions(obs(spark, sf, "row_key", "SampleDateTime", "MeasurementQualifier"))
-    path = sinks.scratch_dir(spark, "versions")
+    path = staging.scratch_dir(spark, "versions")
     sinks.write_versions(rows, path)
     back = spark.read.parquet(path)
     return back.groupBy("version", F.year("SampleDateTime").alias("year")).agg(F.count(F.lit(1)).alias("records"))
@@ -219,6 +219,18 @@ def _(spark, sf):
     return loader.long_by_variable(loader.wide_by_variable(rows, ["SampleNumber"], _WIDE), ["SampleNumber"])
 
 
+@query(
+    "a14_stored_table",
+    """SELECT VmvCode, count(*) AS records, avg(MeasurementValueNum) AS mean FROM obs WHERE CAST(SampleDateTime AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1998-02-10' AND VmvCode < 12 GROUP BY 1""",
+    "mean",
+)
+def _(spark, sf):
+    path = staging.scratch_dir(spark, "table")
+    sinks.write_table(obs(spark, sf, "row_key", "VmvCode", "SampleDateTime", "MeasurementValueNum"), path)
+    rows = filters.by_date_range(loader.read_table(spark, path), "1996-03-01", "1998-02-10").where("VmvCode < 12")
+    return rows.groupBy("VmvCode").agg(F.count(F.lit(1)).alias("records"), F.avg("MeasurementValueNum").alias("mean"))
+
+
 @query("a16_remembered_base", "SELECT LabCode, count(*) AS records FROM obs GROUP BY 1")
 def _(spark, sf):
     return loader.remember(obs(spark, sf, "LabCode")).groupBy("LabCode").agg(F.count(F.lit(1)).alias("records"))

@@ -122,6 +122,22 @@ def _(spark, sf):
     return rows.where("is_outlier").drop("is_outlier")
 
 
+@query(
+    "f32_event_outlier_summary",
+    " UNION ALL ".join(
+        f"""SELECT "column", outlier_count, 100.0*outlier_count/f AS outlier_percent, method FROM (SELECT '{c}' AS "column", '{m}' AS method, count({c}) f, count(*) FILTER ({t}) AS outlier_count
+        FROM (SELECT value, sqrt(value) AS root, user_id::DOUBLE AS user_id FROM events), (SELECT avg({c}) c, stddev_pop({c}) s, quantile_cont({c},0.25) q1, quantile_cont({c},0.75) q3 FROM
+        (SELECT value, sqrt(value) AS root, user_id::DOUBLE AS user_id FROM events))) WHERE outlier_count > 0"""
+        for c in ("value", "root", "user_id") for m, t in (("zscore", f"abs(({c} - c)/s) > 3"), ("iqr", f"{c} < q1 - 1.5*(q3-q1) OR {c} > q3 + 1.5*(q3-q1)"))
+    ),
+    "outlier_percent",
+    raw_sql=True,
+)
+def _(spark, sf):
+    rows = table(spark, sf, "events").select("value", F.sqrt("value").alias("root"), F.col("user_id").cast("double").alias("user_id"))
+    return profile.outlier_summary(rows, ["value", "root", "user_id"])
+
+
 @query(
     "j07_temporal_stability",
     """SELECT VmvCode, year(SampleDateTime)::INT AS year, count(MeasurementValueNum) AS count, avg(MeasurementValueNum) AS mean, stddev_samp(MeasurementValueNum) AS std, min(MeasurementValueNum) AS min,

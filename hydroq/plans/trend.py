@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from hydroq.operators import filters, ordered, spatial, stats, trend, units
+from hydroq.operators import spatial, stats, trend
 from hydroq.plans.catalog import obs, query
 from hydroq.plans.labels import PERIOD_SQL
-from hydroq.sources import sinks
+from hydroq.sources import sinks, staging
 from hydroq.sources.test_tables import table
 
 _Q = "MeasurementQualifier"
@@ -118,7 +118,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     made = trend.monthly_table(obs(spark, sf, "StationNumber", "VmvCode", "SampleDateTime", _V))
-    path = sinks.scratch_dir(spark, "monthly")
+    path = staging.scratch_dir(spark, "monthly")
     sinks.write_versions(made, path, ["period_year"])
     return spark.read.schema(made.schema).parquet(path)
 

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from hydroq import schema as S
 from hydroq.functions.values import col, percent_or_zero, to_number, true_or_false
 from hydroq.operators import filters
+from hydroq.operators.ordered import top_k
 
 DATE_PATTERN = "M/d/yyyy H:mm"
 
@@ -111,13 +112,8 @@ def explore_columns(df, columns):
 
 
 def example_rows(df, column, codes, n=3, order="row_key"):
-    """The first n rows of each listed code: one bounded top-k aggregate per code, no per-code sort."""
-    rows = df.where(col(column).isin(list(codes)))
-    keep = [c for c in df.columns if c not in (column, order)]
-    # the n smallest row keys of a code are found from per-block minima, so no code gathers all its rows
-    parts = rows.groupBy(column, "arrival_block").agg(F.slice(F.sort_array(F.collect_list(F.struct(order, *keep))), 1, n).alias("_top"))
-    merged = parts.groupBy(column).agg(F.slice(F.sort_array(F.flatten(F.collect_list("_top"))), 1, n).alias("_top"))
-    return merged.select(column, F.explode("_top").alias("_r")).select(column, "_r.*")
+    """The first n rows of each listed code."""
+    return top_k(df.where(col(column).isin(list(codes))), [column], [F.asc(order)], n)
 
 
 def validate(df, required, lat=(51.0, 61.0), lon=(-128.0, -110.0)):
@@ -193,3 +189,8 @@ def numeric_columns(df):
 
 def text_columns(df):
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+
+
+def read_table(spark, path):
+    """The stored measurement table; filters and column choices reach its Parquet files."""
+    return spark.read.parquet(path)

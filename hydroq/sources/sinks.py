@@ -4,8 +4,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from hydroq.sources.staging import scratch_dir  # noqa: F401
-
 
 def write_csv(df, path):
     df.write.mode("overwrite").option("header", True).option("quoteAll", False).csv(path)
@@ -33,3 +31,14 @@ def write_text_report(df, path, text="text", order="line_no"):
 def write_versions(df, path, partition=("version",)):
     """Versioned dataset, partitioned for pruning by version."""
     df.write.mode("overwrite").partitionBy(*partition).parquet(path)
+
+
+def write_table(df, path, ts="SampleDateTime"):
+    """The measurement table at rest: one folder per year, files clustered by variable.
+
+    Ranges include the row key, so a variable or year that holds much of the data is cut into
+    several files instead of ending in one task.
+    """
+    rows = df.withColumn("Year", F.year(ts))
+    ranged = rows.repartitionByRange("Year", "VmvCode", "row_key").sortWithinPartitions("Year", "VmvCode", ts)
+    ranged.write.mode("overwrite").partitionBy("Year").parquet(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hydroq import reports
 from hydroq import schema as S
+from hydroq.operators import filters
 from hydroq.plans.catalog import obs
 from hydroq.sources import loader, sinks, staging
 
@@ -88,3 +89,13 @@ def test_composed_reports_run(spark, sf_dir, tmp_path):
     paths = sinks.write_outputs({"kpis": pages["kpis"]}, str(tmp_path), "x_")
     assert os.path.isdir(paths["kpis"])
     base.unpersist()
+
+
+def test_filters_reach_the_stored_table(spark, sf_dir, tmp_path, capsys):
+    path = str(tmp_path / "table")
+    sinks.write_table(obs(spark, sf_dir, "row_key", "StationNumber", "VmvCode", "SampleDateTime", "MeasurementValueNum", "UnitCode"), path)
+    rows = filters.by_variable(filters.by_date_range(loader.read_table(spark, path), "1996-03-01", "1996-09-30"), 6)
+    rows.groupBy("StationNumber").count().explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [isnotnull(Year" in plan and "EqualTo(VmvCode,6)" in plan and "GreaterThanOrEqual(SampleDateTime" in plan
+    assert "UnitCode" not in plan and "MeasurementValueNum" not in plan

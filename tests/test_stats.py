@@ -5,7 +5,6 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from hydroq.functions import tails
 from hydroq.operators import spatial, stats

@@ -7,7 +7,7 @@ from hydroq import schema as S
 from hydroq.functions import labels as L
 from hydroq.functions.values import col, contains_text, is_blank, percent, percent_or_zero, true_or_false
 from hydroq.operators import integrity, temporal
-from hydroq.sources.staging import stage_all
+from hydroq.sources.staging import stage, stage_all
 
 TS = "SampleDateTime"
 V = "MeasurementValueNum"
@@ -84,12 +84,13 @@ def sparse_years(df, fewest=3):
 def station_findings(df):
     """All station-level findings in one row per station that has any: S2, M3, C2 years, T1 row keys.
 
-    The fact rows are reduced once to one row per visit and sample; the four rules share that
-    reduction. The lists are bounded by years and by gaps of sixty days.
+    The fact rows are reduced once to a staged table of one row per visit and sample, which the four
+    rules read. The lists are bounded by years and by gaps of sixty days.
     """
     place = ["LatitudeDecimalDegrees", "LongitudeDecimalDegrees"]
     core = F.max(true_or_false(col("VariableName").isin(S.CORE_VARIABLES)).cast("int")).alias("core")
     reduced = df.where(col("StationNumber").isNotNull()).groupBy("StationNumber", TS, "SampleNumber", *place).agg(core, F.min("row_key").alias("row_key"))
+    reduced = stage(reduced, "audit-visits")
     per_station = reduced.groupBy("StationNumber").agg(
         (F.greatest(*[F.countDistinct(c) for c in place]) > 1).alias("s2"), (F.max("core") == 0).alias("m3")
     )

@@ -38,8 +38,8 @@ COLUMNS = {
     "StationTypeCode": ("CAST(1 AS INT)", ""),
     "StationNumber": ("concat('AB', lpad(CAST(l_suppkey AS STRING),8,'0'))", ""),
     "Station": ("s_name", "s"),
-    "LatitudeDecimalDegrees": ("CAST(49.0 + (l_suppkey % 1000)/100.0 AS DOUBLE)", ""),
-    "LongitudeDecimalDegrees": ("CAST(-120.0 + (l_suppkey % 997)/100.0 AS DOUBLE)", ""),
+    "LatitudeDecimalDegrees": ("CAST(4900 + l_suppkey % 1000 AS DOUBLE) / CAST(100 AS DOUBLE)", ""),
+    "LongitudeDecimalDegrees": ("CAST(-12000 + l_suppkey % 997 AS DOUBLE) / CAST(100 AS DOUBLE)", ""),
     "CollectionCode": ("CAST(1 AS DOUBLE)", ""),
     "SampleMatrixCode": ("CAST(2 AS INT)", ""),
     "SampleTypeCode": ("CAST(3 AS INT)", ""),

@@ -205,7 +205,7 @@ def _(spark, sf):
     "j21_morans_i",
     "WITH " + _NEAR.format(p=_POINTS) + """, t AS (SELECT count(*)::DOUBLE n, sum(neighbours)::DOUBLE s0, sum(neighbours**2) d2, sum(z*sz) c, sum(z*z) sq FROM nb),
     v AS (SELECT *, n*c/(s0*sq) AS i, -1/(n-1) AS e, (n*n*2*s0 - n*4*d2 + 3*s0*s0)/((n*n-1)*s0*s0) - 1/((n-1)*(n-1)) AS va FROM t)
-    SELECT n::BIGINT AS stations, s0::BIGINT AS links, i AS morans_i, e AS expected, (i-e)/sqrt(va) AS z FROM v""",
+    SELECT n::BIGINT AS stations, s0::BIGINT AS links, i AS morans_i, e AS expected, (i-e)/nullif(sqrt(va), 0) AS z FROM v""",
     "morans_i expected z",
 )
 def _(spark, sf):

@@ -138,10 +138,9 @@ def near_duplicates(docs, bits=4, blocks=3, width=4, id_col="doc_id", text_col="
 
 
 def keep_first(docs, bits=4, blocks=3, width=5):
-    """The rows of ``docs`` without near duplicates: of each component the row(s) of the smallest doc_id stay."""
-    groups = near_duplicates(docs, bits, blocks, width)
-    gone = groups.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """The rows of ``docs`` without near duplicates: of each component the row(s) of the smallest doc_id stay, and rows without id."""
+    gone = near_duplicates(docs, bits, blocks, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 
 @query("op8_simhash_dedup")

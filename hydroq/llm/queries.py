@@ -4,7 +4,7 @@ import importlib
 
 from hydroq.llm.catalog import ORACLES, QUERIES  # noqa: F401
 
-MODULES = ("line_dedup", "embeddings", "simhash")
+MODULES = ("suffix_dedup", "line_dedup", "decontaminate", "url_filter", "embeddings", "simhash")
 
 for _name in MODULES:
     importlib.import_module(f"hydroq.llm.{_name}")

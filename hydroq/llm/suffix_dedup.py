@@ -30,7 +30,7 @@ LENGTH = 400
 GRAM = 64
 LARGE_GROUP = 4096
 PIECES_AT_ONCE = 8192
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 MULTIPLIER = 0x9E3779B97F4A7C15
 LOW64 = (1 << 64) - 1
 POSITION_BITS = np.uint64(24)

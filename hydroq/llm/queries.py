@@ -8,3 +8,9 @@ MODULES = ("suffix_dedup", "line_dedup", "decontaminate", "url_filter", "embeddi
 
 for _name in MODULES:
     importlib.import_module(f"hydroq.llm.{_name}")
+
+import corpus_pipeline  # noqa: E402
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -26,9 +26,10 @@ def components(edges):
             break
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
+        least = stage(least, "least")  # two plain inputs: a join that can split a node with very many neighbours
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
         large = stage(large, "edges")
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = stage(large.groupBy("a").agg(F.min("b").alias("low")), "least")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").union(low.select("a", F.col("low").alias("b")))
         edges = stage(small.distinct(), "edges")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()

@@ -22,8 +22,9 @@ def words_in(text):
 
 def shingle_texts(words, width):
     """Distinct runs of ``width`` words; the whole sequence if there are fewer, none without words."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1)))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, width)))))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - width, F.lit(0)))
+    runs = F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(width)]))  # slice() would copy the array each time
+    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(runs))
 
 
 def shingle_hashes(hashes, width):

@@ -107,7 +107,8 @@ class Lattice:
     def filtered(self, units):
         """Forward filtering of all units: (last node of each unit, first node, edge keys, start node and piece of the edges).
 
-        The edges into a node are neighbours; the key of an edge is its node plus the chance of it or one before it.
+        The edges into a node are neighbours; the key of an edge is its node and, in the lower 32 bits, the chance of it or one
+        before it. Whole numbers keep a draw the same whatever units are filtered together.
         """
         symbols, sizes = self.symbols(units)
         ends = np.cumsum(sizes)
@@ -135,7 +136,7 @@ class Lattice:
         level = local[start] + size
         node = start + unit[start]
         into = node + size
-        order = np.argsort((level << 40) | into)
+        order = np.argsort((level << 40) | into, kind="stable")
         node, into, piece, level = node[order], into[order], piece[order], level[order]
         weight = self.weight[piece]
         reach = np.zeros(len(symbols) + len(units))
@@ -153,12 +154,14 @@ class Lattice:
             chance[a:b] = part / np.repeat(sums, counts)
         order = np.argsort(into, kind="stable")
         node, into, piece, chance = node[order], into[order], piece[order], chance[order]
-        upto = np.cumsum(chance)
         heads = np.flatnonzero(np.r_[True, into[1:] != into[:-1]])
         counts = np.diff(np.r_[heads, len(into)])
-        upto -= np.repeat(upto[heads] - chance[heads], counts)
-        key = into + np.minimum(upto, 1.0)
-        key[heads + counts - 1] = into[heads + counts - 1] + 1.0
+        upto = chance.copy()
+        for k in range(1, int(counts.max(initial=0))):  # edge by edge, so that a sum does not depend on the other nodes
+            own = heads[counts > k] + k
+            upto[own] += upto[own - 1]
+        key = (into << 32) + np.minimum(upto * 2.0 ** 32, 2.0 ** 32).astype(np.int64)
+        key[heads + counts - 1] = (into[heads + counts - 1] + 1) << 32
         first = np.cumsum(sizes) - sizes + np.arange(len(units))
         return first + sizes, first, key, node, piece
 
@@ -179,7 +182,7 @@ class Lattice:
         taken, step = [], 0
         while len(active):
             step += 1
-            edge = np.searchsorted(key, state + _uniform(stream[active] + np.uint64(step)), "right")
+            edge = np.searchsorted(key, (state << 32) + _draw(stream[active] + np.uint64(step)), "right")
             taken.append((active, piece[edge].astype(np.int32)))
             state = start[edge]
             more = state > home
@@ -197,13 +200,13 @@ class Lattice:
         return b"".join([self.bytes_of[k] for k in ids])
 
 
-def _uniform(x):
-    """Numbers in [0, 1) from counters (splitmix64)."""
+def _draw(x):
+    """Numbers of 32 bits from counters (splitmix64)."""
     with np.errstate(over="ignore"):
         x = x * MIX
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(32)).astype(np.int64)
 
 
 _BUILT = {}

@@ -65,7 +65,8 @@ def contained(docs, items, width=5, least=0.8, id_col="doc_id", text_col="text")
     met = met.select("doc_id", "item_id", "n", "texts", words_in(F.col("text")).alias("words")).withColumn("own", shingle_texts(F.col("words"), width))
     met = met.withColumn("n_found", F.size(F.array_intersect("texts", "own")))
     out = met.select("doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), F.col("n_found").cast("long").alias("n_found"), (F.col("n_found") / F.col("n")).alias("containment"))
-    return out.where(F.col("containment") >= least).distinct()
+    # written first: a filter pushed below the projections would compute the words anew for each shingle
+    return stage(out, "contained").where(F.col("containment") >= least).distinct()
 
 
 def decontaminate(docs, items, width=5, least=0.8):

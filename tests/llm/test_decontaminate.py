@@ -45,7 +45,7 @@ def test_equals_brute_force(spark, docs_of):
     kept = decontaminate.decontaminate(own, bench)
     assert kept.columns == own.columns
     hit = {r[0] for r in got}
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == sorted(i if i is not None else -1 for i, _ in docs if i is None or i not in hit)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect()) == sorted(i if i is not None else -1 for i, _ in docs if i is None or i not in hit)
 
 
 def test_a_passage_of_most_documents(spark, docs_of):

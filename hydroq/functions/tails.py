@@ -131,40 +131,18 @@ def gamma_shape(gap):
     return k
 
 
-def shapiro_wilk(values):
-    """W and p of Royston's approximation for 3 to 5,000 sorted numbers."""
-    x = np.sort(np.asarray(values, dtype="float64"))
-    n = len(x)
-    if n < 3 or x[0] == x[-1]:
-        return float("nan"), float("nan")
-    m = np.array([_STD.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
-    mm, u = float(m @ m), 1.0 / math.sqrt(n)
-    a = np.empty(n)
-    if n == 3:
-        a[:] = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
-    else:
-        last = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, m[-1] / math.sqrt(mm)], u)
-        if n > 5:
-            before = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / math.sqrt(mm)], u)
-            phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * before**2)
-            a[:] = m / math.sqrt(phi)
-            a[[0, 1, -2, -1]] = [-last, -before, before, last]
-        else:
-            phi = (mm - 2 * m[-1] ** 2) / (1 - 2 * last**2)
-            a[:] = m / math.sqrt(phi)
-            a[[0, -1]] = [-last, last]
-    centred = x - x.mean()
-    w = min(1.0, float(a @ x) ** 2 / float(centred @ centred))
+def shapiro_tail(w, n):
+    """p of Royston's approximation for W of 3 to 5,000 numbers."""
     if n == 3:
         p = 6.0 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, max(0.0, p)
+        return max(0.0, p)
     if w == 1.0:
-        return w, 1.0
+        return 1.0
     if n <= 11:
         g = 0.459 * n - 2.273
         y = math.log1p(-w)
         if y >= g:
-            return w, 1e-99
+            return 1e-99
         y = -math.log(g - y)
         mu = np.polyval([-0.0006714, 0.025054, -0.39978, 0.5440], n)
         sd = math.exp(np.polyval([-0.0020322, 0.062767, -0.77857, 1.3822], n))
@@ -172,7 +150,12 @@ def shapiro_wilk(values):
         y, ln = math.log1p(-w), math.log(n)
         mu = np.polyval([0.0038915, -0.083751, -0.31082, -1.5861], ln)
         sd = math.exp(np.polyval([0.0030302, -0.082676, -0.4803], ln))
-    return w, normal_cdf(-(y - mu) / sd)
+    return normal_cdf(-(y - mu) / sd)
+
+
+@pandas_udf(DoubleType())
+def shapiro_p(w: pd.Series, n: pd.Series) -> pd.Series:
+    return _each(shapiro_tail, w, n)
 
 
 @pandas_udf(DoubleType())

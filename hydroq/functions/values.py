@@ -81,3 +81,24 @@ def first_value(c, order="row_key"):
 def first_row(c, order="row_key"):
     """Value of the first row in arrival order, null included."""
     return F.min_by(col(c), col(order))
+
+
+# The rational approximation of the normal quantile, centre and tails, highest power first.
+QUANTILE_A = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00]
+QUANTILE_B = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
+QUANTILE_C = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
+QUANTILE_D = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
+
+
+def normal_quantile(p):
+    """Quantile of the standard normal distribution as an expression (relative error about 1e-9)."""
+    def power(coefficients, x):
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + c
+        return out
+
+    q = p - 0.5
+    tail = F.sqrt(-2.0 * F.log(F.least(p, 1.0 - p)))
+    outside = -F.signum(q) * power(QUANTILE_C, tail) / power(QUANTILE_D, tail)
+    return F.when(F.abs(q) <= 0.47575, q * power(QUANTILE_A, q * q) / power(QUANTILE_B, q * q)).otherwise(outside)

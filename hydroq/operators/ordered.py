@@ -166,45 +166,30 @@ def top_k(df, keys, order, k):
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-SHORT_SERIES = 64
-
-
 def pair_sign_sum(df, keys, order, value, block):
     """Sum of sign(later value - earlier value) over all row pairs of a series, without making pairs.
 
-    Series of at most 64 rows are compared inside one array; longer ones go through
-    ``long_pair_sign_sum``. Returns keys, ``n`` and ``s`` for series of two rows or more.
+    Returns keys, ``n`` and ``s`` for series of two rows or more. Position and size of a series both come from the block
+    totals, so no join on the bare key is needed.
     """
-    keys = list(keys)
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    short = df.join(sized.where(F.col("n") <= SHORT_SERIES), keys).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.transform(F.array_sort(F.collect_list(F.struct(order, col(value).alias("_v")))), lambda e: e["_v"]).alias("_a")
-    )
-
-    def later_minus_earlier(v, i):
-        rest = F.slice("_a", i + 2, SHORT_SERIES)
-        return F.aggregate(rest, F.lit(0), lambda acc, w: acc + F.signum(w - v).cast("int"))
-
-    total = F.aggregate(F.transform("_a", later_minus_earlier), F.lit(0).cast("long"), lambda acc, w: acc + w)
-    long_rows = df.join(sized.where(F.col("n") > SHORT_SERIES).select(*keys), keys, "left_semi")
-    placed = with_position(long_rows, keys, order, block)
-    return short.select(*keys, "n", total.alias("s")).unionByName(long_pair_sign_sum(placed, keys, "position", value))
+    one = df.withColumn("_one", F.lit(1).cast("long"))
+    placed = running_totals(one, list(keys), order, {"_one": "position"}, block).withColumnRenamed("position_all", "n")
+    return long_pair_sign_sum(placed.where("n > 1"), keys, "position", value)
 
 
-def long_pair_sign_sum(df, keys, position, value):
-    """The pair sum for series of any length from their positions 0..n-1.
+def long_pair_sign_sum(df, keys, position, value, size="n"):
+    """The pair sum for series of any length from their positions 0..n-1 and their ``size``.
 
     Two positions first differ at exactly one binary digit; at that digit's level they sit in the
     left and the right half of one block. So each row enters one block per level, and a block
     compares its halves by running totals in value order: n log n rows instead of n squared.
     """
-    sized = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    levels = df.join(sized, list(keys)).select(
+    levels = df.select(
         *keys,
-        "n",
+        F.col(size).alias("n"),
         F.col(value).alias("_v"),
         F.col(position).alias("_p"),
-        F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col("n") - 1)) - 1)).alias("_level"),
+        F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col(size) - 1)) - 1)).alias("_level"),
     )
     block_no = F.expr("shiftright(_p, _level + 1)")
     right = F.expr("shiftright(_p, _level) & 1")

@@ -17,21 +17,21 @@ def _long(wide, cells, *keys):
 
 def missing_by_column(df):
     """Null count and share per column, one pass."""
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in df.columns])
+    types, names = {f.name: f.dataType.simpleString() for f in df.schema.fields}, S.source_columns(df)
+    wide = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(c).alias(c) for c in names])
     cells = [
         F.struct(
             F.lit(c).alias("column"), (F.col("_n") - F.col(c)).alias("missing_count"),
             percent_or_zero(F.col("_n") - F.col(c), "_n").alias("missing_percent"), F.lit(types[c]).alias("data_type"),
         )
-        for c in df.columns
+        for c in names
     ]
     return _long(wide, cells).orderBy(F.desc("missing_percent"), "column")
 
 
 def missing_by_station(df, key="StationNumber"):
     """Mean over stations of the station's null share, per column."""
-    columns = [c for c in df.columns if c != key]
+    columns = [c for c in S.source_columns(df) if c != key]
     per = df.where(col(key).isNotNull()).groupBy(key).agg(*[(F.avg(col(c).isNull().cast("double")) * 100).alias(c) for c in columns])
     wide = per.agg(*[F.avg(c).alias(c) for c in columns])
     return _long(wide, [F.struct(F.lit(c).alias("column"), F.col(c).alias("missing_percent")) for c in columns])
@@ -39,14 +39,14 @@ def missing_by_station(df, key="StationNumber"):
 
 def null_patterns(df):
     """Rows per combination of null columns. Few combinations occur, so all pair counts follow from this."""
-    return df.groupBy(F.array_compact(F.array(*[F.when(col(c).isNull(), F.lit(c)) for c in df.columns])).alias("nulls")).agg(
+    return df.groupBy(F.array_compact(F.array(*[F.when(col(c).isNull(), F.lit(c)) for c in S.source_columns(df)])).alias("nulls")).agg(
         F.count(F.lit(1)).alias("n")
     )
 
 
 def missingness_correlation(df):
     """Pearson correlation of null indicators for each pair of columns; constant columns give null."""
-    names = df.columns
+    names = S.source_columns(df)
     patterns = null_patterns(df)
     has = {c: F.array_contains("nulls", c) for c in names}
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1:]]
@@ -78,11 +78,12 @@ def missing_mechanism(df, limit=0.1):
 
 def dataset_profile(df):
     """Rows, columns, cells and the rows that belong to groups of equal rows."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    names = S.source_columns(df)
+    groups = df.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
-        F.lit(len(df.columns)).alias("columns"),
-        (F.coalesce(F.sum("_n"), F.lit(0)) * len(df.columns)).alias("total_cells"),
+        F.lit(len(names)).alias("columns"),
+        (F.coalesce(F.sum("_n"), F.lit(0)) * len(names)).alias("total_cells"),
         F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("duplicate_rows"),
     )
 
@@ -96,7 +97,7 @@ def value_counts(df, columns):
 
 def column_profile(df, k=5):
     """Filled, null, distinct and repeated values per column and the k most frequent texts as a map."""
-    counts = value_counts(df, df.columns)
+    counts = value_counts(df, S.source_columns(df))
     base = counts.groupBy("column").agg(
         F.coalesce(F.sum(F.when(col("value").isNotNull(), col("n"))), F.lit(0)).alias("non_null_count"),
         F.coalesce(F.sum(F.when(col("value").isNull(), col("n"))), F.lit(0)).alias("null_count"),
@@ -209,7 +210,7 @@ def duplicate_summary(df, key=("StationNumber", "SampleDateTime", "VariableName"
         groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
         return groups.agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("r"))
 
-    exact = repeated(df.columns).select(F.col("r").alias("exact_duplicates"))
+    exact = repeated(S.source_columns(df)).select(F.col("r").alias("exact_duplicates"))
     return exact.withColumn("key_column_duplicates", repeated(list(key)).scalar())
 
 

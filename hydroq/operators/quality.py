@@ -115,22 +115,18 @@ def timeline(df):
     return df.groupBy(month.alias("YearMonth")).agg((F.avg(col(Q).isNull().cast("double")) * 100).alias("pct_clean"))
 
 
-def completeness_matrix(df, codes, first=30):
+def completeness_matrix(df):
     """Row counts per (station, code) as percent of the code's largest station count, zeros included.
 
-    The first stations by number are shown. Zero cells come from pivoting the listed codes, so no
-    key is crossed with another.
+    All stations and all codes of the data; the list of codes, a dictionary, is one scalar value.
     """
     cells = df.where(col("StationNumber").isNotNull()).groupBy("StationNumber", "VmvCode").agg(F.count(F.lit(1)).alias("n"))
     largest = cells.groupBy("VmvCode").agg(F.max("n").alias("most"))
-    shown = df.where(col("StationNumber").isNotNull()).select("StationNumber").distinct().orderBy("StationNumber").limit(first)
-    wide = cells.join(shown, "StationNumber", "left_semi").groupBy("StationNumber").pivot("VmvCode", list(codes)).agg(F.sum("n")).na.fill(0)
-    long = wide.unpivot(["StationNumber"], [F.col(f"`{c}`") for c in codes], "VmvCode", "n")
-    return (
-        long.withColumn("VmvCode", F.col("VmvCode").cast("int"))
-        .join(largest, "VmvCode")
-        .select("StationNumber", "VmvCode", percent("n", "most").alias("completeness"))
-    )
+    codes = largest.agg(F.collect_set("VmvCode")).scalar()
+    grid = cells.groupBy("StationNumber").agg(F.map_from_entries(F.collect_list(F.struct("VmvCode", "n"))).alias("_n"))
+    long = grid.withColumn("_codes", codes).select("StationNumber", "_n", F.explode("_codes").alias("VmvCode"))
+    long = long.select("StationNumber", "VmvCode", F.coalesce(F.try_element_at("_n", "VmvCode"), F.lit(0)).alias("n"))
+    return long.join(largest, "VmvCode").select("StationNumber", "VmvCode", percent("n", "most").alias("completeness"))
 
 
 def station_quality_map(df, threshold=90.0):

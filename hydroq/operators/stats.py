@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from hydroq import schema as S
 from hydroq.functions import tails
-from hydroq.functions.values import col, ratio
+from hydroq.functions.values import col, normal_quantile, ratio
 from hydroq.operators import ordered, profile
-from hydroq.sources.staging import stage
 
 V = "MeasurementValueNum"
 TS = "SampleDateTime"
@@ -76,21 +75,49 @@ def anderson_darling(df, keys=("VmvCode",), value=V):
     return out.withColumn("statistic", -n - F.col("_sum") / n).drop("_sum").withColumns(levels)
 
 
-def shapiro(df, keys=("VmvCode",), value=V, most=5000):
-    """Shapiro-Wilk for keys with 3 to 5,000 numbers. Sizes are counted first, so no larger group is gathered."""
-    shapiro_wilk = tails.shapiro_wilk
-    keys = list(keys)
-    rows = df.where(col(value).isNotNull()).select(*keys, value)
-    fit = rows.groupBy(*keys).agg(F.count(value).alias("size")).where(f"size >= 3 and size <= {int(most)}")
-    bounded = rows.join(fit, keys)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+# Polynomials in 1/sqrt(n) of the two outer weights, highest power first.
+SHAPIRO_LAST = [-2.706056, 4.434685, -2.07119, -0.147981, 0.221157]
+SHAPIRO_BEFORE = [-3.582633, 5.682633, -1.752461, -0.293762, 0.042981]
+
+
+def _polynomial(coefficients, x):
+    out = F.lit(0.0)
+    for c in coefficients:
+        out = out * x + c
+    return out
+
 
-    def test(group):
-        head = group.iloc[[0]][keys].copy()
-        w, p = shapiro_wilk(group[value])
-        return head.assign(sample_size=len(group), statistic=w, p_value=p)
+def shapiro(df, keys=("VmvCode",), value=V):
+    """Shapiro-Wilk for every key, whatever its size.
 
-    out = bounded.groupBy(*keys).applyInPandas(test, f"{fields}, sample_size bigint, statistic double, p_value double")
+    The weights depend on rank and size only, so W is made of sums over the ranked values; no key is gathered. With fewer
+    than 3 numbers or a single value W is null. Beyond 5,000 numbers the p value is not defined and stays null.
+    """
+    keys = list(keys)
+    ranked = ordered.distribution(df.select(*keys, value), keys, value)
+    ranked = ranked.withColumn("_i", F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))))
+    n, i, x = F.col("total").cast("double"), F.col("_i"), col(value)
+    ranked = ranked.withColumn("_m", normal_quantile((i - 0.375) / (n + 0.25)))
+
+    def at(place):
+        return F.max(F.when(i == place, x))
+
+    sums = ranked.groupBy(*keys).agg(
+        F.max("total").alias("sample_size"), F.sum(F.col("_m") * F.col("_m")).alias("_mm"), F.sum(F.col("_m") * x).alias("_mx"), (F.var_pop(x) * F.count(x)).alias("_ss"),
+        at(F.lit(1)).alias("_x1"), at(F.lit(2)).alias("_x2"), at(F.col("total") - 1).alias("_y2"), at(F.col("total")).alias("_y1"),
+        F.max(F.when(i == F.col("total"), F.col("_m"))).alias("_m1"), F.max(F.when(i == F.col("total") - 1, F.col("_m"))).alias("_m2"),
+    )
+    size, mm, m1, m2 = F.col("sample_size"), F.col("_mm"), F.col("_m1"), F.col("_m2")
+    u = 1.0 / F.sqrt(size.cast("double"))
+    outer = F.when(size == 3, F.sqrt(F.lit(0.5))).otherwise(_polynomial([*SHAPIRO_LAST, m1 / F.sqrt(mm)], u))
+    sums = sums.withColumns({"_a1": outer, "_a2": F.when(size > 5, _polynomial([*SHAPIRO_BEFORE, m2 / F.sqrt(mm)], u))})
+    a1, a2 = F.col("_a1"), F.col("_a2")
+    wide, inner = F.col("_y1") - F.col("_x1"), F.col("_y2") - F.col("_x2")
+    phi = F.when(size > 5, (mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)).when(size > 3, (mm - 2 * m1 * m1) / (1 - 2 * a1 * a1))
+    dot = F.when(size == 3, a1 * wide).when(size > 5, (F.col("_mx") - m1 * wide - m2 * inner) / F.sqrt(phi) + a1 * wide + a2 * inner).otherwise((F.col("_mx") - m1 * wide) / F.sqrt(phi) + a1 * wide)
+    w = F.when((size >= 3) & (F.col("_ss") > 0), F.least(F.lit(1.0), dot * dot / F.col("_ss")))
+    out = sums.select(*keys, "sample_size", w.alias("statistic"))
+    out = out.withColumn("p_value", F.when(F.col("statistic").isNotNull() & (F.col("sample_size") <= 5000), tails.shapiro_p("statistic", F.col("sample_size").cast("double"))))
     return out.withColumn("normal", F.col("p_value") > S.ALPHA)
 
 
@@ -409,64 +436,3 @@ def pair_differences(df, unit, category, categories, value=V):
             ).alias(f"_{len(cells)}"))
             cells.append(F.col(f"_{len(cells)}"))
     return wide.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("pairs > 0")
-
-
-# ---- isolation forest ----------------------------------------------------------------
-
-def isolation_forest(df, value=V, trees=100, sample=256, seed=42):
-    """Rows whose isolation score lies in the top share (contamination) of all scores.
-
-    One-dimensional trees are grown on seeded samples of 256 numbers, one tree per task row. The
-    forest (at most 100 x 511 nodes) is a bounded broadcast; scores are computed once per distinct
-    value and the cut is the exact quantile of the scores of all rows.
-    """
-    rows = df.where(col(value).isNotNull())
-    counts = rows.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    # a seeded hash per (row, tree) is the draw; a threshold keeps some twice the sample size per tree,
-    # and the smallest draws of a tree are its sample
-    total = rows.agg(F.count(F.lit(1)).cast("double")).scalar()
-    limit = F.when(total < 8 * sample, 2.0).otherwise(2.0 * sample / total)
-    draws = F.transform(
-        F.sequence(F.lit(0), F.lit(trees - 1)),
-        lambda t: F.struct(t.alias("tree"), (F.pmod(F.xxhash64(col("row_key"), t, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)).alias("draw")),
-    )
-    drawn = rows.withColumn("_limit", limit).select(value, "row_key", F.explode(F.filter(draws, lambda d: d["draw"] < F.col("_limit"))).alias("d"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy("draw", "row_key"))
-    chosen = drawn.select(col(value).cast("double").alias("v"), "row_key", "d.*").withColumn("_r", rank).where(F.col("_r") <= sample).select("tree", "v")
-    depth_limit = max(1, int(np.ceil(np.log2(sample))))
-
-    def harmonic(m):
-        return 0.0 if m <= 1 else (1.0 if m == 2 else 2.0 * (np.log(m - 1) + 0.5772156649015329) - 2.0 * (m - 1) / m)
-
-    def grow(group):
-        rng = np.random.default_rng(seed + int(group["tree"].iloc[0]))
-        todo, leaves = [(np.sort(group["v"].to_numpy()), 0, -np.inf, np.inf)], []
-        while todo:
-            x, depth, low, high = todo.pop()
-            if depth >= depth_limit or len(x) <= 1 or x[0] == x[-1]:
-                leaves.append((low, high, depth + harmonic(len(x))))
-                continue
-            cut = rng.uniform(x[0], x[-1])
-            todo += [(x[x <= cut], depth + 1, low, cut), (x[x > cut], depth + 1, cut, high)]
-        out = pd.DataFrame(sorted(leaves), columns=["low", "high", "path"])
-        return out.assign(tree=int(group["tree"].iloc[0]))
-
-    leaves = chosen.groupBy("tree").applyInPandas(grow, "low double, high double, path double, tree int")
-    table = leaves.toPandas()
-    forest = [(t["high"].to_numpy(), t["path"].to_numpy()) for _, t in table.sort_values(["tree", "low"]).groupby("tree")]
-    scale = harmonic(sample)
-
-    def score(batches):
-        for batch in batches:
-            x = batch[value].to_numpy()
-            path = np.zeros(len(x))
-            for high, lengths in forest:
-                path += lengths[np.minimum(np.searchsorted(high, x, side="left"), len(lengths) - 1)]
-            yield batch.assign(score=2.0 ** (-(path / max(len(forest), 1)) / scale))
-
-    fields = f"`{value}` double, n bigint, score double"
-    scored = stage(counts.select(col(value).cast("double").alias(value), "n").mapInPandas(score, fields), "isolation-scores")
-    per_score = scored.groupBy("score").agg(F.sum("n").alias("n"))
-    placed = ordered.running_totals(per_score, [], "score", {"n": "before"}, F.floor(F.col("score") * 4096).cast("int")).withColumnRenamed("before_all", "total")
-    cut = placed.agg(*ordered.quantile_columns("score", {"cut": 1.0 - S.CONTAMINATION})).scalar()
-    return scored.withColumn("is_outlier", F.col("score") > cut)

@@ -72,13 +72,8 @@ def with_arrival_previous(df, keys):
     return ordered.with_previous(df, list(keys), "row_key", {TS: "previous"}, col("arrival_block"))
 
 
-def time_travel(df, key="StationNumber", compat=False):
-    """Rows per key whose time lies before that of the row arriving just before.
-
-    ``compat`` sorts by time first, which can never find one.
-    """
-    if compat:
-        return df.select(key).limit(0).withColumn("reversals", F.lit(0).cast("long"))
+def time_travel(df, key="StationNumber"):
+    """Rows per key whose time lies before that of the row arriving just before."""
     back = with_arrival_previous(df.where(col(key).isNotNull()), [key]).where(col(TS) < col("previous"))
     return back.groupBy(key).agg(F.count(F.lit(1)).alias("reversals"))
 

@@ -116,7 +116,7 @@ def monthly_table(df):
 
 def synthesis(df, normality):
     """One row: size, computed completeness, likely normal series and the readiness class."""
-    columns = df.columns
+    columns = S.source_columns(df)
     filled = sum((F.count(c) for c in columns[1:]), F.count(columns[0]))
     cells = F.count(F.lit(1)) * len(columns)
     one = df.agg(F.count(F.lit(1)).alias("total_rows"), cells.alias("total_cells"), percent_or_zero(filled, cells).alias("completeness_percent"))

@@ -202,12 +202,12 @@ def _(spark, sf):
 @query(
     "e17_completeness_matrix",
     """WITH c AS (SELECT StationNumber, VmvCode, count(*) n FROM obs GROUP BY 1,2), m AS (SELECT VmvCode, max(n) most FROM c GROUP BY 1),
-    s AS (SELECT DISTINCT StationNumber FROM obs ORDER BY 1 LIMIT 30)
+    s AS (SELECT DISTINCT StationNumber FROM obs)
     SELECT s.StationNumber, m.VmvCode, 100.0*coalesce(n,0)/most AS completeness FROM s CROSS JOIN m LEFT JOIN c USING (StationNumber, VmvCode)""",
     "completeness",
 )
 def _(spark, sf):
-    return quality.completeness_matrix(obs(spark, sf, "StationNumber", "VmvCode"), range(91))
+    return quality.completeness_matrix(obs(spark, sf, "StationNumber", "VmvCode"))
 
 
 @query(

@@ -228,11 +228,6 @@ def _(spark, sf):
     return temporal.time_travel(obs(spark, sf, "StationNumber", "SampleDateTime", "row_key", "arrival_block"))
 
 
-@query("f39_time_travel_compat", "SELECT StationNumber, count(*) AS reversals FROM obs WHERE false GROUP BY 1")
-def _(spark, sf):
-    return temporal.time_travel(obs(spark, sf, "StationNumber", "SampleDateTime", "row_key", "arrival_block"), compat=True)
-
-
 @query("f40_year_coverage", 'SELECT year(SampleDateTime)::INT AS "Year", StationNumber, count(DISTINCT SampleNumber) AS "UniqueSamples", count(MeasurementValue) AS "MeasurementCount" FROM obs GROUP BY 1,2')
 def _(spark, sf):
     return temporal.year_coverage(obs(spark, sf, "SampleDateTime", "StationNumber", "SampleNumber", "MeasurementValue"))
@@ -362,8 +357,8 @@ def _(spark, sf):
     "running_pct",
 )
 def _(spark, sf):
-    counts = obs(spark, sf, "VmvCode").groupBy("VmvCode").agg(records()).withColumn("_k", -F.col("records") * 1000 + F.col("VmvCode"))
-    run = ordered.running_totals(counts, [], "_k", {"records": "before"}, ordered.value_block(F.col("_k").cast("double")))
+    counts = obs(spark, sf, "VmvCode").groupBy("VmvCode").agg(records()).withColumn("_k", F.struct(-F.col("records"), "VmvCode"))
+    run = ordered.running_totals(counts, [], "_k", {"records": "before"}, ordered.value_block(-F.col("records").cast("double")))
     return run.select("VmvCode", "records", (100.0 * (F.col("before") + F.col("records")) / F.col("before_all")).alias("running_pct"))
 
 

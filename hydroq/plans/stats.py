@@ -44,12 +44,6 @@ def _(spark, sf):
     return stats.identify_distribution(obs(spark, sf, "VmvCode", _V))
 
 
-@query("f31_isolation_forest")
-def _(spark, sf):
-    scored = stats.isolation_forest(obs(spark, sf, "row_key", _V))
-    return scored.groupBy("is_outlier").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("values"), F.min("score").alias("low"), F.max("score").alias("high"))
-
-
 _SERIES = ("StationNumber", "VmvCode", "SampleDateTime", "row_key", _V)
 
 

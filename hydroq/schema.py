@@ -118,3 +118,12 @@ AUDIT_TAGS = {
     "C1": "C1:LowCompleteness",
     "C2": "C2:InsufficientRepresentativeness",
 }
+
+
+# What the reader adds to the columns of a file; whole-row operators leave it out.
+DERIVED_COLUMNS = ("row_key", "arrival_block", "MeasurementValueNum")
+
+
+def source_columns(df):
+    """The columns of the data itself. A frame without row_key was chosen column by column and is taken whole."""
+    return [c for c in df.columns if c not in DERIVED_COLUMNS] if "row_key" in df.columns else list(df.columns)

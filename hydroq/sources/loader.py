@@ -1,6 +1,7 @@
 """Typed reading and validation of measurement files."""
 
 from pyspark import StorageLevel
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,12 +34,26 @@ def null_texts_to_null(c):
     return F.when(~col(c).isin(S.NULL_TEXTS), col(c))
 
 
-def _raw_csv(spark, paths):
+def _raw_csv(spark, paths, rank=0):
+    """The columns of the schema as text, with the place of each row: rank of the read, file, split start and row id."""
     raw = spark.read.option("header", True).csv(paths)
     missing = [n for n, _ in S.CSV_COLUMNS if n not in raw.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    return raw
+    place = [F.lit(rank).alias("_rank"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start")]
+    return raw.select(*[n for n, _ in S.CSV_COLUMNS], *place, F.monotonically_increasing_id().alias("_id"))
+
+
+def _in_order(raw):
+    """``raw`` with ``row_key``: rows are numbered by file path, then by place in the file.
+
+    Spark deals file splits out by size, so row ids alone do not follow the files. Each split's rows are counted, the
+    counts are added up in the order of the splits (one row a split), and a row's number is its split's offset plus its place in it.
+    """
+    splits = raw.groupBy("_rank", "_file", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    before = Window.orderBy("_rank", "_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    return raw.join(splits, ["_rank", "_file", "_start"]).withColumn("row_key", F.col("_before") + F.col("_id") - F.col("_first"))
 
 
 def _typed(raw, strict_dates):
@@ -47,7 +62,7 @@ def _typed(raw, strict_dates):
     for name, kind in S.CSV_COLUMNS:
         text = null_texts_to_null(name)
         cells.append((text if isinstance(kind, T.StringType) else text.try_cast(kind)).alias(name))
-    typed = raw.select(*cells, F.monotonically_increasing_id().alias("row_key"))
+    typed = _in_order(raw).select(*cells, "row_key")
     return typed.withColumns({
         "SampleDateTime": parse_dates("SampleDateTime", strict_dates),
         "MeasurementValueNum": to_number("MeasurementValue"),
@@ -62,7 +77,7 @@ def read_csv(spark, paths, strict_dates=False):
 
 def read_parts(spark, paths, strict_dates=False):
     """Files with differing column order as one frame: a union by name, the splits taking the place of chunks."""
-    frames = [_raw_csv(spark, p).select(*[n for n, _ in S.CSV_COLUMNS]) for p in paths]
+    frames = [_raw_csv(spark, p, rank) for rank, p in enumerate(paths)]
     whole = frames[0]
     for frame in frames[1:]:
         whole = whole.unionByName(frame)
@@ -117,18 +132,23 @@ def example_rows(df, column, codes, n=3, order="row_key"):
 
 
 def validate(df, required, lat=(51.0, 61.0), lon=(-128.0, -110.0)):
-    """Rows with a location flag, exact duplicates removed; missing columns raise."""
+    """Rows with a location flag, exact duplicates removed, the first to arrive kept; missing columns raise."""
     missing = sorted(set(required) - set(df.columns))
     if missing:
         raise ValueError(f"missing required columns: {', '.join(missing)}")
     inside = F.col("LatitudeDecimalDegrees").between(*lat) & F.col("LongitudeDecimalDegrees").between(*lon)
-    return df.withColumn("location_ok", true_or_false(inside)).distinct()
+    flagged = df.withColumn("location_ok", true_or_false(inside))
+    derived = [c for c in S.DERIVED_COLUMNS if c in df.columns and c not in S.source_columns(df)]
+    if not derived:
+        return flagged.distinct()
+    # equal rows have equal derived values but for their place, of which the smallest stays
+    return flagged.groupBy(*S.source_columns(df), "location_ok").agg(*[F.min(c).alias(c) for c in derived]).select(*df.columns, "location_ok")
 
 
 def ingest_metrics(df, required, warn_pct=5.0, **bounds):
     """One row: rows before and after duplicate removal, share of duplicates, location failures."""
     flagged = df.withColumn("_rows", F.lit(1))
-    keys = list(df.columns)
+    keys = S.source_columns(df)
     validate(df, required, **bounds)
     lat, lon = bounds.get("lat", (51.0, 61.0)), bounds.get("lon", (-128.0, -110.0))
     inside = F.col("LatitudeDecimalDegrees").between(*lat) & F.col("LongitudeDecimalDegrees").between(*lon)

@@ -42,6 +42,38 @@ def test_parts_have_one_arrival_order(spark, tmp_path):
     assert rows.select("row_key").distinct().count() == 12
 
 
+def test_arrival_follows_the_files_whatever_their_size(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    want = []
+    for name, size in (("a", 2), ("b", 500), ("c", 1), ("d", 90)):
+        _write(str(folder / f"{name}.csv"), [{"StationNumber": f"{name}{j}"} for j in range(size)])
+        want += [f"{name}{j}" for j in range(size)]
+    rows = loader.read_csv(spark, str(folder))
+    assert [r[0] for r in rows.orderBy("row_key").select("StationNumber").collect()] == want
+    assert [r[0] for r in rows.orderBy("row_key").select("row_key").collect()] == list(range(len(want)))
+    parts = loader.read_parts(spark, [str(folder / f"{n}.csv") for n in "dba"])
+    assert [r[0][0] for r in parts.orderBy("row_key").select("StationNumber").collect()] == ["d"] * 90 + ["b"] * 500 + ["a"] * 2
+
+
+def test_equal_rows_of_a_file_are_duplicates(spark, tmp_path):
+    path = str(tmp_path / "twice.csv")
+    _write(path, [{"StationNumber": f"s{j % 50}", "VmvCode": 1, "VariableName": "pH", "MeasurementValue": j % 50, "SampleDateTime": "1/12/2023 14:35"} for j in range(52)])
+    rows = loader.read_csv(spark, path)
+    size = len(S.CSV_COLUMNS)
+    found = reports.exploration(rows)
+    assert found["duplicates"].first()["exact_duplicates"] == 4
+    whole = found["dataset_profile"].first()
+    assert (whole["rows"], whole["columns"], whole["total_cells"], whole["duplicate_rows"]) == (52, size, 52 * size, 4)
+    assert found["missing_overall"].count() == size and found["column_analysis"].count() == size
+    assert found["synthesis"].first()["total_columns"] == size
+    kept = loader.validate(rows, ["StationNumber"])
+    assert kept.columns == [*rows.columns, "location_ok"]
+    assert sorted(r[0] for r in kept.select("row_key").collect()) == list(range(50))
+    metrics = loader.ingest_metrics(rows, ["StationNumber"]).first()
+    assert (metrics["rows_before"], metrics["rows_after"]) == (52, 50)
+
+
 def test_missing_columns_and_paths(spark, tmp_path):
     path = str(tmp_path / "bad.csv")
     _write(path, [{"StationNumber": "A"}], ["StationNumber"])

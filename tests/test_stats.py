@@ -29,16 +29,6 @@ def test_gamma_shape_recovers_parameter():
     assert tails.gamma_shape(gap) == pytest.approx(k, rel=1e-4)
 
 
-def test_shapiro_known_sample():
-    # the worked example of the test's authors
-    x = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
-    w, p = tails.shapiro_wilk(x)
-    assert w == pytest.approx(0.79, abs=0.005) and p == pytest.approx(0.0067, abs=0.002)
-    normal = [NormalDist().inv_cdf((i - 0.5) / 200) for i in range(1, 201)]
-    w, p = tails.shapiro_wilk(normal)
-    assert w > 0.99 and p > 0.5
-
-
 def _values(make, xs, code=1):
     return make([{"VmvCode": code, "MeasurementValueNum": float(x), "SampleDateTime": f"2020-01-01 00:{i // 60:02d}:{i % 60:02d}"} for i, x in enumerate(xs)])
 
@@ -105,17 +95,6 @@ def test_false_discovery_rate(spark):
         assert got[p][0] == pytest.approx(min(1.0, p * 6))
 
 
-def test_isolation_forest_marks_the_far_values(make):
-    rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(0, 1, 970), rng.normal(60, 1, 30)])
-    got = stats.isolation_forest(_values(make, x)).toPandas()
-    far = got[got.MeasurementValueNum > 50]
-    assert far.is_outlier.all() and got.is_outlier.mean() <= 0.06
-    again = stats.isolation_forest(_values(make, x)).toPandas()
-    merged = got.merge(again, on="MeasurementValueNum")
-    assert np.allclose(merged.score_x, merged.score_y)
-
-
 def test_cross_correlation_matches_pandas(make):
     rng = np.random.default_rng(2)
     rows = [
@@ -148,3 +127,37 @@ def test_constant_column_has_no_scores(make):
     assert profile.outlier_counts(rows, ["VmvCode"], method="zscore").collect()[0]["outlier_count"] == 0
     kinds = {r["pattern"] for r in profile.suspicion_patterns(rows, ["MeasurementValueNum", "LatitudeDecimalDegrees"]).collect()}
     assert kinds == {"all_identical_value", "all_missing"}
+
+
+def _shapiro(values):
+    """W by its definition over a sorted sample."""
+    x = np.sort(np.array(values, float))
+    n = len(x)
+    m = np.array([NormalDist().inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)])
+    a, u, mm = m.copy(), 1 / math.sqrt(n), m @ m
+    if n == 3:
+        a = np.array([-math.sqrt(0.5), 0, math.sqrt(0.5)])
+    else:
+        a[-1] = np.polyval([-2.706056, 4.434685, -2.07119, -0.147981, 0.221157, m[-1] / math.sqrt(mm)], u)
+        k = 2 if n > 5 else 1
+        if n > 5:
+            a[-2] = np.polyval([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, m[-2] / math.sqrt(mm)], u)
+        a[k:-k] = m[k:-k] / math.sqrt((mm - 2 * (m[-k:] ** 2).sum()) / (1 - 2 * (a[-k:] ** 2).sum()))
+        a[:k] = -a[-k:][::-1]
+    return (a @ x) ** 2 / ((x - x.mean()) ** 2).sum()
+
+
+def test_shapiro_by_ranks(spark):
+    rng = np.random.default_rng(3)
+    groups = {1: [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236], 2: list(rng.normal(1e4, 1, 200)), 3: [1.0, 2.5, 9.0], 4: [1, 2, 2, 7], 5: [3, 1, 1, 1, 2], 6: list(rng.integers(0, 5, 300)), 7: list(rng.normal(0, 1, 6000)), 8: [2, 2, 2], 9: [1, 2], 10: [5, 4, 4, 3, 1, 9]}
+    rows = spark.createDataFrame([(k, float(x)) for k, xs in groups.items() for x in xs], "VmvCode int, MeasurementValueNum double")
+    got = {r.VmvCode: r for r in stats.shapiro(rows).collect()}
+    assert {k: r.sample_size for k, r in got.items()} == {k: len(v) for k, v in groups.items()}
+    for k, xs in groups.items():
+        if k in (8, 9):
+            assert got[k].statistic is None and got[k].p_value is None
+        else:
+            assert got[k].statistic == pytest.approx(_shapiro(xs), rel=1e-6)
+    # the worked example of the test's authors
+    assert got[1].statistic == pytest.approx(0.79, abs=0.005) and got[1].p_value == pytest.approx(0.0067, abs=0.002)
+    assert got[2].normal and got[7].statistic > 0.99 and got[7].p_value is None

@@ -1,6 +1,8 @@
 """Session defaults. On a cluster the submit configuration wins; these only fill gaps."""
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -14,7 +16,9 @@ DEFAULTS = {
 
 
 def local_session(cpus="8", shuffle_partitions=None, app="hydroq"):
-    """A local session for tests and benchmarks."""
+    """A local session for tests and benchmarks; its scratch folder is removed at exit."""
+    scratch = tempfile.mkdtemp(prefix="hydroq-ckpt-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
@@ -22,7 +26,7 @@ def local_session(cpus="8", shuffle_partitions=None, app="hydroq"):
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("HYDROQ_DRIVER_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", shuffle_partitions or cpus)
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="hydroq-ckpt-"))
+        .config("spark.checkpoint.dir", scratch)
     )
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)

@@ -1,20 +1,25 @@
 """Intermediate tables in the shared folder of the session."""
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+_STAGED = {}  # application id: (session, paths)
+
 
 def shared_folder(spark):
-    """The folder named by spark.checkpoint.dir; a temporary one only for a local master."""
+    """The folder named by spark.checkpoint.dir. A local master without one gets a temporary folder, removed at exit."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
-    if spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
         base = tempfile.mkdtemp(prefix="hydroq-")
-        spark.conf.set("hydroq.local.folder", spark.conf.get("hydroq.local.folder", base))
-        return spark.conf.get("hydroq.local.folder")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", base)
+        return base
     raise ValueError("spark.checkpoint.dir is not set; name a folder that all executors can reach")
 
 
@@ -28,11 +33,17 @@ def stage(df, name):
 
     The lineage ends at the files, so a lost executor costs no recomputation, and the planner knows
     the real size: it broadcasts the table in later joins only below its broadcast limit and falls
-    back to a shuffled join above it.
+    back to a shuffled join above it. The files stay until ``release`` or the end of the driver.
     """
-    path = scratch_dir(df.sparkSession, name)
+    spark = df.sparkSession
+    path = scratch_dir(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    key = spark.sparkContext.applicationId
+    if key not in _STAGED:
+        _STAGED[key] = (spark, [])
+        atexit.register(_forget, key)
+    _STAGED[key][1].append(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def stage_all(frames):
@@ -40,3 +51,21 @@ def stage_all(frames):
     with ThreadPoolExecutor(max_workers=len(frames)) as pool:
         staged = {name: pool.submit(stage, frame, name) for name, frame in frames.items()}
         return {name: job.result() for name, job in staged.items()}
+
+
+def release(spark):
+    """Delete the staged tables of this application; call it when the results made of them are written."""
+    _, paths = _STAGED.get(spark.sparkContext.applicationId, (None, []))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while paths:
+        path = jvm.org.apache.hadoop.fs.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _forget(key):
+    spark, _ = _STAGED.get(key, (None, []))
+    try:
+        if spark is not None and spark.sparkContext._jsc is not None:
+            release(spark)
+    except Exception:  # the driver's JVM may be gone; the files lie below the folder the cluster named
+        pass

@@ -100,6 +100,15 @@ def test_staged_table_keeps_schema_and_rows(spark):
     assert staging.stage(rows.where("false"), "e").count() == 0
 
 
+def test_staged_tables_can_be_released(spark):
+    staging.release(spark)
+    before = set(os.listdir(staging.shared_folder(spark)))
+    staging.stage(spark.range(5), "gone")
+    assert any(x.startswith("gone-") for x in set(os.listdir(staging.shared_folder(spark))) - before)
+    staging.release(spark)
+    assert not any(x.startswith("gone-") for x in os.listdir(staging.shared_folder(spark)))
+
+
 def test_composed_reports_run(spark, sf_dir, tmp_path):
     base = loader.remember(obs(spark, sf_dir))
     pages = {

@@ -393,12 +393,14 @@ def outlier_flag_association(df, keys=("VmvCode",), value=V, code="SUS"):
     return out.withColumn("phi", F.try_divide(a * d - b * c, F.when(spread > 0, spread)))
 
 
-def cross_correlation(df, unit, category, categories, value=V):
-    """Correlation of the unit means of every pair of listed categories.
+def cross_correlation(df, unit, category, categories=None, value=V):
+    """Correlation of the unit means of every pair of categories, those of the data (a dictionary) unless listed.
 
     Each task folds its pivoted rows into one matrix of sums, so a task emits a matrix instead of
     the pairs of every unit, and the matrices are added up.
     """
+    if categories is None:
+        categories = sorted(r[0] for r in df.where(col(value).isNotNull() & col(category).isNotNull()).select(category).distinct().collect())
     names = [str(c) for c in categories]
     wide = df.where(col(value).isNotNull()).groupBy(unit).pivot(category, list(categories)).agg(F.avg(value)).drop(unit)
 
@@ -420,19 +422,17 @@ def cross_correlation(df, unit, category, categories, value=V):
     return total.select("a", "b", F.col("n").cast("long").alias("pairs"), r.alias("r"))
 
 
-def pair_differences(df, unit, category, categories, value=V):
-    """Mean and deviation of (a - b) over units that have both, for every pair of listed categories.
+def pair_differences(df, unit, category, value=V):
+    """Mean and deviation of (a - b) over units that have both, for every pair of categories in the data.
 
-    The listed categories become columns of one aggregate, so no pair of rows is formed.
+    A unit's means, at most one for each category of a dictionary, meet in one sorted array; pairs are taken inside it.
     """
     unit = [unit] if isinstance(unit, str) else list(unit)
-    wide = df.where(col(value).isNotNull()).groupBy(*unit).pivot(category, list(categories)).agg(F.avg(value))
-    aggs, cells = [], []
-    for i, a in enumerate(categories):
-        for b in categories[i + 1:]:
-            d = F.col(f"`{a}`") - F.col(f"`{b}`")
-            aggs.append(F.struct(
-                F.lit(str(a)).alias("a"), F.lit(str(b)).alias("b"), F.count(d).alias("pairs"), F.avg(d).alias("bias"), F.stddev_samp(d).alias("sd")
-            ).alias(f"_{len(cells)}"))
-            cells.append(F.col(f"_{len(cells)}"))
-    return wide.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("pairs > 0")
+    cells = df.where(col(value).isNotNull()).groupBy(*unit, category).agg(F.avg(value).alias("_m"))
+    means = cells.groupBy(*unit).agg(F.array_sort(F.collect_list(F.struct(col(category).alias("c"), "_m"))).alias("_l")).where(F.size("_l") > 1)
+
+    def later(x, i):
+        return F.transform(F.slice("_l", i + 2, F.size("_l")), lambda y: F.struct(x["c"].cast("string").alias("a"), y["c"].cast("string").alias("b"), (x["_m"] - y["_m"]).alias("d")))
+
+    pairs = means.select(F.explode(F.flatten(F.transform("_l", later))).alias("p")).select("p.*")
+    return pairs.groupBy("a", "b").agg(F.count("d").alias("pairs"), F.avg("d").alias("bias"), F.stddev_samp("d").alias("sd"))

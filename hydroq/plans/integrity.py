@@ -413,10 +413,10 @@ def _(spark, sf):
 
 @query(
     "g07_rolling_years",
-    """WITH y AS (SELECT StationNumber, VmvCode, year(SampleDateTime)::INT AS "Year", avg(MeasurementValueNum) AS year_mean FROM obs WHERE VmvCode < 20 GROUP BY 1,2,3)
+    """WITH y AS (SELECT StationNumber, VmvCode, year(SampleDateTime)::INT AS "Year", avg(MeasurementValueNum) AS year_mean FROM obs GROUP BY 1,2,3)
     SELECT *, avg(year_mean) OVER (PARTITION BY StationNumber, VmvCode ORDER BY "Year" ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rolling_mean FROM y""",
     "year_mean rolling_mean",
 )
 def _(spark, sf):
-    rows = obs(spark, sf, "StationNumber", "VmvCode", "SampleDateTime", "MeasurementValueNum").where("VmvCode < 20")
+    rows = obs(spark, sf, "StationNumber", "VmvCode", "SampleDateTime", "MeasurementValueNum")
     return temporal.rolling_year_mean(rows)

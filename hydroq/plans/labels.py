@@ -252,10 +252,10 @@ def _(spark, sf):
 @query(
     "b36_observation_level",
     """SELECT VmvCode, CASE CAST(trunc(MeasurementValueNum) AS INT) WHEN 0 THEN 'Absent' WHEN 1 THEN 'Low' WHEN 2 THEN 'Moderate' WHEN 3 THEN 'High' END AS level, count(*) AS records
-    FROM obs WHERE VmvCode < 10 GROUP BY 1,2""",
+    FROM obs GROUP BY 1,2""",
 )
 def _(spark, sf):
-    rows = obs(spark, sf, "VmvCode", "MeasurementValue").where("VmvCode < 10")
+    rows = obs(spark, sf, "VmvCode", "MeasurementValue")
     return rows.groupBy("VmvCode", L.observation_level("MeasurementValue").alias("level")).agg(records())
 
 

@@ -29,24 +29,24 @@ def _(spark, sf):
 
 @query(
     "d03_left_merge",
-    """SELECT a.VmvCode, a.units, b.name FROM (SELECT VmvCode, count(DISTINCT UnitCode) AS units FROM obs GROUP BY 1) a LEFT JOIN (SELECT VmvCode, arg_min(VariableName,row_key) AS name FROM obs WHERE VmvCode < 50 GROUP BY 1) b USING (VmvCode)""",
+    """SELECT a.VmvCode, a.units, b.name FROM (SELECT VmvCode, count(DISTINCT UnitCode) AS units FROM obs GROUP BY 1) a LEFT JOIN (SELECT VmvCode, arg_min(VariableName,row_key) AS name FROM obs GROUP BY 1) b USING (VmvCode)""",
 )
 def _(spark, sf):
     rows = obs(spark, sf, "VmvCode", "UnitCode", "VariableName", "row_key")
     counts = rows.groupBy("VmvCode").agg(F.countDistinct("UnitCode").alias("units"))
-    names = dimensions.variable_map(rows.where("VmvCode < 50")).withColumnRenamed("VariableName", "name")
+    names = dimensions.variable_map(rows).withColumnRenamed("VariableName", "name")
     return counts.join(names, "VmvCode", "left")
 
 
 @query(
     "d04_lookup_join",
-    """SELECT StationNumber, coalesce(n.name, o.VmvCode::VARCHAR) AS label, count(*) AS records FROM obs o LEFT JOIN (SELECT VmvCode, arg_min(VariableName,row_key) AS name FROM obs WHERE VmvCode < 9 GROUP BY 1) n USING (VmvCode) GROUP BY 1,2""",
+    """SELECT StationNumber, coalesce(n.name, o.VmvCode::VARCHAR) AS label, count(*) AS records FROM obs o LEFT JOIN (SELECT VmvCode, arg_min(VariableName,row_key) AS name FROM obs GROUP BY 1) n USING (VmvCode) GROUP BY 1,2""",
 )
 def _(spark, sf):
     rows = obs(spark, sf, "StationNumber", "VmvCode", "VariableName", "row_key")
     # counted per code first, so the lookup meets one row per station and code
     counts = rows.groupBy("StationNumber", "VmvCode").agg(records())
-    names = dimensions.variable_map(rows.where("VmvCode < 9"))
+    names = dimensions.variable_map(rows)
     return counts.join(names, "VmvCode", "left").groupBy("StationNumber", F.coalesce("VariableName", F.col("VmvCode").cast("string")).alias("label")).agg(F.sum("records").alias("records"))
 
 
@@ -150,11 +150,11 @@ def _(spark, sf):
     return obs(spark, sf, _Q).where(F.col(_Q).isin(codes)).groupBy(_Q).agg(records())
 
 
-@query("i06_key_difference", "SELECT DISTINCT StationNumber FROM obs WHERE VmvCode < 40 EXCEPT SELECT StationNumber FROM obs WHERE VmvCode = 6 AND year(SampleDateTime) = 1997")
+@query("i06_key_difference", "SELECT DISTINCT StationNumber FROM obs EXCEPT SELECT StationNumber FROM obs WHERE VmvCode = 6 AND year(SampleDateTime) = 1997")
 def _(spark, sf):
     rows = obs(spark, sf, "StationNumber", "VmvCode", "SampleDateTime")
     have = rows.where("VmvCode = 6 and year(SampleDateTime) = 1997").select("StationNumber").distinct()
-    return rows.where("VmvCode < 40").select("StationNumber").distinct().join(have, "StationNumber", "left_anti")
+    return rows.select("StationNumber").distinct().join(have, "StationNumber", "left_anti")
 
 
 @query(

@@ -180,9 +180,9 @@ def _(spark, sf):
     return stats.one_way_anova(obs(spark, sf, "VmvCode", "RiverBasinCode", _V), "RiverBasinCode", ["VmvCode"])
 
 
-@query("j15b_anova_overall", "WITH s AS (SELECT RiverBasinCode AS grp, MeasurementValueNum FROM obs WHERE VmvCode = 0), " + _anova_sql("MeasurementValueNum", "s"), {"between": 4, "within": 4, "f": 7})
+@query("j15b_anova_overall", "WITH s AS (SELECT RiverBasinCode AS grp, MeasurementValueNum FROM obs), " + _anova_sql("MeasurementValueNum", "s"), {"between": 1, "within": -3, "f": 7})
 def _(spark, sf):
-    return stats.one_way_anova(obs(spark, sf, "VmvCode", "RiverBasinCode", _V).where("VmvCode = 0"), "RiverBasinCode")
+    return stats.one_way_anova(obs(spark, sf, "RiverBasinCode", _V), "RiverBasinCode")
 
 
 @query("j15b_anova_p")
@@ -228,7 +228,7 @@ _WIDE_SAMPLES = "(SELECT SampleNumber, avg(MeasurementValueNum) FILTER (VmvCode
 
 @query(
     "j15e_spearman",
-    f"""WITH p AS (SELECT round(x) AS x, round(y, -2) AS y FROM {_WIDE_SAMPLES} WHERE x IS NOT NULL AND y IS NOT NULL),
+    f"""WITH p AS (SELECT round(x, 6) AS x, round(y, 6) AS y FROM {_WIDE_SAMPLES} WHERE x IS NOT NULL AND y IS NOT NULL),
     r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1)/2.0 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1)/2.0 AS ry FROM p)
     SELECT count(*) AS pairs, corr(rx, ry) AS rho FROM r""",
     "rho",
@@ -237,7 +237,7 @@ def _(spark, sf):
     rows = obs(spark, sf, "SampleNumber", "VmvCode", _V)
     v = F.col(_V)
     pairs = rows.groupBy("SampleNumber").agg(
-        F.round(F.avg(F.when(F.col("VmvCode") < 30, v))).alias("x"), F.round(F.avg(F.when(F.col("VmvCode") >= 30, v)), -2).alias("y")
+        F.round(F.avg(F.when(F.col("VmvCode") < 30, v)), 6).alias("x"), F.round(F.avg(F.when(F.col("VmvCode") >= 30, v)), 6).alias("y")
     )
     return stats.spearman(pairs, "x", "y")
 
@@ -317,9 +317,6 @@ def _(spark, sf):
     return stats.outlier_flag_association(rows, ["event_type"])
 
 
-_CODES = list(range(91))
-
-
 @query(
     "j30_cross_correlation",
     """WITH m AS (SELECT StationNumber, VmvCode, avg(MeasurementValueNum) v FROM obs WHERE MeasurementValueNum IS NOT NULL GROUP BY 1,2)
@@ -328,7 +325,7 @@ _CODES = list(range(91))
     digits=6,
 )
 def _(spark, sf):
-    return stats.cross_correlation(obs(spark, sf, "StationNumber", "VmvCode", _V), "StationNumber", "VmvCode", _CODES)
+    return stats.cross_correlation(obs(spark, sf, "StationNumber", "VmvCode", _V), "StationNumber", "VmvCode")
 
 
 _DIFF = """WITH m AS (SELECT VmvCode, CAST(SampleDateTime AS DATE) d, {c} AS g, avg(MeasurementValueNum) v FROM obs WHERE MeasurementValueNum IS NOT NULL {f} GROUP BY 1,2,3)
@@ -338,11 +335,10 @@ _DIFF = """WITH m AS (SELECT VmvCode, CAST(SampleDateTime AS DATE) d, {c} AS g,
 @query("d11_lab_differences", _DIFF.format(c="LabCode", f=""), "bias sd", digits=6)
 def _(spark, sf):
     rows = obs(spark, sf, "VmvCode", "SampleDateTime", "LabCode", _V).withColumn("day", F.to_date("SampleDateTime"))
-    return stats.pair_differences(rows, ["VmvCode", "day"], "LabCode", list(range(10, 17)))
+    return stats.pair_differences(rows, ["VmvCode", "day"], "LabCode")
 
 
-@query("j24e_method_differences", _DIFF.format(c="MethodCode", f="AND MethodCode BETWEEN 4 AND 12").replace("VmvCode", "StationNumber"), "bias sd", digits=6)
+@query("j24e_method_differences", _DIFF.format(c="MethodCode", f="").replace("VmvCode", "StationNumber"), "bias sd", digits=6)
 def _(spark, sf):
     rows = obs(spark, sf, "StationNumber", "SampleDateTime", "MethodCode", _V).withColumn("day", F.to_date("SampleDateTime"))
-    rows = rows.where(F.col("MethodCode").between(4, 12))
-    return stats.pair_differences(rows, ["StationNumber", "day"], "MethodCode", list(range(4, 13)))
+    return stats.pair_differences(rows, ["StationNumber", "day"], "MethodCode")

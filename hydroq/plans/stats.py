@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from hydroq.functions import tails
 from hydroq.functions.values import is_blank
 from hydroq.operators import profile, stats
+from hydroq.plans import tail_sql
 from hydroq.plans.catalog import obs, query
 from hydroq.sources.test_tables import table
 
@@ -69,7 +70,12 @@ _mk("j06_mann_kendall_by_variable", ["VmvCode"], False)
 _mk("j06_mann_kendall_compat", ["VmvCode"], True)
 
 
-@query("j06_trend_verdict")
+@query(
+    "j06_trend_verdict",
+    "WITH " + _pairs_sql(["VmvCode"]) + ", mk AS (SELECT * FROM (WITH z0 AS (SELECT 1)" + _MK.format(k="VmvCode", f=1) + f""")), pv AS (SELECT *, {tail_sql.normal_two_sided('z')} AS p_value FROM mk)
+    SELECT *, CASE WHEN p_value >= 0.05 THEN 'no_significant_trend' WHEN s > 0 THEN 'increasing' ELSE 'decreasing' END AS trend, p_value < 0.05 AS significant FROM pv""",
+    "z p_value",
+)
 def _(spark, sf):
     return stats.with_trend_verdict(stats.mann_kendall(obs(spark, sf, *_SERIES), ["VmvCode"]))
 
@@ -161,7 +167,7 @@ def _(spark, sf):
     return stats.paired_t(obs(spark, sf, "VmvCode", "StationNumber", "SampleDateTime", _V), 1997, 1999)
 
 
-@query("j15a_paired_t_p")
+@query("j15a_paired_t_p", f"WITH pt AS ({_PAIRED}) SELECT *, {tail_sql.t_two_sided('t', '(pairs - 1)')} AS p_value FROM pt", "mean_difference sd t p_value", digits=6)
 def _(spark, sf):
     out = stats.paired_t(obs(spark, sf, "VmvCode", "StationNumber", "SampleDateTime", _V), 1997, 1999)
     return out.withColumn("p_value", tails.t_two_sided_p("t", (F.col("pairs") - 1).cast("double")))
@@ -185,7 +191,11 @@ def _(spark, sf):
     return stats.one_way_anova(obs(spark, sf, "RiverBasinCode", _V), "RiverBasinCode")
 
 
-@query("j15b_anova_p")
+@query(
+    "j15b_anova_p",
+    "WITH an AS (WITH s AS (SELECT VmvCode, RiverBasinCode AS grp, MeasurementValueNum FROM obs), " + _anova_sql("MeasurementValueNum", "s", "VmvCode") + f") SELECT *, {tail_sql.f_upper('f', '(groups - 1)', '(total - groups)')} AS p_value FROM an",
+    {"between": 1, "within": 1, "f": 7, "p_value": 6},
+)
 def _(spark, sf):
     out = stats.one_way_anova(obs(spark, sf, "VmvCode", "RiverBasinCode", _V), "RiverBasinCode", ["VmvCode"])
     d1, d2 = (F.col("groups") - 1).cast("double"), (F.col("total") - F.col("groups")).cast("double")
@@ -217,7 +227,7 @@ def _(spark, sf):
     return stats.kruskal_wallis(obs(spark, sf, "VmvCode", "LabCode", _V), "LabCode", ["VmvCode"])
 
 
-@query("j15d_kruskal_wallis_p")
+@query("j15d_kruskal_wallis_p", f"WITH kw AS ({_KW}) SELECT *, {tail_sql.chi2_upper('h', '(groups - 1)')} AS p_value FROM kw", "h p_value")
 def _(spark, sf):
     out = stats.kruskal_wallis(obs(spark, sf, "VmvCode", "LabCode", _V), "LabCode", ["VmvCode"])
     return out.withColumn("p_value", tails.chi2_upper_p("h", (F.col("groups") - 1).cast("double")))
@@ -256,17 +266,18 @@ _CHI = """SELECT {k} sum(e.chi) AS chi2, ((max(nr)-1)*(max(nc)-1))::BIGINT AS df
  (SELECT {k} (coalesce(n,0) - r*c::DOUBLE/t)**2/(r*c::DOUBLE/t) AS chi, nr, nc, t FROM rr JOIN cc {u} JOIN tt {u} LEFT JOIN x USING ({j} row_, col_)) e {g}"""
 
 
-@query(
-    "j16b_chi_square",
+_CHI_ALL = (
     f"""WITH x AS (SELECT LabCode AS row_, {_Q} AS col_, count(*) n FROM obs WHERE {_Q} IS NOT NULL GROUP BY 1,2), rr AS (SELECT row_, sum(n) r FROM x GROUP BY 1), cc AS (SELECT col_, sum(n) c FROM x GROUP BY 1),
-    tt AS (SELECT sum(n) t, count(DISTINCT row_) nr, count(DISTINCT col_) nc FROM x) """ + _CHI.format(k="", u="ON true", j="", g=""),
-    "chi2 cramers_v",
+    tt AS (SELECT sum(n) t, count(DISTINCT row_) nr, count(DISTINCT col_) nc FROM x) """ + _CHI.format(k="", u="ON true", j="", g="")
 )
+
+
+@query("j16b_chi_square", _CHI_ALL, "chi2 cramers_v")
 def _(spark, sf):
     return stats.chi_square(obs(spark, sf, "LabCode", _Q), "LabCode", _Q)
 
 
-@query("j16b_chi_square_p")
+@query("j16b_chi_square_p", f"WITH cs AS ({_CHI_ALL}) SELECT *, {tail_sql.chi2_upper('chi2', 'df')} AS p_value FROM cs", "chi2 cramers_v p_value")
 def _(spark, sf):
     out = stats.chi_square(obs(spark, sf, "LabCode", _Q), "LabCode", _Q)
     return out.withColumn("p_value", tails.chi2_upper_p("chi2", F.col("df").cast("double")))

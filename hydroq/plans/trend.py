@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hydroq.operators import spatial, stats, trend
+from hydroq.plans import tail_sql
 from hydroq.plans.catalog import obs, query
 from hydroq.plans.labels import PERIOD_SQL
 from hydroq.sources import sinks, staging
@@ -38,7 +39,12 @@ def _(spark, sf):
     return trend.linear_trend(obs(spark, sf, "StationNumber", "VariableName", "SampleDateTime", _V), ["StationNumber"], "annual")
 
 
-@query("j08_linear_trend_p")
+@query(
+    "j08_linear_trend_p",
+    "WITH " + _trend_sql(["RiverBasinCode", "VmvCode"], "obs", "quarter") + f""", pv AS (SELECT *, CASE WHEN r_squared >= 1 THEN 0.0 ELSE {tail_sql.t_two_sided('t', '(n - 2)')} END AS p_value FROM tr)
+    SELECT *, p_value < 0.05 AS significant FROM pv""",
+    {**_FIT, "p_value": 6},
+)
 def _(spark, sf):
     return trend.with_significance(trend.linear_trend(obs(spark, sf, *_TREND_COLS), ["RiverBasinCode", "VmvCode"], "quarterly"))
 

@@ -25,7 +25,19 @@ def _(spark, sf):
     return stats.normality_verdict(obs(spark, sf, "VmvCode", _V))
 
 
-@query("j01_shapiro_wilk")
+@query(
+    "j01_shapiro_wilk",
+    f"""WITH r AS (SELECT VmvCode, MeasurementValueNum v, row_number() OVER (PARTITION BY VmvCode ORDER BY MeasurementValueNum) i, count(*) OVER (PARTITION BY VmvCode) n FROM obs WHERE MeasurementValueNum IS NOT NULL),
+    m AS (SELECT *, {tail_sql.normal_quantile('(i - 0.375) / (n + 0.25)')} AS m FROM r),
+    k AS (SELECT VmvCode, n, sum(m*m) mm, max(m) FILTER (i = n) m1, max(m) FILTER (i = n - 1) m2, 1/sqrt(n) u, avg(v) mean FROM m GROUP BY VmvCode, n),
+    a AS (SELECT *, ((((-2.706056*u + 4.434685)*u - 2.07119)*u - 0.147981)*u + 0.221157)*u + m1/sqrt(mm) AS a1, ((((-3.582633*u + 5.682633)*u - 1.752461)*u - 0.293762)*u + 0.042981)*u + m2/sqrt(mm) AS a2 FROM k),
+    w AS (SELECT m.VmvCode, m.n AS sample_size, sum(CASE WHEN i = m.n THEN a1 WHEN i = m.n - 1 THEN a2 WHEN i = 1 THEN -a1 WHEN i = 2 THEN -a2 ELSE m / sqrt((mm - 2*m1*m1 - 2*m2*m2) / (1 - 2*a1*a1 - 2*a2*a2)) END * v)**2 / sum((v - mean)**2) AS statistic
+      FROM m JOIN a USING (VmvCode) GROUP BY 1, 2),
+    z AS (SELECT *, (ln(1 - statistic) - (((0.0038915*ln(sample_size) - 0.083751)*ln(sample_size) - 0.31082)*ln(sample_size) - 1.5861)) / exp((0.0030302*ln(sample_size) - 0.082676)*ln(sample_size) - 0.4803) AS z FROM w),
+    p AS (SELECT VmvCode, sample_size, statistic, CASE WHEN sample_size <= 5000 THEN {tail_sql.normal_upper('z')} END AS p_value FROM z)
+    SELECT *, p_value > 0.05 AS normal FROM p""",
+    "statistic p_value",
+)
 def _(spark, sf):
     return stats.shapiro(obs(spark, sf, "VmvCode", _V))
 

@@ -1,5 +1,7 @@
 """Tail probabilities as oracle text: integrals by Simpson's rule, independent of the library's series and fractions."""
 
+from hydroq.functions import values
+
 NODES = 4000
 
 
@@ -29,3 +31,21 @@ def t_two_sided(t, df):
 
 def normal_two_sided(z):
     return chi2_upper(f"(({z}) * ({z}))", 1)
+
+
+def normal_quantile(p):
+    """The rational approximation with the fixed values of ``functions.values``."""
+    def power(coefficients, x):
+        out = repr(coefficients[0])
+        for c in coefficients[1:]:
+            out = f"({out} * {x} + {c!r})"
+        return out
+
+    q, tail = f"(({p}) - 0.5)", f"sqrt(-2.0 * ln(least({p}, 1.0 - ({p}))))"
+    inside = f"{q} * {power(values.QUANTILE_A, f'({q} * {q})')} / {power(values.QUANTILE_B, f'({q} * {q})')}"
+    outside = f"-sign({q}) * {power(values.QUANTILE_C, tail)} / {power(values.QUANTILE_D, tail)}"
+    return f"(CASE WHEN abs({q}) <= 0.47575 THEN {inside} ELSE {outside} END)"
+
+
+def normal_upper(z):
+    return f"(CASE WHEN {z} > 0 THEN 0.5 * {normal_two_sided(z)} ELSE 1 - 0.5 * {normal_two_sided(z)} END)"

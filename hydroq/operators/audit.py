@@ -100,20 +100,30 @@ def station_findings(df):
     return all_of.where("s2 or m3 or c2 is not null or t1 is not null")
 
 
-def with_issues(df):
-    """Rows with ``issues``, the list of rule codes they break.
-
-    One window pass by arrival order (T2); the group findings are staged, small tables joined on.
-    """
+def _with_findings(df):
+    """Rows with what their code, sample and station were found to break; the findings are staged, small tables."""
     staged = stage_all({
         "codes": codes_with_several_units(df).withColumn("s1", F.lit(True)),
         "samples": incomplete_samples(df).withColumn("c1", F.lit(True)),
         "stations": station_findings(df),
     })
     codes, samples, found = staged["codes"], staged["samples"], staged["stations"]
-    placed = temporal.with_arrival_previous(df.withColumn("_p", F.coalesce("ProjectNumber", F.lit(""))), ["_p"])
-    rows = placed.join(codes, "VmvCode", "left").join(samples, "SampleNumber", "left").join(found, "StationNumber", "left")
-    broken = {
+    return df.join(codes, "VmvCode", "left").join(samples, "SampleNumber", "left").join(found, "StationNumber", "left")
+
+
+def _in_arrival_order(df):
+    """Rows with the time of the row that arrived before in their project."""
+    return temporal.with_arrival_previous(df.withColumn("_p", F.coalesce("ProjectNumber", F.lit(""))), ["_p"])
+
+
+def _went_back():
+    """T2: a project's row whose time lies before that of the row arriving just before."""
+    return (col("_p") != "") & (col(TS) < col("previous"))
+
+
+def _broken():
+    """The conditions of all rules but T2, on rows with findings."""
+    return {
         "S1": col("s1"),
         "S2": col("s2"),
         "S3": missing_text(),
@@ -121,11 +131,16 @@ def with_issues(df):
         "M2": out_of_range(),
         "M3": col("m3"),
         "T1": F.array_contains("t1", col("row_key")),
-        "T2": (col("_p") != "") & (col(TS) < col("previous")),
         "T3": cold_summer(),
         "C1": col("c1"),
         "C2": F.array_contains("c2", F.year(TS)),
     }
+
+
+def with_issues(df):
+    """Rows with ``issues``, the list of rule codes they break."""
+    rows = _with_findings(_in_arrival_order(df))
+    broken = {**_broken(), "T2": _went_back()}
     marks = [F.when(true_or_false(broken[rule]), F.lit(rule)) for rule, _ in S.AUDIT_RULES]
     return rows.withColumn("issues", F.array_compact(F.array(*marks))).select(*df.columns, "issues")
 
@@ -143,7 +158,17 @@ def row_report(audited):
 
 def by_rule(audited):
     """Rows per rule, rules without findings included."""
-    counts = audited.agg(*[F.count_if(F.array_contains("issues", rule)).alias(rule) for rule, _ in S.AUDIT_RULES])
+    return _listed(audited.agg(*[F.count_if(F.array_contains("issues", rule)).alias(rule) for rule, _ in S.AUDIT_RULES]))
+
+
+def rule_counts(df):
+    """The counts of ``by_rule`` without audited rows: arrival order is only followed by project, place and time."""
+    late = _in_arrival_order(df.select("row_key", "arrival_block", "ProjectNumber", TS)).agg(F.count_if(true_or_false(_went_back()))).scalar()
+    counts = _with_findings(df).agg(*[F.count_if(true_or_false(broken)).alias(rule) for rule, broken in _broken().items()])
+    return _listed(counts.withColumn("T2", late))
+
+
+def _listed(counts):
     cells = [F.struct(F.lit(name).alias("Rule"), F.col(rule).alias("RecordCount")) for rule, name in S.AUDIT_RULES]
     return counts.select(F.explode(F.array(*cells)).alias("c")).select("c.*").orderBy(F.desc("RecordCount"), "Rule")
 

@@ -132,7 +132,7 @@ _BY_RULE = " UNION ALL ".join(f"SELECT '{name}' AS \"Rule\", count(*) FILTER ({r
 
 @query("f62_by_rule", _FLAGS + _BY_RULE)
 def _(spark, sf):
-    return audit.by_rule(_audited(spark, sf))
+    return audit.rule_counts(obs(spark, sf, *audit.COLUMNS))
 
 
 def _by(name, key):
@@ -161,7 +161,7 @@ def _(spark, sf):
     CASE "Rule"[1:2] WHEN 'S1' THEN 'critical' WHEN 'T2' THEN 'high' WHEN 'S3' THEN 'high' WHEN 'S2' THEN 'medium' WHEN 'M2' THEN 'medium' WHEN 'T1' THEN 'medium' WHEN 'C1' THEN 'none' ELSE 'low' END AS action_level FROM r""",
 )
 def _(spark, sf):
-    return audit.action_levels(audit.by_rule(_audited(spark, sf)))
+    return audit.action_levels(audit.rule_counts(obs(spark, sf, *audit.COLUMNS)))
 
 
 @query(

@@ -24,7 +24,7 @@ UNIT = re.compile(r" *[^ \n]+| +|\n")
 SPACE_MARK = 0x2581
 BYTE_SYMBOL = 0x200000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-CHARS_AT_ONCE = 6_000_000
+CHARS_AT_ONCE = 1_500_000
 UNUSED = -1e8
 
 

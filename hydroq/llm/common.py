@@ -25,6 +25,13 @@ def small_side(staged, most=BROADCAST_ROWS):
     return F.broadcast(staged) if staged.limit(most + 1).count() <= most else staged
 
 
+def parts_of(batches, rows):
+    """Batches of at most ``rows`` rows, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def signed(value):
     """An unsigned 64-bit number as Spark's long."""
     return value - (1 << 64) if value >= 1 << 63 else value

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from hydroq.llm.catalog import query, table
-from hydroq.llm.common import partitions, signed, small_side, stage, text_rows
+from hydroq.llm.common import parts_of, partitions, signed, stage, text_rows
 
 LENGTH = 400
 GRAM = 64
@@ -132,7 +132,7 @@ def find_pieces(rows, length):
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches, 4000):
             doc, row = batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
             found = {}
             for group in _segments(batch.column("text").to_pylist(), length):
@@ -270,7 +270,7 @@ def _cut_out(length):
     """The pieces of packed texts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches, 1000):
             out = [[] for _ in range(8)]
             for packed, wanted in zip(batch.column("packed").to_pylist(), batch.column("wanted").to_pylist()):
                 text = zstandard.decompress(packed)
@@ -285,7 +285,7 @@ def _cut_out(length):
 
 def _pack(batches):
     packer = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
+    for batch in parts_of(batches, 1000):
         texts = pa.array([packer.compress(t) for t in batch.column("text").to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), texts], ["doc_id", "row", "packed"])
 
@@ -346,7 +346,7 @@ def without_repeats(docs, length=LENGTH, id_col="doc_id", text_col="text"):
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches, 1000):
             done = [cut(zstandard.decompress(t), s) for t, s in zip(batch.column("packed").to_pylist(), batch.column("spans").to_pylist())]
             sizes = [len(left) + gone for left, gone, _ in done]
             yield pa.RecordBatch.from_arrays(
@@ -355,7 +355,7 @@ def without_repeats(docs, length=LENGTH, id_col="doc_id", text_col="text"):
 
     rows = text_rows(docs, id_col, text_col).withColumn("row", F.xxhash64("text"))
     spans = repeated_spans(rows, length).groupBy("doc", F.col("row").alias("own_row")).agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    spans = small_side(stage(spans, "spans"))
+    spans = stage(spans, "spans")
     packed = rows.mapInArrow(_pack, "doc_id long, row long, packed binary")
     met = packed.join(spans, packed.doc_id.eqNullSafe(spans.doc) & (packed.row == spans.own_row), "left").select("doc_id", "packed", "spans")
     return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

@@ -15,14 +15,14 @@ def _simpson(term, high):
 def chi2_upper(x, df):
     """Upper tail of chi-square; with t = s^2 the integrand is smooth at 0."""
     term = f"(CASE WHEN {{x}} = 0 THEN (CASE WHEN {df} = 1 THEN exp(-lgamma(0.5)) ELSE 0 END) ELSE exp(({df} - 1) * ln({{x}}) - {{x}} * {{x}} - lgamma({df} / 2.0)) END)"
-    return f"greatest(0.0, 1 - 2 * {_simpson(term, f'sqrt(least({x}, 1000.0) / 2.0)')})"
+    return f"(CASE WHEN {x} IS NOT NULL THEN greatest(0.0, 1 - 2 * {_simpson(term, f'sqrt(least({x}, 1000.0) / 2.0)')}) END)"
 
 
 def f_upper(f, d1, d2):
     """Upper tail of F; with x = sin^2 the beta integrand is smooth at both ends."""
     log_beta = f"(lgamma({d1} / 2.0) + lgamma({d2} / 2.0) - lgamma(({d1} + {d2}) / 2.0))"
     term = f"(CASE WHEN sin({{x}}) <= 0 THEN (CASE WHEN {d1} = 1 THEN exp(-{log_beta}) ELSE 0 END) WHEN cos({{x}}) <= 0 THEN 0 ELSE exp(({d1} - 1) * ln(sin({{x}})) + ({d2} - 1) * ln(cos({{x}})) - {log_beta}) END)"
-    return f"greatest(0.0, 1 - 2 * {_simpson(term, f'asin(sqrt({d1} * ({f}) / ({d1} * ({f}) + {d2})))')})"
+    return f"(CASE WHEN ({f}) IS NOT NULL THEN greatest(0.0, 1 - 2 * {_simpson(term, f'asin(sqrt({d1} * ({f}) / ({d1} * ({f}) + {d2})))')}) END)"
 
 
 def t_two_sided(t, df):

@@ -15,15 +15,15 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hydroq.llm.catalog import query, table
-from hydroq.llm.common import partitions, stage
+from hydroq.llm.common import parts_of, partitions, stage
 
 BUCKETS = 1 << 16
 ABSTAIN, BAD, GOOD = 0, 1, 2
 MEASURES = ("words", "mean_word", "symbols", "digits", "upper", "distinct", "top_word", "repeated_lines", "bars", "ends", "marked")
-SYMBOL = re.compile(r"[^\w\s.,;:!?'\"()-]")
-DIGIT = re.compile(r"\d")
-UPPER = re.compile(r"[A-Z]")
-LETTER = re.compile(r"[^\W\d_]")
+SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()-]+")
+DIGITS = re.compile(r"\d+")
+UPPERS = re.compile(r"[A-Z]+")
+LETTERS = re.compile(r"[^\W\d_]+")
 END = re.compile(r"[.!?:\"')]\s*$")
 
 # Measure, bounds of a bad vote (low, high), bounds of a good vote (low, high).
@@ -42,18 +42,23 @@ LABELLERS = [
 ]
 
 
+def _size(runs, text):
+    return sum(map(len, runs.findall(text)))
+
+
 def measures_of(text):
     """The MEASURES of a text."""
     words = text.split()
     n, size = len(words), max(1, len(text))
     lines = [x.strip() for x in text.split("\n") if x.strip()]
     counts = Counter(words)
-    letters = max(1, len(LETTER.findall(text)))
+    letters = max(1, _size(LETTERS, text))
+    symbols = _size(SYMBOLS, text)
     return (
-        n, (sum(map(len, words)) / n) if n else 0.0, len(SYMBOL.findall(text)) / size, len(DIGIT.findall(text)) / size, len(UPPER.findall(text)) / letters,
+        n, (sum(map(len, words)) / n) if n else 0.0, symbols / size, _size(DIGITS, text) / size, _size(UPPERS, text) / letters,
         len(counts) / max(1, n) ** 0.8, (max(counts.values(), default=1) - 1) / max(1, n), 1 - len(set(lines)) / max(1, len(lines)),
         sum(counts[x] for x in ("|", "||", "»", "•")) / max(1, n), sum(1 for x in lines if END.search(x)) / max(1, len(lines)),
-        sum(c for w, c in counts.items() if SYMBOL.search(w)) / max(1, n),
+        sum(c for w, c in counts.items() if SYMBOLS.search(w)) / max(1, n) if symbols else 0.0,
     )
 
 
@@ -143,7 +148,7 @@ def train(docs, belief, train_docs=20_000, rounds=25, rate=0.7, id_col="doc_id",
     share = min(1.0, train_docs / max(1, docs.count()))
 
     def vectors(batches):
-        for batch in batches:
+        for batch in parts_of(batches, 1000):
             texts = batch.column("text").to_pylist()
             values = _values(texts)
             label = np.array([belief.get(p, 0.5) for p in pattern_of(votes_of(values)).tolist()])
@@ -191,7 +196,7 @@ def judge(docs, belief, weights, least=0.5, id_col="doc_id", text_col="text"):
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches, 1000):
             texts = batch.column("text").to_pylist()
             values = _values(texts)
             votes = votes_of(values)

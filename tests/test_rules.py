@@ -56,7 +56,6 @@ def test_coverage_drops_first_gap_only_in_compat(make):
 def test_reversed_arrival(make):
     rows = make([{"SampleDateTime": f"2020-01-0{d} 00:00:00", "ProjectNumber": "P"} for d in (3, 1, 2, 5, 4)])
     assert temporal.time_travel(rows).collect()[0]["reversals"] == 2
-    assert temporal.time_travel(rows, compat=True).count() == 0
 
 
 def test_sample_clusters(make):

@@ -361,7 +361,21 @@ def without_repeats(docs, length=LENGTH, id_col="doc_id", text_col="text"):
     return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-@query("op1_suffix_array_dedup")
+@query(
+    "op1_suffix_array_dedup",
+    r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, p, md5(b[p:p + 399]) AS m FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 398)) AS p FROM d WHERE octet_length(b) >= 400)),
+again AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+hit AS (SELECT doc_id, p, p + 400 AS e, lag(p + 400) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w SEMI JOIN again USING (m)),
+runs AS (SELECT doc_id, min(p) AS s, max(e) AS e FROM (SELECT *, sum(CASE WHEN before IS NULL OR p > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hit) GROUP BY doc_id, run),
+edges AS (SELECT doc_id, s, e, coalesce(lag(e) OVER o, 1) AS open_at FROM runs WINDOW o AS (PARTITION BY doc_id ORDER BY s)
+  UNION ALL SELECT d.doc_id, octet_length(b) + 1, octet_length(b) + 1, coalesce(max(e), 1) FROM d LEFT JOIN runs r ON r.doc_id = d.doc_id GROUP BY d.doc_id, b)
+SELECT doc_id, octet_length(any_value(b)) AS n_bytes, (octet_length(any_value(b)) - sum(s - open_at))::BIGINT AS n_removed, count(*) - 1 AS n_spans,
+  sha256(unhex(string_agg(CASE WHEN s > open_at THEN hex(b[open_at:s - 1]) ELSE '' END, '' ORDER BY s))) AS kept_sha256
+FROM edges JOIN d USING (doc_id) GROUP BY doc_id
+""",
+)
 def op1(spark, sf_dir):
     kept = without_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

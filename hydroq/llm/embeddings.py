@@ -217,6 +217,24 @@ def near_vectors(rows, least=0.95, tables=8, probes=3, id_col="vec_id", vector_c
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
-@query("op5_embedding_near_dedup")
+@query(
+    "op5_embedding_near_dedup",
+    """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.b, r.root FROM reach r JOIN links l ON r.node = l.a
+), least AS (
+  SELECT node, min(root) AS component_id FROM reach GROUP BY node
+), degree AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings e JOIN least ON node = vec_id LEFT JOIN degree ON a = vec_id
+""",
+)
 def op5(spark, sf_dir):
     return near_vectors(table(spark, sf_dir, "embeddings"))

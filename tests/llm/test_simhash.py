@@ -79,7 +79,7 @@ def test_links_equal_all_pairs(spark):
             prints.add(c ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 7))))
     prints |= {centres[0] ^ (1 << a) ^ (1 << b) for a in range(50) for b in range(a)}
     own = [x - (1 << 64) if x >> 63 else x for x in prints]
-    frame = spark.createDataFrame([(x,) for x in own], "fingerprint long")
+    frame = spark.createDataFrame([(x, x) for x in own], "node long, fingerprint long")
     got = {r.node: r.root for r in components(simhash.links(frame)).collect()}
     u = [x & (1 << 64) - 1 for x in own]
     want = brute_roots([(own[i], own[j]) for i in range(len(u)) for j in range(i) if (u[i] ^ u[j]).bit_count() <= 4])

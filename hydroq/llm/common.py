@@ -1,5 +1,8 @@
 """Helpers shared by the operators: text columns, bounded broadcasts, partition counts."""
 
+import ctypes
+
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -13,6 +16,7 @@ BROADCAST_ROWS = 100_000
 
 def text_rows(docs, id_col="doc_id", text_col="text"):
     """Only the id and the text as bytes: other columns, whatever their names, stay out. Null text is empty."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
@@ -25,11 +29,26 @@ def small_side(staged, most=BROADCAST_ROWS):
     return F.broadcast(staged) if staged.limit(most + 1).count() <= most else staged
 
 
-def parts_of(batches, rows):
-    """Batches of at most ``rows`` rows, so that what is made of one stays small."""
+def parts_of(batches, rows=2000):
+    """Batches of at most ``rows`` rows, so that what is made of one stays small; freed memory goes back to the machine."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        _trim()
+
+
+def _trim():
+    """Workers live on between stages; without this each keeps the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def small_batches(spark):
+    """Arrow batches of 2,000 rows for whole texts: the default of 10,000 holds some hundred MB outside of the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
 def signed(value):

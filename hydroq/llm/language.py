@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hydroq.llm.catalog import query, table
+from hydroq.llm.common import parts_of, small_batches
 
 WORD = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
@@ -106,7 +107,7 @@ def learn(docs, train_docs=20_000, id_col="doc_id", text_col="text", lang_col="l
     number = {name: k for k, name in enumerate(languages)}
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             texts, langs = batch.column("text").to_pylist(), np.array([number[x] for x in batch.column("lang").to_pylist()])
             for a, b in portions(texts):
                 words, codes, counts = words_by_text(texts[a:b])
@@ -123,9 +124,9 @@ def learn(docs, train_docs=20_000, id_col="doc_id", text_col="text", lang_col="l
                 cells = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells].astype(np.int64))], ["cell", "n"])
 
-    sums = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    sums = rows.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     flat = np.zeros((BUCKETS + SCRIPTS) * len(languages))
-    flat[sums["cell"].to_numpy(np.int64)] = sums["n"].to_numpy(np.float64)
+    flat[sums["cell"].to_numpy()] = sums["n"].to_numpy()
     flat = flat.reshape(-1, len(languages))
     return Model(languages, flat[:BUCKETS], flat[BUCKETS:])
 
@@ -201,7 +202,7 @@ def detect(docs, model, penalty=12.0, id_col="doc_id", text_col="text", extra=()
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = [t or "" for t in batch.column("__text").to_pylist()]
             own = [c for c in batch.schema.names if c != "__text"]
             pred, share, letters, spans = labelled(texts, model, penalty) if model else ([-1] * len(texts), [0.0] * len(texts), [sum(map(len, WORD.findall(t))) for t in texts], [[] for _ in texts])
@@ -212,6 +213,7 @@ def detect(docs, model, penalty=12.0, id_col="doc_id", text_col="text", extra=()
                 [*own, "lang_pred", "score", "n_letters", "spans"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), *extra, F.col(text_col).cast("string").alias("__text"))
+    small_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
     return own.mapInArrow(run, f"{fields}, lang_pred string, score double, n_letters long, spans array<struct<lang:string,words:int>>")
 
@@ -226,11 +228,12 @@ def keep_known(docs, model, least_share=0.5, penalty=12.0, text_col="text"):
     own = docs.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             _, share, letters, _ = labelled(texts, model, penalty)
             yield batch.filter(pa.array([n > 0 and s >= least_share for n, s in zip(letters, share)]))
 
+    small_batches(docs.sparkSession)
     if model is None:
         return docs.where(F.col(text_col).rlike(r"\p{L}"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from hydroq.llm.catalog import query, table
-from hydroq.llm.common import LOWER, NO_ID, SPACE, partitions, row_hash, signed, stage, text_rows
+from hydroq.llm.common import LOWER, NO_ID, SPACE, parts_of, partitions, row_hash, signed, stage, text_rows
 
 LINE_SCHEMA = "h1 long, h2 long, doc long, row long, pos int"
 LOW64 = (1 << 64) - 1
@@ -30,7 +30,7 @@ def hashed_lines(docs, least_chars, id_col="doc_id", text_col="text"):
     """(h1, h2, doc, row, pos): the lines whose key has at least ``least_chars`` code points."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             out = [[], [], [], [], []]
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 row = None
@@ -182,7 +182,7 @@ def line_report(docs, least_chars=40, least_docs=5, id_col="doc_id", text_col="t
     """(doc_id, n_lines, n_dropped, kept_sha256) for every row; see keep_bitmaps."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             lines, dropped, digest = [], [], []
             for text, keeps in zip(batch.column("text").to_pylist(), batch.column("keeps").to_pylist()):
                 kept, gone = kept_lines(text, _own_keep(text, keeps))
@@ -199,7 +199,7 @@ def drop_lines(docs, least_chars=40, least_docs=5, id_col="doc_id", text_col="te
     """``docs`` with the repeated lines taken out of the text; all rows and columns stay, null text stays null."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = []
             for text, keeps in zip(batch.column("__text").to_pylist(), batch.column("__keeps").to_pylist()):
                 texts.append(kept_lines(text, _own_keep(text, keeps))[0].decode("utf-8", "replace") if keeps else None)

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from hydroq.llm.catalog import query, table
+from hydroq.llm.common import parts_of, small_batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UNIT = re.compile(r" *[^ \n]+| +|\n")
@@ -246,7 +247,7 @@ def encode(docs, model=MODEL, seed=1, sharpness=1.0, id_col="doc_id", text_col="
 
     def run(batches):
         lattice = lattice_of(rows, sharpness)
-        for batch in batches:
+        for batch in parts_of(batches):
             keys, texts = batch.column("__key").to_pylist(), batch.column("__own").to_pylist()
             plain = [t or "" for t in texts]
             own = [c for c in batch.schema.names if c not in ("__key", "__own")]
@@ -256,6 +257,7 @@ def encode(docs, model=MODEL, seed=1, sharpness=1.0, id_col="doc_id", text_col="
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in own), lists], [*own, "piece_ids"])
 
     docs = docs.drop("piece_ids")
+    small_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     given = docs.withColumn("__key", F.col(id_col).cast("string")).withColumn("__own", F.col(text_col).cast("string"))
     return given.mapInArrow(run, f"{fields}, piece_ids array<int>")
@@ -267,9 +269,10 @@ def decode(encoded, model=MODEL, ids_col="piece_ids", to="decoded"):
 
     def run(batches):
         lattice = lattice_of(rows, 1.0)
-        for batch in batches:
+        for batch in parts_of(batches, 500):
             column = batch.column(ids_col)
-            flat, offsets = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
+            offsets = column.offsets.to_numpy()
+            flat, offsets = column.values.to_numpy(zero_copy_only=False)[offsets[0]:offsets[-1]].tolist(), (offsets - offsets[0]).tolist()
             texts = [lattice.text_of(flat[a:b]).decode() if ok else None for a, b, ok in zip(offsets, offsets[1:], column.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, to])
 
@@ -283,7 +286,7 @@ def encode_and_check(docs, model=MODEL, seed=1, sharpness=1.0, id_col="doc_id",
 
     def run(batches):
         lattice = lattice_of(rows, sharpness)
-        for batch in batches:
+        for batch in parts_of(batches):
             texts, keys = batch.column("text").to_pylist(), batch.column("key").to_pylist()
             for a, b in _portions(texts):
                 ids, counts = lattice.sample(texts[a:b], row_seeds(keys[a:b], texts[a:b], seed))
@@ -296,6 +299,7 @@ def encode_and_check(docs, model=MODEL, seed=1, sharpness=1.0, id_col="doc_id",
                      pa.array([hashlib.sha256(t).hexdigest() for t in back]), pa.array([x == y for x, y in zip(raw, back)])],
                     ["doc_id", "n_bytes", "n_pieces", "piece_ids", "decoded_sha256", "lossless"])
 
+    small_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(id_col).cast("string").alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return own.mapInArrow(run, "doc_id long, n_bytes long, n_pieces long, piece_ids array<int>, decoded_sha256 string, lossless boolean")
 

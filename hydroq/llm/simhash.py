@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hydroq.llm.catalog import query, table
 from hydroq.llm.cells import blocks_of, in_blocks, local_roots, pairs_of
-from hydroq.llm.common import LOWER, stage, text_rows
+from hydroq.llm.common import LOWER, parts_of, stage, text_rows
 from hydroq.llm.components import components
 
 SEED = 42
@@ -52,7 +52,7 @@ def fingerprints(docs, width=4, id_col="doc_id", text_col="text"):
     """(doc_id, fingerprint: long) for every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             values = np.fromiter((fingerprint_of(t, width) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fingerprint"])
 
@@ -174,7 +174,7 @@ def similar_texts(docs, bits=4, blocks=3, width=5, wide_bits=48, id_col="doc_id"
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             texts = batch.column("text").to_pylist()
             narrow = np.fromiter((fingerprint_of(t, 1) for t in texts), np.uint64, len(texts)).view(np.int64)
             wide = [wide_print(t, width) for t in texts]

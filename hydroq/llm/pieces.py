@@ -227,19 +227,22 @@ def row_seeds(keys, texts, seed):
     return np.array([xxhash.xxh3_64_intdigest(f"{seed}:{k}" if k is not None else f"{seed}/{t}") for k, t in zip(keys, texts)], np.uint64)
 
 
-def _portions(texts):
-    """Ranges of texts of some CHARS_AT_ONCE characters."""
+def _portions(texts, chars=CHARS_AT_ONCE):
+    """Ranges of texts of some ``chars`` characters."""
     at, size = 0, 0
     for k, t in enumerate(texts):
         size += len(t)
-        if size >= CHARS_AT_ONCE or k + 1 == len(texts):
+        if size >= chars or k + 1 == len(texts):
             yield at, k + 1
             at, size = k + 1, 0
 
 
-def encode(docs, model=MODEL, seed=1, sharpness=1.0, id_col="doc_id", text_col="text"):
+def encode(docs, model=MODEL, seed=1, sharpness=1.0, id_col="doc_id", text_col="text", check=None, chars=CHARS_AT_ONCE):
     """``docs`` with the column ``piece_ids``: a segmentation drawn for each row, the same whenever it is drawn again.
 
+    check: name of a further column, whether decoding gives the text again, found in the same pass. chars: characters whose lattices
+    are held at once.
+
     Null text has null piece_ids, empty text none. Rows of one id and one text get one segmentation, rows without id are
     seeded by their text. An existing column piece_ids is replaced. Empty table: no rows.
     """
@@ -251,16 +254,20 @@ def encode(docs, model=MODEL, seed=1, sharpness=1.0, id_col="doc_id", text_col="
             keys, texts = batch.column("__key").to_pylist(), batch.column("__own").to_pylist()
             plain = [t or "" for t in texts]
             own = [c for c in batch.schema.names if c not in ("__key", "__own")]
-            for a, b in _portions(plain):
+            for a, b in _portions(plain, chars):
                 ids, counts = lattice.sample(plain[a:b], row_seeds(keys[a:b], plain[a:b], seed))
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids), mask=pa.array([t is None for t in texts[a:b]]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in own), lists], [*own, "piece_ids"])
+                more = [lists]
+                if check:
+                    cuts, flat = np.r_[0, np.cumsum(counts)].tolist(), ids.tolist()
+                    more.append(pa.array([lattice.text_of(flat[s:e]) == t.encode() for s, e, t in zip(cuts, cuts[1:], plain[a:b])]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in own), *more], [*own, "piece_ids", *([check] if check else [])])
 
-    docs = docs.drop("piece_ids")
+    docs = docs.drop("piece_ids", *([check] if check else []))
     small_batches(docs.sparkSession)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     given = docs.withColumn("__key", F.col(id_col).cast("string")).withColumn("__own", F.col(text_col).cast("string"))
-    return given.mapInArrow(run, f"{fields}, piece_ids array<int>")
+    return given.mapInArrow(run, f"{fields}, piece_ids array<int>" + (f", `{check}` boolean" if check else ""))
 
 
 def decode(encoded, model=MODEL, ids_col="piece_ids", to="decoded"):

@@ -21,6 +21,8 @@ from hydroq.llm.components import components
 
 SEED = 42
 DOCS_AT_ONCE = 1 << 18
+BANDS, BAND_ROWS = 40, 6
+TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), np.uint32) | np.array([[1], [0]], np.uint32)
 
 
 def shingle_hashes(text, width):
@@ -91,49 +93,39 @@ def anchors_of(values, bits, blocks):
     return np.concatenate(rows), np.concatenate(cells), np.concatenate(homes)
 
 
-def links(prints, bits=4, blocks=3, wide_bits=None):
+def links(prints, bits=4, blocks=3):
     """Links (a, b) between nodes that join all of ``prints`` (node, fingerprint) at ``bits`` or fewer differing bits into the same components.
 
-    With ``wide_bits`` only pairs whose second fingerprints (column wide) differ in no more bits than that are linked.
     Within a block of an anchor the links found are reduced to one per fingerprint before they leave the task.
     """
-    names = ["cell", "node", "primary", "fingerprint"] + ["wide"] * (wide_bits is not None)
+    names = ["cell", "node", "primary", "fingerprint"]
 
     def replicate(batches):
         for batch in batches:
             values = batch.column("fingerprint").to_numpy()
             rows, cells, homes = anchors_of(values.view(np.uint64), bits, blocks)
-            more = [batch.column(c).take(pa.array(rows)) for c in names[3:]]
-            yield pa.RecordBatch.from_arrays([pa.array(cells), batch.column("node").take(pa.array(rows)), pa.array(homes), *more], names)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), batch.column("node").take(pa.array(rows)), pa.array(homes), batch.column("fingerprint").take(pa.array(rows))], names)
 
     def compare(batches):
         for block in blocks_of(batches):
             node, value = block["node"].to_numpy(), block["fingerprint"].to_numpy()
-            wide = np.frombuffer(b"".join(block["wide"].to_pylist()), np.uint64).reshape(len(node), -1) if wide_bits is not None else None
             left, right = [], []
             for i, j in pairs_of(block):
                 near = np.bitwise_count((value[i] ^ value[j]).view(np.uint64)) <= bits
-                i, j = i[near], j[near]
-                if wide is not None:
-                    near = np.bitwise_count(wide[i] ^ wide[j]).sum(1, dtype=np.int64) <= wide_bits
-                    i, j = i[near], j[near]
-                left.append(i)
-                right.append(j)
+                left.append(i[near])
+                right.append(j[near])
             if left:
                 root = local_roots(len(node), np.concatenate(left), np.concatenate(right))
                 own = np.flatnonzero(root != np.arange(len(node)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
 
-    kinds = "cell long, node long, primary boolean, fingerprint long" + ", wide binary" * (wide_bits is not None)
-    met = in_blocks(prints.select("node", *names[3:]).mapInArrow(replicate, kinds), "anchors")
+    met = in_blocks(prints.select("node", "fingerprint").mapInArrow(replicate, "cell long, node long, primary boolean, fingerprint long"), "anchors")
     return met.mapInArrow(compare, "a long, b long")
 
 
-def _components(rows, bits, blocks, wide_bits=None):
-    """``rows`` (doc_id, node, fingerprint, ...: written) with component_id, the smallest doc_id reachable."""
-    own = ["fingerprint"] + ["wide"] * (wide_bits is not None)
-    prints = stage(rows.groupBy("node", *own).agg(F.min("doc_id").alias("first_id")), "prints")
-    roots = components(links(prints, bits, blocks, wide_bits)).withColumnRenamed("node", "linked")
+def _named(rows, prints, edges):
+    """``rows`` (doc_id, node, ...: written) with component_id, the smallest doc_id reachable over ``edges`` of ``prints`` (node, first_id)."""
+    roots = components(edges).withColumnRenamed("node", "linked")
     rooted = prints.join(roots, prints.node == roots.linked, "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     rooted = stage(rooted, "rooted")
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
@@ -149,7 +141,8 @@ def near_duplicates(docs, bits=4, blocks=3, width=4, id_col="doc_id", text_col="
     Equal fingerprints are counted once (map-side combine) before anything is compared.
     """
     rows = stage(fingerprints(docs, width, id_col, text_col).withColumn("node", F.col("fingerprint")), "fingerprints")
-    out = _components(rows, bits, blocks)
+    prints = stage(rows.groupBy("node", "fingerprint").agg(F.min("doc_id").alias("first_id")), "prints")
+    out = _named(rows, prints, links(prints, bits, blocks))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -164,30 +157,92 @@ def wide_print(text, width=5):
     return np.packbits(2 * ones > len(runs)).tobytes()
 
 
-def similar_texts(docs, bits=4, blocks=3, width=5, wide_bits=48, id_col="doc_id", text_col="text"):
-    """(doc_id, component_id) for every row: near copies by two fingerprints.
+def band_keys(shingles):
+    """BANDS keys of sorted distinct shingle hashes (uint64): each is a hash of BAND_ROWS minima of the set; none for an empty set."""
+    if not len(shingles):
+        return np.empty(0, np.int64)
+    low, values = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
+    for at in range(0, len(values), 2048):
+        np.minimum(low, (TIMES[:, None] * values[at:at + 2048] + PLUS[:, None]).min(1), out=low)
+    return np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, -1))), np.uint64, BANDS).view(np.int64)
 
-    Runs of ``width`` words change with every edited word, so their 64-bit fingerprints are far apart (some 10 bits) at a
-    Jaccard similarity of 0.8, where no covering code selects anything. Candidates therefore come from fingerprints of single words,
-    which stay within ``bits`` bits, at the anchors; a pair links if the 256-bit fingerprints of its runs of ``width`` words differ in
-    ``wide_bits`` bits or fewer (39 are expected at similarity 0.8, 49 at 0.7, 59 at 0.6). Other cases as in near_duplicates.
-    """
 
-    def run(batches):
-        for batch in parts_of(batches):
-            texts = batch.column("text").to_pylist()
-            narrow = np.fromiter((fingerprint_of(t, 1) for t in texts), np.uint64, len(texts)).view(np.int64)
-            wide = [wide_print(t, width) for t in texts]
-            node = np.fromiter((xxhash.xxh3_64_intdigest(n.tobytes() + w) for n, w in zip(narrow, wide)), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node), pa.array(narrow), pa.array(wide, pa.binary())], ["doc_id", "node", "fingerprint", "wide"])
+def candidate_links(bands):
+    """Links (a, b) that join all nodes of ``bands`` (node, bands: array, written) with a common key: to the smallest node of the key, never as pairs."""
+    cells = bands.select(F.explode("bands").alias("cell"), "node")
+    shared = stage(cells.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("cell", "low"), "shared")
+    return cells.join(shared, "cell").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+
+
+def confirmed_links(sets, least):
+    """Links (a, b) that join the rows of ``sets`` (cell, node, primary, bands, shingles) of one cell and a common key with Jaccard ``least`` or more.
 
-    rows = stage(text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, fingerprint long, wide binary"), "fingerprints")
-    return _components(rows, bits, blocks, wide_bits).select("doc_id", "component_id")
+    Pairs that other links of the block have joined already need no look at their shingles.
+    """
 
+    def compare(batches):
+        for block in blocks_of(batches):
+            node, n = block["node"].to_numpy(), block.num_rows
+            as_left, as_right = (block[c].to_numpy() for c in ("as_left", "as_right"))
+            keys = np.array(block["bands"].to_pylist(), np.int64).reshape(n, -1)
+            sets = [np.frombuffer(x, np.uint64) for x in block["shingles"].to_pylist()]
+            size = np.fromiter(map(len, sets), np.int64, n)
+            parent = list(range(n))
+
+            def find(x):
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            for left, right in pairs_of(block):
+                for at in range(0, len(left), 1 << 15):
+                    i, j = left[at:at + (1 << 15)], right[at:at + (1 << 15)]
+                    root = np.fromiter(map(find, range(n)), np.int64, n)
+                    once = (i < j) | ~(as_left[j] & as_right[i])
+                    near = once & (root[i] != root[j]) & (np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= least)
+                    i, j = i[near], j[near]
+                    near = (keys[i] == keys[j]).any(1)
+                    for a, b in zip(i[near].tolist(), j[near].tolist()):
+                        x, y = find(a), find(b)
+                        if x != y:
+                            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                            if common / (size[a] + size[b] - common) >= least:
+                                parent[max(x, y)] = min(x, y)
+            root = np.fromiter(map(find, range(n)), np.int64, n)
+            own = np.flatnonzero(root != np.arange(n))
+            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
+
+    return in_blocks(sets, "suspects", 512).mapInArrow(compare, "a long, b long")
+
+
+def similar_texts(docs, width=5, least=0.8, id_col="doc_id", text_col="text"):
+    """(doc_id, component_id) for every row: texts whose sets of runs of ``width`` words have a Jaccard similarity of ``least`` or more are linked.
+
+    Fingerprints of runs are too far apart at 0.8 (some 10 of 64 bits) for a covering code, and those of words are too far apart
+    for texts with a block added. Candidates share one of BANDS keys of BAND_ROWS minima of the runs' hashes: a pair of
+    similarity s is missed with the chance (1 - s^6)^40, at 0.8 below 0.00001 and less above. Every link is confirmed on the sets of runs, so
+    no text is linked to one below ``least``. Equal sets are one node. Other cases as in near_duplicates.
+    """
 
-def keep_first(docs, bits=4, blocks=3, width=5, wide_bits=48):
+    def run(batches):
+        for batch in parts_of(batches, 500):
+            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column("text").to_pylist()]
+            node = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(node), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())],
+                ["doc_id", "node", "bands", "shingles"])
+
+    rows = stage(text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, bands array<long>, shingles binary"), "shingles")
+    suspects = components(candidate_links(rows.select("node", "bands")))
+    sets = rows.join(suspects, "node").groupBy("node", F.col("root").alias("cell")).agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
+    sets = stage(sets.select("cell", "node", F.lit(True).alias("primary"), "bands", "shingles"), "suspects")
+    prints = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "prints")
+    return _named(rows.select("doc_id", "node"), prints, confirmed_links(sets, least)).select("doc_id", "component_id")
+
+
+def keep_first(docs, width=5, least=0.8):
     """The rows of ``docs`` without near copies: of each component the row(s) of the smallest doc_id stay, and rows without id."""
-    gone = similar_texts(docs, bits, blocks, width, wide_bits).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = similar_texts(docs, width, least).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 

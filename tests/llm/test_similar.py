@@ -1,0 +1,63 @@
+"""Stage 3 of the pipeline against the exact share of common runs of five words."""
+
+import random
+
+from hydroq.llm import simhash
+from test_simhash import brute_roots
+
+
+def runs(text):
+    words = text.split()
+    return {tuple(words[k:k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b)
+
+
+def made():
+    """Texts of 30 to 1,500 words with a block of another text added or with words replaced, at similarities from 0.6 to 1; and texts of a common template."""
+    rng = random.Random(7)
+    prose = lambda n: [f"w{int(rng.paretovariate(0.6)) % 5000}" for _ in range(n)]
+    texts = []
+    for n in [30, 60, 90, 150, 250, 400, 800, 1500] * 8:
+        base = prose(n)
+        texts.append(base)
+        texts.append(base + prose(int(n * rng.uniform(0.05, 0.4))))
+        other = list(base)
+        for k in rng.sample(range(n), max(1, int(n * rng.uniform(0.005, 0.05)))):
+            other[k] = f"new{k}"
+        texts.append(other)
+    form = prose(60)
+    texts += [form[:30] + prose(rng.randrange(8, 30)) + form[30:] for _ in range(40)]
+    return [" ".join(t) for t in texts]
+
+
+def test_links_equal_exact_similarity(spark, docs_of):
+    texts = made()
+    sets = [runs(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if alike(sets[a], sets[b]) >= 0.8]
+    assert sum(alike(sets[a], sets[b]) < 0.9 for a, b in links) > 20
+    roots = brute_roots(links)
+    got = simhash.similar_texts(docs_of(list(enumerate(texts))).repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: roots.get(k, k) for k in range(len(texts))}
+
+
+def test_a_large_group_is_cut_into_blocks(spark, docs_of):
+    """Over 512 near copies of one text and as many of one that is less alike."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(9000)}" for _ in range(80)]
+    half = base[:60] + [f"v{k}" for k in range(30)]
+    texts = [" ".join([*t[:-1], f"last{k}"]) for t in (base, half) for k in range(600)]
+    got = simhash.similar_texts(docs_of(list(enumerate(texts))).repartition(3)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k // 600 * 600 for k in range(1200)}
+
+
+def test_documents(spark, sf_dir):
+    """The table itself: exactly the components of pairs at 0.8 and more."""
+    texts = {r.doc_id: (r.text or "").encode().lower().split() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    sets = {i: {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for i, w in texts.items()}
+    ids = sorted(sets)
+    roots = brute_roots([(a, b) for k, a in enumerate(ids) for b in ids[:k] if alike(sets[a], sets[b]) >= 0.8])
+    got = {r.doc_id: r.component_id for r in simhash.similar_texts(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()}
+    assert got == {i: roots.get(i, i) for i in ids}

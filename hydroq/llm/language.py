@@ -5,6 +5,7 @@ table of fixed size. A language is a candidate for words of the scripts it was s
 a text pays ``penalty`` for each change of language; its stretches label the spans of mixed text.
 """
 
+import math
 import re
 
 import numpy as np
@@ -92,9 +93,20 @@ def portions(texts):
             at, size = k + 1, 0
 
 
+def quota(counts, most):
+    """The number of rows of each language at which the languages together give about ``most``: all rows of those that have fewer."""
+    left = most
+    for k, n in enumerate(ranked := sorted(counts)):
+        if n * (len(ranked) - k) > left:
+            return max(1.0, left / (len(ranked) - k))
+        left -= n
+    return float(ranked[-1])
+
+
 def learn(docs, train_docs=20_000, id_col="doc_id", text_col="text", lang_col="lang"):
     """A Model from about ``train_docs`` of the rows with text and language (all if there are fewer), picked by a hash of the id.
 
+    Each language gives the same number of rows, or all of its rows if it has fewer, so that no language is left out for its small share.
     Counts meet by partial sums; the table that reaches the driver has at most BUCKETS cells for each language.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
@@ -102,8 +114,9 @@ def learn(docs, train_docs=20_000, id_col="doc_id", text_col="text", lang_col="l
     languages = sorted(found)
     if not languages:
         return None
-    share = min(1.0, train_docs / sum(found.values()))
-    rows = rows.where(F.pmod(F.xxhash64(F.coalesce("key", "text")), F.lit(1 << 20)) < round(share * (1 << 20)))
+    own = quota(found.values(), train_docs)
+    below = F.create_map(*[F.lit(x) for name in languages for x in (name, math.ceil(min(1.0, own / found[name]) * (1 << 40)))])
+    rows = rows.where(F.pmod(F.xxhash64(F.coalesce("key", "text")), F.lit(1 << 40)) < below[F.col("lang")].cast("long"))
     number = {name: k for k, name in enumerate(languages)}
 
     def run(batches):

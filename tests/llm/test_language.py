@@ -62,3 +62,20 @@ def test_cases(spark, learned):
     assert {r.lang_pred for r in language.detect(docs, None).collect()} == {"und"}
     assert language.keep_known(docs, None).count() == 4
     assert language.learn(docs.selectExpr("doc_id", "text", "cast(null AS string) AS lang")) is None
+
+
+def test_a_rare_language_is_learned_from_all_its_rows(spark):
+    """Five rows among 805, of which about 60 are drawn."""
+    rows = [(k, "the cat and the dog", "en") for k in range(400)] + [(1000 + k, "кот и собака", "ru") for k in range(400)] + [(5000 + k, "კატა და ძაღლი", "ka") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    model = language.learn(docs, train_docs=60)
+    found = {r.doc_id: r.lang_pred for r in language.detect(docs, model).collect()}
+    assert found == {i: lang for i, _, lang in rows}
+    assert language.quota([400, 400, 5], 60) == 27.5 and language.quota([3, 4], 60) == 4
+
+
+def test_a_small_share_is_still_drawn(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'the cat' AS text", "IF(id % 500 = 0, 'xx', 'en') AS lang")
+    assert language.learn(docs, train_docs=30).weights.shape == (language.BUCKETS, 2)
+    drawn = language.learn(docs, train_docs=30).weights
+    assert drawn[:, 1].max() > drawn[:, 1].min()

@@ -4,7 +4,7 @@ import importlib
 
 from hydroq.llm.catalog import ORACLES, QUERIES  # noqa: F401
 
-MODULES = ("suffix_dedup", "line_dedup", "decontaminate", "url_filter", "embeddings", "pieces", "language", "simhash", "quality", "class_lm", "line_rules", "centroids")
+MODULES = ("suffix_dedup", "line_dedup", "decontaminate", "url_filter", "embeddings", "pieces", "language", "simhash", "quality", "class_lm", "line_rules", "centroids", "conversations")
 
 for _name in MODULES:
     importlib.import_module(f"hydroq.llm.{_name}")

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from hydroq.llm.catalog import query, table
-from hydroq.llm.common import LOWER, NO_ID, SPACE, parts_of, partitions, row_hash, signed, stage, text_rows
+from hydroq.llm.common import LOWER, NO_ID, SPACE, parts_of, partitions, signed, stage, text_rows
 
 LINE_SCHEMA = "h1 long, h2 long, doc long, row long, pos int"
 LOW64 = (1 << 64) - 1
@@ -32,21 +32,19 @@ def hashed_lines(docs, least_chars, id_col="doc_id", text_col="text"):
     def run(batches):
         for batch in parts_of(batches):
             out = [[], [], [], [], []]
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                row = None
+            for doc, row, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "row", "text"))):
                 for pos, line in enumerate(text.split(b"\n")):
                     if len(line) < least_chars:
                         continue
                     key = key_of(line)
                     if len(key) >= least_chars and (key.isascii() or len(key.decode("utf-8", "replace")) >= least_chars):
-                        row = row_hash(text) if row is None else row
                         value = xxhash.xxh3_128_intdigest(key)
                         for column, x in zip(out, (signed(value >> 64), signed(value & LOW64), NO_ID if doc is None else doc, row, pos)):
                             column.append(x)
             kinds = [pa.int64()] * 4 + [pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["h1", "h2", "doc", "row", "pos"])
 
-    return text_rows(docs, id_col, text_col).mapInArrow(run, LINE_SCHEMA)
+    return text_rows(docs, id_col, text_col).withColumn("row", F.xxhash64("text")).mapInArrow(run, LINE_SCHEMA)
 
 
 def _columns(batch):
@@ -141,7 +139,8 @@ def keep_bitmaps(docs, least_chars=40, least_docs=5, id_col="doc_id", text_col="
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    lines = hashed_lines(docs, least_chars, id_col, text_col)
+    # written first: range bounds are drawn from it and checkpoint() computes twice, which would hash the texts three times
+    lines = stage(hashed_lines(docs, least_chars, id_col, text_col), "lines")
     lines = lines.repartitionByRange(n, "h1", "h2", F.desc("doc")).sortWithinPartitions("h1", "h2", F.desc("doc"), "row", "pos").checkpoint()
     spread = defaultdict(lambda: [0, NO_ID, 0])
     for h1, h2, count, top in lines.mapInArrow(_run_ends, "h1 long, h2 long, docs long, top long").collect():  # two rows a partition
@@ -163,19 +162,11 @@ def kept_lines(text, keep):
 
 
 def with_bitmaps(docs, bitmaps, id_col="doc_id", text_col="text"):
-    """``docs`` with the columns __text (bytes) and __keep."""
+    """``docs`` with the columns __text (bytes) and __keep; a row meets its bitmap by its id and the hash of its text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
-    own = docs.withColumn("__text", text).withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)))
+    own = docs.withColumn("__text", text).withColumn("__doc", F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))).withColumn("__row", F.xxhash64("__text"))
     marks = stage(bitmaps, "bitmaps").select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), F.col("keep").alias("__keep"))
-    many = marks.groupBy("__doc").agg(F.collect_list(F.struct("__row", "__keep")).alias("__keeps"))  # one entry for each row of an id
-    return own.join(many, "__doc", "left")
-
-
-def _own_keep(text, keeps):
-    if not keeps:
-        return None
-    row = row_hash(text)
-    return next((k["__keep"] for k in keeps if k["__row"] == row), None)
+    return own.join(marks, ["__doc", "__row"], "left")
 
 
 def line_report(docs, least_chars=40, least_docs=5, id_col="doc_id", text_col="text"):
@@ -184,15 +175,15 @@ def line_report(docs, least_chars=40, least_docs=5, id_col="doc_id", text_col="t
     def run(batches):
         for batch in parts_of(batches):
             lines, dropped, digest = [], [], []
-            for text, keeps in zip(batch.column("text").to_pylist(), batch.column("keeps").to_pylist()):
-                kept, gone = kept_lines(text, _own_keep(text, keeps))
+            for text, keep in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist()):
+                kept, gone = kept_lines(text, keep)
                 lines.append(text.count(b"\n") + 1)
                 dropped.append(gone)
                 digest.append(hashlib.sha256(kept).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
     rows = with_bitmaps(text_rows(docs, id_col, text_col), keep_bitmaps(docs, least_chars, least_docs, id_col, text_col), text_col="text")
-    return rows.select("doc_id", F.col("__text").alias("text"), F.col("__keeps").alias("keeps")).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return rows.select("doc_id", F.col("__text").alias("text"), F.col("__keep").alias("keep")).mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_lines(docs, least_chars=40, least_docs=5, id_col="doc_id", text_col="text"):
@@ -201,13 +192,13 @@ def drop_lines(docs, least_chars=40, least_docs=5, id_col="doc_id", text_col="te
     def run(batches):
         for batch in parts_of(batches):
             texts = []
-            for text, keeps in zip(batch.column("__text").to_pylist(), batch.column("__keeps").to_pylist()):
-                texts.append(kept_lines(text, _own_keep(text, keeps))[0].decode("utf-8", "replace") if keeps else None)
-            own = [c for c in batch.schema.names if c not in ("__text", "__keeps")]
+            for text, keep in zip(batch.column("__text").to_pylist(), batch.column("__keep").to_pylist()):
+                texts.append(kept_lines(text, keep)[0].decode("utf-8", "replace") if keep else None)
+            own = [c for c in batch.schema.names if c not in ("__text", "__keep")]
             yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(texts, pa.string())], [*own, "__new"])
 
-    rows = with_bitmaps(docs, keep_bitmaps(docs, least_chars, least_docs, id_col, text_col), id_col, text_col).drop("__doc")
-    rows = rows.withColumn("__text", F.when(F.col("__keeps").isNotNull(), F.col("__text")))
+    rows = with_bitmaps(docs, keep_bitmaps(docs, least_chars, least_docs, id_col, text_col), id_col, text_col).drop("__doc", "__row")
+    rows = rows.withColumn("__text", F.when(F.col("__keep").isNotNull(), F.col("__text")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     new = rows.mapInArrow(run, f"{fields}, `__new` string")
     return new.withColumn(text_col, F.coalesce("__new", text_col)).select(*(F.col(f"`{c}`") for c in docs.columns))

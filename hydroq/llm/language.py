@@ -236,15 +236,17 @@ def held_out(docs, parts, part, id_col="doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(parts)) == part, F.lit(False))
 
 
-def keep_known(docs, model, least_share=0.5, penalty=12.0, text_col="text"):
-    """``docs`` without the texts that have no letters or no language for ``least_share`` of them; nothing is dropped for its language if none was learned."""
+def keep_known(docs, model, least_share=0.5, least_words=10, penalty=12.0, text_col="text"):
+    """``docs`` without the texts that have no letters, or neither a language for ``least_share`` of them nor that share of their words in
+    stretches of ``least_words`` and more, as texts in several languages have. Nothing is dropped for its language if none was learned."""
     own = docs.columns
 
     def run(batches):
         for batch in parts_of(batches):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            _, share, letters, _ = labelled(texts, model, penalty)
-            yield batch.filter(pa.array([n > 0 and s >= least_share for n, s in zip(letters, share)]))
+            _, share, letters, spans = labelled(texts, model, penalty)
+            long = [sum(n for _, n in own if n >= least_words) >= least_share * sum(n for _, n in own) for own in spans]
+            yield batch.filter(pa.array([n > 0 and (s >= least_share or x) for n, s, x in zip(letters, share, long)]))
 
     small_batches(docs.sparkSession)
     if model is None:

@@ -21,8 +21,6 @@ from hydroq.llm.components import components
 
 SEED = 42
 DOCS_AT_ONCE = 1 << 18
-BANDS, BAND_ROWS = 40, 6
-TIMES, PLUS = np.random.default_rng(SEED).integers(0, 1 << 32, (2, BANDS * BAND_ROWS), np.uint32) | np.array([[1], [0]], np.uint32)
 
 
 def shingle_hashes(text, width):
@@ -146,103 +144,9 @@ def near_duplicates(docs, bits=4, blocks=3, width=4, id_col="doc_id", text_col="
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_print(text, width=5):
-    """A fingerprint of 256 bits over the runs of ``width`` words."""
-    words = text.translate(LOWER).split()
-    runs = [b" ".join(words[k:k + width]) for k in range(max(1, len(words) - width + 1))] if words else []
-    ones = np.zeros(256, np.int64)
-    for at in range(0, len(runs), DOCS_AT_ONCE):
-        digests = b"".join([xxhash.xxh3_128_digest(r, 1) + xxhash.xxh3_128_digest(r, 2) for r in runs[at:at + DOCS_AT_ONCE]])
-        ones += np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 32), axis=1).sum(0, dtype=np.int64)
-    return np.packbits(2 * ones > len(runs)).tobytes()
-
-
-def band_keys(shingles):
-    """BANDS keys of sorted distinct shingle hashes (uint64): each is a hash of BAND_ROWS minima of the set; none for an empty set."""
-    if not len(shingles):
-        return np.empty(0, np.int64)
-    low, values = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32), (shingles >> np.uint64(32)).astype(np.uint32)
-    for at in range(0, len(values), 2048):
-        np.minimum(low, (TIMES[:, None] * values[at:at + 2048] + PLUS[:, None]).min(1), out=low)
-    return np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes(), k) for k, x in enumerate(low.reshape(BANDS, -1))), np.uint64, BANDS).view(np.int64)
-
-
-def candidate_links(bands):
-    """Links (a, b) that join all nodes of ``bands`` (node, bands: array, written) with a common key: to the smallest node of the key, never as pairs."""
-    cells = bands.select(F.explode("bands").alias("cell"), "node")
-    shared = stage(cells.groupBy("cell").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("cell", "low"), "shared")
-    return cells.join(shared, "cell").where("node > low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
-
-
-def confirmed_links(sets, least):
-    """Links (a, b) that join the rows of ``sets`` (cell, node, primary, bands, shingles) of one cell and a common key with Jaccard ``least`` or more.
-
-    Pairs that other links of the block have joined already need no look at their shingles.
-    """
-
-    def compare(batches):
-        for block in blocks_of(batches):
-            node, n = block["node"].to_numpy(), block.num_rows
-            as_left, as_right = (block[c].to_numpy() for c in ("as_left", "as_right"))
-            keys = np.array(block["bands"].to_pylist(), np.int64).reshape(n, -1)
-            sets = [np.frombuffer(x, np.uint64) for x in block["shingles"].to_pylist()]
-            size = np.fromiter(map(len, sets), np.int64, n)
-            parent = list(range(n))
-
-            def find(x):
-                while parent[x] != x:
-                    parent[x] = x = parent[parent[x]]
-                return x
-
-            for left, right in pairs_of(block):
-                for at in range(0, len(left), 1 << 15):
-                    i, j = left[at:at + (1 << 15)], right[at:at + (1 << 15)]
-                    root = np.fromiter(map(find, range(n)), np.int64, n)
-                    once = (i < j) | ~(as_left[j] & as_right[i])
-                    near = once & (root[i] != root[j]) & (np.minimum(size[i], size[j]) / np.maximum(size[i], size[j]) >= least)
-                    i, j = i[near], j[near]
-                    near = (keys[i] == keys[j]).any(1)
-                    for a, b in zip(i[near].tolist(), j[near].tolist()):
-                        x, y = find(a), find(b)
-                        if x != y:
-                            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                            if common / (size[a] + size[b] - common) >= least:
-                                parent[max(x, y)] = min(x, y)
-            root = np.fromiter(map(find, range(n)), np.int64, n)
-            own = np.flatnonzero(root != np.arange(n))
-            yield pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[root[own]])], ["a", "b"])
-
-    return in_blocks(sets, "suspects", 512).mapInArrow(compare, "a long, b long")
-
-
-def similar_texts(docs, width=5, least=0.8, id_col="doc_id", text_col="text"):
-    """(doc_id, component_id) for every row: texts whose sets of runs of ``width`` words have a Jaccard similarity of ``least`` or more are linked.
-
-    Fingerprints of runs are too far apart at 0.8 (some 10 of 64 bits) for a covering code, and those of words are too far apart
-    for texts with a block added. Candidates share one of BANDS keys of BAND_ROWS minima of the runs' hashes: a pair of
-    similarity s is missed with the chance (1 - s^6)^40, at 0.8 below 0.00001 and less above. Every link is confirmed on the sets of runs, so
-    no text is linked to one below ``least``. Equal sets are one node. Other cases as in near_duplicates.
-    """
-
-    def run(batches):
-        for batch in parts_of(batches, 500):
-            sets = [np.unique(shingle_hashes(t, width)) for t in batch.column("text").to_pylist()]
-            node = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(node), pa.array([band_keys(x) for x in sets], pa.list_(pa.int64())), pa.array([x.tobytes() for x in sets], pa.binary())],
-                ["doc_id", "node", "bands", "shingles"])
-
-    rows = stage(text_rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, node long, bands array<long>, shingles binary"), "shingles")
-    suspects = components(candidate_links(rows.select("node", "bands")))
-    sets = rows.join(suspects, "node").groupBy("node", F.col("root").alias("cell")).agg(F.first("bands").alias("bands"), F.first("shingles").alias("shingles"))
-    sets = stage(sets.select("cell", "node", F.lit(True).alias("primary"), "bands", "shingles"), "suspects")
-    prints = stage(rows.groupBy("node").agg(F.min("doc_id").alias("first_id")), "prints")
-    return _named(rows.select("doc_id", "node"), prints, confirmed_links(sets, least)).select("doc_id", "component_id")
-
-
-def keep_first(docs, width=5, least=0.8):
+def keep_first(docs, bits=4, blocks=3, width=4):
     """The rows of ``docs`` without near copies: of each component the row(s) of the smallest doc_id stay, and rows without id."""
-    gone = similar_texts(docs, width, least).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_duplicates(docs, bits, blocks, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
 
 

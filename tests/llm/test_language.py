@@ -48,6 +48,14 @@ def test_spans_of_mixed_text(spark, learned):
     assert long == names and 0.3 < row.score < 0.7
 
 
+def test_a_text_in_three_languages_is_kept(spark, learned):
+    docs, model = learned
+    sample = {r.lang: " ".join(r.text.split()[:80]) for r in docs.where("length(text) between 900 and 3000").select("lang", "text").collect()}
+    mixed = spark.createDataFrame([(1, " ".join(sample[x] for x in sorted(sample)[:3]))], "doc_id long, text string")
+    assert language.detect(mixed, model).first().score < 0.5
+    assert language.keep_known(mixed, model).count() == 1
+
+
 def test_cases(spark, learned):
     _, model = learned
     rows = [(1, None), (2, ""), (3, "123 ... \n"), (4, "漢字"), (4, "漢字"), (None, "the of and"), (5, "the and of " * 60_000)]

@@ -42,17 +42,49 @@ def _(spark, sf):
     return stats.shapiro(obs(spark, sf, "VmvCode", _V))
 
 
-@query("j02_anderson_darling")
+_PLACED = f"""WITH num AS MATERIALIZED (SELECT VmvCode, MeasurementValueNum AS v FROM obs WHERE MeasurementValueNum IS NOT NULL),
+    m AS (SELECT VmvCode, count(*) AS n, avg(v) AS mu, stddev_samp(v) AS sd FROM num GROUP BY 1 HAVING count(*) >= 3 AND stddev_samp(v) > 0),
+    p AS MATERIALIZED (SELECT VmvCode, v, n, (v - mu) / sd AS z, row_number() OVER (PARTITION BY VmvCode ORDER BY v) AS i FROM num JOIN m USING (VmvCode)),
+    c AS MATERIALIZED (SELECT *, {tail_sql.normal_cdf("z")} AS f FROM p)"""
+_LEVELS = ", ".join(f"round({c} / (1 + 4.0::DOUBLE / n - 25.0::DOUBLE / n**2), 3) AS critical_{str(level).replace('.0', '').replace('.', '_')}pct" for level, c in stats.ANDERSON_CRITICAL.items())
+
+
+@query(
+    "j02_anderson_darling",
+    _PLACED + f"""SELECT VmvCode, n AS sample_size, -n - sum((2 * i - 1) * ln(f) + (2 * (n - i) + 1) * ln(1 - f)) / n AS statistic, {_LEVELS} FROM c GROUP BY VmvCode, n""",
+    {"statistic": 5},
+)
 def _(spark, sf):
     return stats.anderson_darling(obs(spark, sf, "VmvCode", _V))
 
 
-@query("j03_kolmogorov_smirnov")
+@query(
+    "j03_kolmogorov_smirnov",
+    _PLACED + """, d AS (SELECT VmvCode, max(greatest(i / n - f, f - (i - 1) / n)) AS statistic, n AS sample_size FROM c GROUP BY VmvCode, n),
+    x AS (SELECT *, (sqrt(sample_size) + 0.12 + 0.11 / sqrt(sample_size)) * statistic AS x FROM d),
+    q AS (SELECT VmvCode, statistic, sample_size, CASE WHEN x < 0.2 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * x * x))))) END AS p_value FROM x)
+    SELECT *, p_value > 0.05 AS normal FROM q""",
+    "statistic p_value",
+)
 def _(spark, sf):
     return stats.kolmogorov_smirnov(obs(spark, sf, "VmvCode", _V))
 
 
-@query("j05_distribution_fit")
+_FITS = ("normal", "lognormal", "exponential", "gamma", "weibull")
+
+
+@query(
+    "j05_distribution_fit",
+    f"""WITH num AS MATERIALIZED (SELECT VmvCode, MeasurementValueNum AS v, CASE WHEN MeasurementValueNum > 0 THEN ln(MeasurementValueNum) END AS lv FROM obs WHERE MeasurementValueNum IS NOT NULL),
+    m AS (SELECT VmvCode, count(*) AS n, avg(v) AS mu, stddev_pop(v) AS sd, min(v) AS low, avg(lv) AS lmu, stddev_pop(lv) AS lsd FROM num GROUP BY 1 HAVING count(*) >= 10 AND stddev_pop(v) > 0),
+    g AS MATERIALIZED (SELECT *, CASE WHEN low > 0 THEN {tail_sql.gamma_shape("(ln(mu) - lmu)")} END AS k, CASE WHEN low > 0 THEN pi() / (sqrt(6) * lsd) END AS w FROM m),
+    p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY VmvCode ORDER BY v) AS i FROM num JOIN g USING (VmvCode)),
+    f AS MATERIALIZED (SELECT *, {tail_sql.normal_cdf("(v - mu) / sd")} AS normal, CASE WHEN low > 0 THEN {tail_sql.normal_cdf("(lv - lmu) / lsd")} END AS lognormal, 1 - exp(-(v - low) / (mu - low)) AS exponential,
+      CASE WHEN low > 0 THEN {tail_sql.gamma_cdf("(v * k / mu)", "k")} END AS gamma, CASE WHEN low > 0 THEN 1 - exp(-pow(v / exp(lmu + 0.5772156649015329 / w), w)) END AS weibull FROM p),
+    d AS (SELECT VmvCode, n AS sample_size, {", ".join(f"max(CASE WHEN {x} IS NOT NULL THEN greatest(i / n - {x}, {x} - (i - 1) / n) END) AS ks_{x}" for x in _FITS)} FROM f GROUP BY VmvCode, n)
+    SELECT *, list_sort(list_filter([{", ".join(f"{{'d': ks_{x}, 'name': '{x}'}}" for x in _FITS)}], lambda x: x.d IS NOT NULL))[1].name AS best_fit FROM d""",
+    {f"ks_{x}": 5 for x in _FITS},
+)
 def _(spark, sf):
     return stats.identify_distribution(obs(spark, sf, "VmvCode", _V))
 

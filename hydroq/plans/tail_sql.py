@@ -5,11 +5,11 @@ from hydroq.functions import values
 NODES = 4000
 
 
-def _simpson(term, high):
+def _simpson(term, high, nodes=NODES):
     """Integral from 0 to ``high`` of ``term``, a text with {x}."""
-    at = term.format(x=f"(({high}) * i / {NODES}.0)")
-    weight = f"(CASE WHEN i = 0 OR i = {NODES} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
-    return f"(({high}) / {NODES}.0 / 3 * list_sum(list_transform(range(0, {NODES + 1}), lambda i: {weight} * {at})))"
+    at = term.format(x=f"(({high}) * i / {nodes}.0)")
+    weight = f"(CASE WHEN i = 0 OR i = {nodes} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"(({high}) / {nodes}.0 / 3 * list_sum(list_transform(range(0, {nodes + 1}), lambda i: {weight} * {at})))"
 
 
 def chi2_upper(x, df):
@@ -49,3 +49,27 @@ def normal_quantile(p):
 
 def normal_upper(z):
     return f"(CASE WHEN {z} > 0 THEN 0.5 * {normal_two_sided(z)} ELSE 1 - 0.5 * {normal_two_sided(z)} END)"
+
+
+def normal_cdf(z):
+    """Distribution function of many values: fewer nodes than the finished statistics get."""
+    half = _simpson(f"(exp(-0.5 * {{x}} * {{x}}) / {(2 * 3.141592653589793) ** 0.5!r})", f"abs({z})", 400)
+    return f"(0.5 + sign({z}) * {half})"
+
+
+def gamma_cdf(x, shape):
+    """Distribution function of the gamma law of scale 1; with t = s^2 the integrand is smooth at 0."""
+    term = f"(CASE WHEN {{x}} = 0 THEN 0 ELSE 2 * exp((2 * {shape} - 1) * ln({{x}}) - {{x}} * {{x}} - lgamma({shape})) END)"
+    return _simpson(term, f"sqrt({x})", 400)
+
+
+def digamma(k):
+    """Ten steps up, then the asymptotic series."""
+    up = f"({k} + 10)"
+    return f"(ln({up}) - 0.5 / {up} - 1 / (12 * {up} ** 2) + 1 / (120 * {up} ** 4) - 1 / (252 * {up} ** 6) - list_sum(list_transform(range(10), lambda j: 1 / ({k} + j))))"
+
+
+def gamma_shape(gap):
+    """Root of ln(k) - digamma(k) = gap by halving the range of ln(k)."""
+    step = f"(CASE WHEN (r.low + r.high) / 2 - {digamma('exp((r.low + r.high) / 2)')} > {gap} THEN {{'low': (r.low + r.high) / 2, 'high': r.high}} ELSE {{'low': r.low, 'high': (r.low + r.high) / 2}} END)"
+    return f"exp(list_reduce(list_transform(range(60), lambda i: {{'low': -20.0::DOUBLE, 'high': 20.0::DOUBLE}}), lambda r, i: {step}, {{'low': -20.0::DOUBLE, 'high': 20.0::DOUBLE}}).low)"

@@ -201,3 +201,29 @@ def long_pair_sign_sum(df, keys, position, value, size="n"):
     run = running_totals(cells, [*keys, "n", "_level", "_half"], "_v", {"_l": "_below"}, value_block("_v"))
     above = F.col("_below_all") - F.col("_below") - F.col("_l")
     return run.groupBy(*keys, "n").agg(F.sum(F.col("_r") * (F.col("_below") - above)).cast("long").alias("s"))
+
+
+def with_around(df, keys, order, carry, before, after, block, size=4096):
+    """Arrays ``earlier`` (nearest first) and ``later`` of up to ``before`` and ``after`` neighbouring rows, as structs of the columns ``carry``.
+
+    (keys, order) must be unique. Rows are numbered within their key and cut into stretches of ``size`` rows; a stretch also receives the
+    rows just outside of its ends, so a window never sees more than one stretch and its halo.
+    """
+    df, keys = (df, list(keys)) if keys else (df.withColumn("_all", F.lit(0)), ["_all"])
+    placed = with_position(df, keys, order, block, "_at")
+    own = F.floor(F.col("_at") / size)
+    homes = F.array_distinct(F.array(own, F.floor((F.col("_at") - after) / size), F.floor((F.col("_at") + before) / size)))
+    spread = placed.withColumn("_home", F.explode(F.filter(homes, lambda h: h >= 0)))
+    inside = Window.partitionBy(*keys, "_home").orderBy("_at")
+    row = F.struct(*carry)
+    seen = spread.withColumns({
+        "earlier": F.reverse(F.collect_list(row).over(inside.rowsBetween(-before, -1))) if before else F.array().cast(f"array<{spread.select(row).schema.fields[0].dataType.simpleString()}>"),
+        "later": F.collect_list(row).over(inside.rowsBetween(1, after)),
+    })
+    return seen.where(F.col("_home") == F.floor(F.col("_at") / size)).drop("_home", "_at", "_all")
+
+
+def with_next(df, keys, order, carry, block):
+    """Next row's values in the order of the number ``order``: the mirror of ``with_previous``."""
+    mirrored = df.withColumn("_mirror", -F.col(order))
+    return with_previous(mirrored, keys, "_mirror", carry, -block).drop("_mirror")

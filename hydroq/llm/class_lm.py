@@ -1,26 +1,30 @@
-"""Text scores from a Brown class model: exchange clustering of frequent words, class transitions, word emissions.
+"""Text scores from a Brown class model: exchange clustering of words, class transitions, word emissions.
 
-Counts cover every training document. Words and pairs of neighbours are counted with partial sums; the ``class_words`` most
-frequent words are clustered by the exchange method (each word in turn moves to the class that raises the
-likelihood of the class pairs most). All other words fall into classes by their spelling (their last character and their first
-one beyond ASCII), so every word, known or not, has a class without a look-up. Then
+Counts cover every training document. The ``class_words`` most frequent words are the seeds: the exchange method clusters them (each word
+in turn moves to the class that raises the likelihood of the class pairs most). Every other word of ``least`` occurrences or more then
+makes the same move against the seeds' class table: its neighbours are counted by class with partial sums, and it takes the class with
+the largest gain, so the number of clustered words grows with the corpus. Words below ``least`` and unknown ones fall into classes by
+their spelling (their last character and their first one beyond ASCII). Then
 
     P(word | word before) = P(class | class before) P(word | class),
 
-both smoothed by added counts. Only the counts of the ``head_words`` most frequent words are sent to the tasks; the
-others meet the texts' rarer words in a join, so a vocabulary of any size fits.
+both smoothed by added counts. Texts are cut into blocks of a few MB; a block asks the table of words (a join) for those of its own words
+that are not among the ``head_words`` most frequent, which every task has. So a vocabulary of any size fits, and each text becomes a string
+of classes from which the transitions are counted and the texts scored.
 """
 
+import math
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from hydroq.llm.catalog import query, table
-from hydroq.llm.common import LOWER, stage
+from hydroq.llm.common import LOWER, parts_of, stage
 from hydroq.llm.language import held_out
 
 END = b"\n"  # the end of a text, counted as a token; no word can hold it
@@ -47,7 +51,7 @@ def word_counts(rows):
     """(word, n) over all rows (text: bytes)."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts_of(batches):
             counts = Counter()
             for text in batch.column("text").to_pylist():
                 counts.update(tokens_of(text))
@@ -76,16 +80,14 @@ def symbol_pairs(rows, symbols):
     n = len(symbols) + SHAPES
 
     def run(batches):
-        for batch in batches:
-            total = np.zeros(n * n, np.int64)
-            for at in range(0, batch.num_rows, 2000):
-                lists = [tokens_of(t) for t in batch.column("text").slice(at, 2000).to_pylist()]
-                codes, words = pd.factorize(np.array([w for x in lists for w in x], object))
-                own = np.array([symbols[w] if w in symbols else len(symbols) + shape_of(w) for w in words])[codes]
-                before = np.r_[symbols.get(END, len(symbols)), own[:-1]]
-                total += np.bincount(before * n + own, minlength=n * n)
-            cells = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+        for part in parts_of(batches):
+            codes, words, _ = coded(part.column("text").to_pylist())
+            if not len(words):
+                continue
+            own = np.array([symbols[w] if w in symbols else len(symbols) + shape_of(w) for w in words])[codes]
+            before = np.r_[own[-1:], own[:-1]]  # every text ends with the same token
+            cells, total = np.unique(before * n + own, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total)], ["cell", "n"])
 
     sums = rows.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most n * n rows
     flat = np.zeros(n * n)
@@ -144,7 +146,7 @@ def exchange(pairs, movable, classes, sweeps=6):
 
 
 class Model:
-    """head: counts of frequent words; class_of: classes of the clustered ones; the rest by spelling."""
+    """class_of: classes of clustered words, the rest by spelling; log chances of transitions, and what a class divides its words' chances by."""
 
     def __init__(self, head, class_of, classes, transitions, tokens, words, class_tokens, class_words, added, added_pairs):
         self.head, self.class_of, self.classes = head, class_of, classes
@@ -152,84 +154,200 @@ class Model:
         total = classes + SHAPES
         self.transition = np.log10((transitions + added_pairs) / (transitions.sum(1, keepdims=True) + added_pairs * total))
         self.share = np.log10(class_tokens + added * (class_words + 1))  # of a class: what its words' chances are divided by
-        self.base_share = np.log10(tokens + words + 1.0)
 
     def class_number(self, word):
         found = self.class_of.get(word)
         return found if found is not None else self.classes + shape_of(word)
 
 
-def fit(rows, class_words=1500, classes=60, head_words=100_000, added=1.0, added_pairs=0.1):
-    """(Model, counts): the model of the texts in ``rows`` and their word counts as a written table (word, n)."""
-    counts = stage(word_counts(rows), "words")
-    totals = counts.agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("tokens")).first()
-    head = most_frequent(counts, head_words)
-    ranked = sorted(head, key=lambda w: (-head[w], w))[:class_words]
-    symbols = {w: k for k, w in enumerate(ranked)}
-    pairs = symbol_pairs(rows, symbols)
-    own = exchange(pairs, len(symbols), classes)
+def in_text_blocks(rows, size=4_000_000, most=1000):
+    """``rows`` (doc_id, held_out, text) with ``block``: stretches of at most ``most`` rows and some ``size`` bytes; written, so that the numbers stay."""
+
+    def run(batches):
+        block, held, count = TaskContext.get().partitionId() << 40, 0, 0
+        for batch in parts_of(batches):
+            numbers = np.empty(batch.num_rows, np.int64)
+            for k, length in enumerate(pc.binary_length(batch.column("text")).to_numpy()):
+                if count and (held + length > size or count == most):
+                    block, held, count = block + 1, 0, 0
+                held, count = held + length, count + 1
+                numbers[k] = block
+            yield pa.RecordBatch.from_arrays([pa.array(numbers), *batch.columns], ["block", *batch.schema.names])
+
+    return stage(rows.mapInArrow(run, "block long, doc_id long, held_out boolean, text binary"), "blocks")
+
+
+def coded(texts):
+    """(number of each token, different words, tokens of each text) of a list of texts."""
+    lists = [tokens_of(t) for t in texts]
+    codes, words = pd.factorize(np.array([w for x in lists for w in x], object))
+    return codes, words, np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+def neighbours(rows, class_of, classes, head, least):
+    """(word, cell, n): the classes after (cell) and before (cell - classes - SHAPES) every word that is not in ``class_of``.
+
+    Words known to occur less than ``least`` times are left out. If all words of that many are in ``head``, so are all others.
+    """
     total = classes + SHAPES
-    transitions = np.zeros((total, total))
-    np.add.at(transitions, (own[:, None], own[None, :]), pairs)
-    class_of = {w: int(own[k]) for w, k in symbols.items()}
+    beyond = min(head.values(), default=math.inf) > least
+    shared = rows.sparkSession.sparkContext.broadcast((class_of, head))  # at most head_words words
 
     def run(batches):
+        class_of, head = shared.value
+        for part in parts_of(batches, 1000):
+            codes, words, _ = coded(part.column("text").to_pylist())
+            if not len(words):
+                continue
+            open_ = np.array([w not in class_of and (head[w] >= least if w in head else beyond) for w in words])
+            number = np.array([class_of[w] if w in class_of else classes + shape_of(w) for w in words])[codes]
+            at = np.flatnonzero(open_[codes])
+            # a text follows the end of another one: the last end of the part is followed by its first word
+            after, before = np.r_[number[1:], number[:1]], np.r_[number[-1:], number[:-1]]
+            keys = codes[at] * (2 * total)
+            cells, n = np.unique(np.r_[keys + after[at], keys + total + before[at]], return_counts=True)
+            word, cell = np.divmod(cells, 2 * total)
+            yield pa.RecordBatch.from_arrays([pa.array(words.tolist(), pa.binary()).take(pa.array(word)), pa.array(cell.astype(np.int32)), pa.array(n)], ["word", "cell", "n"])
+
+    return rows.select("text").mapInArrow(run, "word binary, cell int, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+
+
+def best_class(cells, n, starts, grid, classes):
+    """The class with the largest gain for each word; entries ``cells`` and ``n`` of word k begin at starts[k]."""
+    total = len(grid)
+    around = np.concatenate([grid[:classes], grid[:, :classes].T], axis=1).T  # by cell and class
+    now = around[cells]
+    gain = np.add.reduceat(_f(now + n[:, None]) - _f(now), starts, axis=0)
+    after = np.add.reduceat(np.where(cells < total, n, 0), starts)[:, None]
+    before = np.add.reduceat(np.where(cells < total, 0, n), starts)[:, None]
+    left, right = grid.sum(1)[:classes], grid.sum(0)[:classes]
+    gain -= _f(left + after) - _f(left) + _f(right + before) - _f(right)
+    return (gain - 1e-9 * np.arange(classes)).argmax(1)
+
+
+def word_classes(rows, counts, seeds, grid, classes, head, least):
+    """(word, n, class) for every word of ``counts``: seeds as given, words of ``least`` occurrences by their neighbours, others by spelling."""
+    sums = neighbours(rows, seeds, classes, head, least)
+    attested = counts.where(F.col("n") >= least).select("word")
+    lists = sums.join(attested, "word").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("near"))  # at most two entries a class
+
+    def choose(batches):
+        for part in parts_of(batches, 200):
+            near = part.column("near")
+            entries, starts = near.flatten(), np.asarray(near.offsets)[:-1] - near.offsets[0].as_py()
+            best = best_class(entries.field("cell").to_numpy(), entries.field("n").to_numpy().astype(float), starts, grid, classes)
+            yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(best.astype(np.int32))], ["word", "best"])
+
+    chosen = stage(lists.mapInArrow(choose, "word binary, best int"), "chosen")
+
+    def number(batches):
         for batch in batches:
-            number = np.array([class_of[w] if w in class_of else classes + shape_of(w) for w in batch.column("word").to_pylist()], np.int64)
-            n = np.bincount(number, batch.column("n").to_numpy(), total)
-            words = np.bincount(number, minlength=total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total)), pa.array(n.astype(np.int64)), pa.array(words)], ["class", "n", "words"])
+            words, best = batch.column("word").to_pylist(), batch.column("best").to_pylist()
+            own = [seeds[w] if w in seeds else classes + shape_of(w) if b is None else b for w, b in zip(words, best)]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(own, pa.int32())], ["word", "n", "class"])
+
+    return stage(counts.join(chosen, "word", "left").mapInArrow(number, "word binary, n long, class int"), "classes")
+
 
-    sizes = counts.mapInArrow(run, "class long, n long, words long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
+def class_strings(rows, words, head, classes, added):
+    """(doc_id, held_out, n_tokens, n_known, base, own, classes: one byte a token) for every row of ``rows`` (block, doc_id, held_out, text).
+
+    base and own: sums of log10(n + 1) and log10(n + added) over the tokens.
+    """
+    listed = words.where(F.col("n") >= min(head.values(), default=1 << 62)).toArrow() if head else None  # at most head_words words
+    frequent = dict(zip(listed["word"].to_pylist(), zip(listed["n"].to_pylist(), listed["class"].to_pylist()))) if head else {}
+    shared = rows.sparkSession.sparkContext.broadcast(frequent)
+
+    def ask(batches):
+        for part in parts_of(batches, 1000):
+            block, wanted = part.column("block").to_numpy(), {}
+            for number, text in zip(block.tolist(), part.column("text").to_pylist()):
+                wanted.setdefault(number, set()).update(tokens_of(text))
+            wanted = {k: [w for w in x if w not in shared.value] for k, x in wanted.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(wanted), np.int64), [len(x) for x in wanted.values()])), pa.array([w for x in wanted.values() for w in x], pa.binary())], ["block", "word"])
+
+    def code(texts, found):
+        frequent = shared.value
+        rare = dict(zip(found["word"].to_pylist(), zip(found["n"].to_pylist(), found["class"].to_pylist())))
+        codes, different, size = coded(texts["text"].to_pylist())
+        facts = [frequent.get(w) or rare.get(w) or (0, classes + shape_of(w)) for w in different]
+        n, number = np.array([f[0] for f in facts]), np.array([f[1] for f in facts], np.uint8)
+        text = np.repeat(np.arange(len(size)), size)
+        with np.errstate(divide="ignore"):
+            sums = [np.bincount(text, x[codes], len(size)) for x in (n > 0, np.log10(n + 1.0), np.log10(n + added))]
+        flow, ends = number[codes].tobytes(), np.cumsum(size)
+        return pa.table([texts["doc_id"], texts["held_out"], pa.array(size), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array([flow[e - k:e] for e, k in zip(ends.tolist(), size.tolist())], pa.binary())],
+                        names=["doc_id", "held_out", "n_tokens", "n_known", "base", "own", "classes"])
+
+    needed = rows.select("block", "text").mapInArrow(ask, "block long, word binary").distinct()
+    found = needed.join(words, "word")
+    out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(code, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, classes binary")
+    return stage(out, "strings")
+
+
+def flows(part):
+    """(classes of all tokens, classes before them, text number of each) of a batch of class strings; each text follows an end."""
+    strings = part.column("classes").to_pylist()
+    flow = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64)
+    size = np.fromiter(map(len, strings), np.int64, len(strings))
+    return flow, np.r_[flow[-1:], flow[:-1]], np.repeat(np.arange(len(size)), size)
+
+
+def class_pairs(strings, total):
+    """Counts of neighbouring classes (array: class before, class)."""
+
+    def run(batches):
+        for part in parts_of(batches):
+            flow, before, _ = flows(part)
+            counts = np.bincount(before * total + flow, minlength=total * total)
+            cells = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(counts[cells])], ["cell", "n"])
+
+    sums = strings.select("classes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most total * total rows
+    flat = np.zeros(total * total)
+    flat[sums["cell"].to_numpy()] = sums["n"].to_numpy()
+    return flat.reshape(total, total)
+
+
+def fit(rows, class_words=1500, classes=60, head_words=100_000, added=1.0, added_pairs=0.1, least=5):
+    """(Model, strings, words): the model of the rows that are not held out, the class strings of all rows, and the table (word, n, class).
+
+    rows: (block, doc_id, held_out, text). classes + 45 classes by spelling fit a byte.
+    """
+    train = rows.where("not held_out")
+    counts = stage(word_counts(train), "words")
+    head = most_frequent(counts, head_words)
+    ranked = sorted(head, key=lambda w: (-head[w], w))[:class_words]
+    symbols = {w: k for k, w in enumerate(ranked)}
+    pairs = symbol_pairs(train, symbols)
+    own = exchange(pairs, len(symbols), classes)
+    total = classes + SHAPES
+    grid = np.zeros((total, total))
+    np.add.at(grid, (own[:, None], own[None, :]), pairs)
+    seeds = {w: int(own[k]) for w, k in symbols.items()}
+    words = word_classes(train, counts, seeds, grid, classes, head, least)
+    strings = class_strings(rows, words, head, classes, added)
+    transitions = class_pairs(strings.where("not held_out"), total)
+    sizes = words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()  # one row a class
     class_tokens, class_sizes = np.zeros(total), np.zeros(total)
     for r in sizes:
         class_tokens[r["class"]], class_sizes[r["class"]] = r["n"], r["words"]
-    return Model(head, class_of, classes, transitions, totals["tokens"] or 0, totals["words"], class_tokens, class_sizes, added, added_pairs), counts
+    return Model(head, seeds, classes, transitions, int(class_tokens.sum()), int(class_sizes.sum()), class_tokens, class_sizes, added, added_pairs), strings, words
 
 
-def score(rows, model, counts):
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row (doc_id, held_out, text: bytes)."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # at most head_words words
+def score(strings, model):
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every class string."""
+    transition, share = model.transition, model.share
 
     def run(batches):
-        model, uid = shared.value, TaskContext.get().partitionId() << 40
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                lists = [tokens_of(t) for t in part.column("text").to_pylist()]
-                size = np.fromiter(map(len, lists), np.int64, len(lists))
-                codes, words = pd.factorize(np.array([w for x in lists for w in x], object))
-                known = np.array([model.head.get(w, 0) for w in words], np.int64)
-                number = np.array([model.class_number(w) for w in words])
-                text = np.repeat(np.arange(len(lists)), size)
-                rare = known == 0
-                with np.errstate(divide="ignore"):
-                    base = np.where(rare, 0, np.log10(known + 1.0)) - model.base_share
-                    emit = np.where(rare, 0, np.log10(known + model.added)) - model.share[number]
-                now = number[codes]
-                before = np.r_[model.class_number(END), now[:-1]]
-                sums = [np.bincount(text, x, len(lists)) for x in (base[codes], emit[codes] + model.transition[before, now], ~rare[codes])]
-                n = len(lists)
-                ids = uid + np.arange(n)
-                uid += n
-                own, times = np.unique(text[rare[codes]] * len(words) + codes[rare[codes]], return_counts=True)
-                which, word = np.divmod(own, len(words))
-                m = len(own)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.r_[ids, ids[which]]), pa.concat_arrays([part.column("doc_id"), pa.nulls(m, pa.int64())]), pa.concat_arrays([part.column("held_out"), pa.nulls(m, pa.bool_())]),
-                     pa.array([None] * n + words[word].tolist(), pa.binary()), pa.array(np.r_[size, times]), pa.array(np.r_[sums[2].astype(np.int64), np.zeros(m, np.int64)]),
-                     pa.array(np.r_[sums[0], np.zeros(m)]), pa.array(np.r_[sums[1], np.zeros(m)])],
-                    ["uid", "doc_id", "held_out", "word", "n", "known", "base", "own"])
-
-    parts = stage(rows.mapInArrow(run, "uid long, doc_id long, held_out boolean, word binary, n long, known long, base double, own double"), "scores")
-    rare = parts.where("word is not null").select("uid", "word", F.col("n").alias("times"))
-    met = rare.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rest = met.groupBy("uid").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_base"),
-        F.sum(F.col("times") * F.log10(F.col("n") + F.lit(model.added))).alias("more_own"))
-    out = parts.where("word is null").join(rest, "uid", "left")
-    more = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
-    return out.select("doc_id", "held_out", F.col("n").alias("n_tokens"), more("known", "more_known").cast("long").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), more("base", "more_base").alias("base_score"), more("own", "more_own").alias("score"))
+        for part in parts_of(batches):
+            flow, before, text = flows(part)
+            rest = np.bincount(text, transition[before, flow] - share[flow], part.num_rows)
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array(part.column("own").to_numpy() + rest)], [*part.schema.names[:5], "score"])
+
+    out = strings.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double")
+    base = F.col("base") - F.col("n_tokens") * F.log10(F.lit(float(model.tokens + model.words + 1)))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
 def score_texts(docs, parts=7, part=2, id_col="doc_id", text_col="text", **settings):
@@ -240,8 +358,8 @@ def score_texts(docs, parts=7, part=2, id_col="doc_id", text_col="text", **setti
     out. Empty table: no rows. With nothing to learn from, all chances are those of the added counts.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(docs, parts, part, id_col).alias("held_out"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    model, counts = fit(rows.where("not held_out"), **settings)
-    return score(rows, model, counts)
+    model, strings, _ = fit(in_text_blocks(rows), **settings)
+    return score(strings, model)
 
 
 @query("op10_class_lm")

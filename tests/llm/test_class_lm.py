@@ -45,6 +45,54 @@ def test_score_does_not_depend_on_the_head(spark, docs_of):
     assert scores[0] == scores[1]
 
 
+@pytest.mark.parametrize("head_words", [100_000, 40])
+def test_scores_and_classes_equal_brute_force(spark, docs_of, head_words):
+    """Every word of five occurrences and more takes the best of all classes; the scores follow from classes and counts."""
+    rows = made()
+    blocks = class_lm.in_text_blocks(docs_of(rows).select("doc_id", class_lm.held_out(docs_of(rows), 7, 2, "doc_id").alias("held_out"), class_lm.F.coalesce("text", class_lm.F.lit("")).cast("binary").alias("text")).repartition(3), size=3000)
+    assert blocks.select("block").distinct().count() > 5
+    model, strings, table = class_lm.fit(blocks, class_words=10, classes=4, head_words=head_words, least=5)
+    own = {bytes(r["word"]): r["class"] for r in table.collect()}
+    texts = [(r.held_out, class_lm.tokens_of(bytes(r.text))) for r in blocks.collect()]
+    train = [[class_lm.END, *x] for out, x in texts if not out]
+    counts = Counter(w for x in train for w in x[1:])
+    assert own.keys() == counts.keys()
+    first = {w: model.class_of.get(w, 4 + class_lm.shape_of(w)) for w in counts}
+    total = 4 + class_lm.SHAPES
+    grid = np.zeros((total, total))
+    around = {w: (np.zeros(total), np.zeros(total)) for w in counts}
+    for x in train:
+        for a, b in zip(x, x[1:]):
+            grid[first[a], first[b]] += 1
+            around[a][0][first[b]] += 1
+            around[b][1][first[a]] += 1
+    clustered = 0
+    for w, n in counts.items():
+        if w in model.class_of or n < 5:
+            assert own[w] == first[w]
+            continue
+        gains = []
+        for b in range(4):
+            after, before = around[w]
+            f = class_lm._f
+            gains.append((f(grid[b] + after) - f(grid[b])).sum() + (f(grid[:, b] + before) - f(grid[:, b])).sum() - f(grid[b].sum() + n) + f(grid[b].sum()) - f(grid[:, b].sum() + n) + f(grid[:, b].sum()))
+        assert gains[own[w]] >= max(gains) - 1e-6
+        clustered += 1
+    assert clustered > 10 and len(model.class_of) == 10
+    number = lambda w: own.get(w, 4 + class_lm.shape_of(w))
+    moves, tokens, sizes = np.zeros((total, total)), np.zeros(total), np.zeros(total)
+    for x in train:
+        for a, b in zip(x, x[1:]):
+            moves[number(a), number(b)] += 1
+    for w, n in counts.items():
+        tokens[own[w]] += n
+        sizes[own[w]] += 1
+    chance = lambda a, b: (moves[number(a), number(b)] + 0.1) / (moves[number(a)].sum() + 0.1 * total) * (counts[b] + 1) / (tokens[number(b)] + sizes[number(b)] + 1)
+    want = sorted(sum(math.log10(chance(a, b)) for a, b in zip([class_lm.END, *x], x)) for _, x in texts)
+    got = sorted(r.score for r in class_lm.score(strings, model).collect())
+    assert np.allclose(got, want)
+
+
 def test_chances_add_up_to_one():
     rng = np.random.default_rng(1)
     words = {f"w{k}".encode(): int(rng.integers(1, 50)) for k in range(30)} | {b"x.": 3, b"y,": 2, class_lm.END: 7}

@@ -14,7 +14,6 @@ of classes from which the transitions are counted and the texts scored.
 """
 
 import math
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -47,17 +46,24 @@ def tokens_of(text):
     return [*text.translate(LOWER).split(), END]
 
 
-def word_counts(rows):
-    """(word, n) over all rows (text: bytes)."""
+def block_words(rows):
+    """(block, word, n): the words of each block and their number in its training texts; written.
+
+    A block that two tasks or batches read has a word more than once, which neither the sums nor the look-up mind.
+    """
 
     def run(batches):
-        for batch in parts_of(batches):
-            counts = Counter()
-            for text in batch.column("text").to_pylist():
-                counts.update(tokens_of(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+        for part in parts_of(batches):
+            block = part.column("block").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+            for start, end in zip(edges, edges[1:]):
+                own = part.slice(start, end - start)
+                codes, words, size = coded(own.column("text").to_pylist())
+                learned = np.repeat(~own.column("held_out").to_numpy(zero_copy_only=False), size)
+                n = np.bincount(codes[learned], minlength=len(words))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block[start])), pa.array(words.tolist(), pa.binary()), pa.array(n)], ["block", "word", "n"])
 
-    return rows.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return stage(rows.select("block", "held_out", "text").mapInArrow(run, "block long, word binary, n long"), "block-words")
 
 
 def most_frequent(counts, most):
@@ -185,9 +191,10 @@ def coded(texts):
 
 
 def neighbours(rows, class_of, classes, head, least):
-    """(word, cell, n): the classes after (cell) and before (cell - classes - SHAPES) every word that is not in ``class_of``.
+    """(word, near) for every word that is not in ``class_of``, one row for each part of the texts.
 
-    Words known to occur less than ``least`` times are left out. If all words of that many are in ``head``, so are all others.
+    near: the classes after (cell) and before (cell - classes - SHAPES) the word, as cell * 2^40 + times. Words known to occur less than
+    ``least`` times are left out. If all words of that many are in ``head``, so are all others.
     """
     total = classes + SHAPES
     beyond = min(head.values(), default=math.inf) > least
@@ -195,7 +202,7 @@ def neighbours(rows, class_of, classes, head, least):
 
     def run(batches):
         class_of, head = shared.value
-        for part in parts_of(batches, 1000):
+        for part in parts_of(batches):
             codes, words, _ = coded(part.column("text").to_pylist())
             if not len(words):
                 continue
@@ -207,9 +214,11 @@ def neighbours(rows, class_of, classes, head, least):
             keys = codes[at] * (2 * total)
             cells, n = np.unique(np.r_[keys + after[at], keys + total + before[at]], return_counts=True)
             word, cell = np.divmod(cells, 2 * total)
-            yield pa.RecordBatch.from_arrays([pa.array(words.tolist(), pa.binary()).take(pa.array(word)), pa.array(cell.astype(np.int32)), pa.array(n)], ["word", "cell", "n"])
+            starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
+            near = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(word)].astype(np.int32)), pa.array((cell << 40) + n))
+            yield pa.RecordBatch.from_arrays([pa.array(words[word[starts]].tolist(), pa.binary()), near], ["word", "near"])
 
-    return rows.select("text").mapInArrow(run, "word binary, cell int, n long").groupBy("word", "cell").agg(F.sum("n").alias("n"))
+    return rows.select("text").mapInArrow(run, "word binary, near array<long>")
 
 
 def best_class(cells, n, starts, grid, classes):
@@ -227,9 +236,11 @@ def best_class(cells, n, starts, grid, classes):
 
 def word_classes(rows, counts, seeds, grid, classes, head, least):
     """(word, n, class) for every word of ``counts``: seeds as given, words of ``least`` occurrences by their neighbours, others by spelling."""
-    sums = neighbours(rows, seeds, classes, head, least)
     attested = counts.where(F.col("n") >= least).select("word")
-    lists = sums.join(attested, "word").groupBy("word").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("near"))  # at most two entries a class
+    # the join deals by word, which serves both groupings
+    entries = neighbours(rows, seeds, classes, head, least).join(attested, "word").select("word", F.explode("near").alias("x"))
+    sums = entries.groupBy("word", F.shiftright("x", 40).cast("int").alias("cell")).agg(F.sum(F.col("x").bitwiseAND((1 << 40) - 1)).alias("n"))
+    lists = sums.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("near"))  # at most two entries a class
 
     def choose(batches):
         for part in parts_of(batches, 200):
@@ -249,22 +260,15 @@ def word_classes(rows, counts, seeds, grid, classes, head, least):
     return stage(counts.join(chosen, "word", "left").mapInArrow(number, "word binary, n long, class int"), "classes")
 
 
-def class_strings(rows, words, head, classes, added):
+def class_strings(rows, asked, words, head, classes, added):
     """(doc_id, held_out, n_tokens, n_known, base, own, classes: one byte a token) for every row of ``rows`` (block, doc_id, held_out, text).
 
-    base and own: sums of log10(n + 1) and log10(n + added) over the tokens.
+    base and own: sums of log10(n + 1) and log10(n + added) over the tokens. asked: (block, word).
     """
-    listed = words.where(F.col("n") >= min(head.values(), default=1 << 62)).toArrow() if head else None  # at most head_words words
-    frequent = dict(zip(listed["word"].to_pylist(), zip(listed["n"].to_pylist(), listed["class"].to_pylist()))) if head else {}
-    shared = rows.sparkSession.sparkContext.broadcast(frequent)
-
-    def ask(batches):
-        for part in parts_of(batches, 1000):
-            block, wanted = part.column("block").to_numpy(), {}
-            for number, text in zip(block.tolist(), part.column("text").to_pylist()):
-                wanted.setdefault(number, set()).update(tokens_of(text))
-            wanted = {k: [w for w in x if w not in shared.value] for k, x in wanted.items()}
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(list(wanted), np.int64), [len(x) for x in wanted.values()])), pa.array([w for x in wanted.values() for w in x], pa.binary())], ["block", "word"])
+    least = min(head.values(), default=1 << 62)
+    listed = stage(words.where(F.col("n") >= least), "frequent")  # at most head_words words
+    known = listed.toArrow()
+    shared = rows.sparkSession.sparkContext.broadcast(dict(zip(known["word"].to_pylist(), zip(known["n"].to_pylist(), known["class"].to_pylist()))))
 
     def code(texts, found):
         frequent = shared.value
@@ -279,8 +283,7 @@ def class_strings(rows, words, head, classes, added):
         return pa.table([texts["doc_id"], texts["held_out"], pa.array(size), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), pa.array([flow[e - k:e] for e, k in zip(ends.tolist(), size.tolist())], pa.binary())],
                         names=["doc_id", "held_out", "n_tokens", "n_known", "base", "own", "classes"])
 
-    needed = rows.select("block", "text").mapInArrow(ask, "block long, word binary").distinct()
-    found = needed.join(words, "word")
+    found = asked.select("block", "word").join(F.broadcast(listed.select("word")), "word", "left_anti").join(words.where(F.col("n") < least), "word")
     out = rows.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(code, "doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, classes binary")
     return stage(out, "strings")
 
@@ -315,7 +318,8 @@ def fit(rows, class_words=1500, classes=60, head_words=100_000, added=1.0, added
     rows: (block, doc_id, held_out, text). classes + 45 classes by spelling fit a byte.
     """
     train = rows.where("not held_out")
-    counts = stage(word_counts(train), "words")
+    asked = block_words(rows)
+    counts = stage(asked.where("n > 0").groupBy("word").agg(F.sum("n").alias("n")), "words")
     head = most_frequent(counts, head_words)
     ranked = sorted(head, key=lambda w: (-head[w], w))[:class_words]
     symbols = {w: k for k, w in enumerate(ranked)}
@@ -326,7 +330,7 @@ def fit(rows, class_words=1500, classes=60, head_words=100_000, added=1.0, added
     np.add.at(grid, (own[:, None], own[None, :]), pairs)
     seeds = {w: int(own[k]) for w, k in symbols.items()}
     words = word_classes(train, counts, seeds, grid, classes, head, least)
-    strings = class_strings(rows, words, head, classes, added)
+    strings = class_strings(rows, asked, words, head, classes, added)
     transitions = class_pairs(strings.where("not held_out"), total)
     sizes = words.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("words")).collect()  # one row a class
     class_tokens, class_sizes = np.zeros(total), np.zeros(total)

@@ -166,7 +166,7 @@ class Model:
         return found if found is not None else self.classes + shape_of(word)
 
 
-def in_text_blocks(rows, size=4_000_000, most=1000):
+def in_text_blocks(rows, size=10_000_000, most=2000):
     """``rows`` (doc_id, held_out, text) with ``block``: stretches of at most ``most`` rows and some ``size`` bytes; written, so that the numbers stay."""
 
     def run(batches):

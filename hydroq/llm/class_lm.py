@@ -30,6 +30,7 @@ END = b"\n"  # the end of a text, counted as a token; no word can hold it
 LAST_KINDS = 5
 FIRST_KINDS = 9
 SHAPES = LAST_KINDS * FIRST_KINDS
+TIMES = 1 << 22  # a cell and its number share an int
 
 
 def shape_of(word):
@@ -193,7 +194,8 @@ def coded(texts):
 def neighbours(rows, class_of, classes, head, least):
     """(word, near) for every word that is not in ``class_of``, one row for each part of the texts.
 
-    near: the classes after (cell) and before (cell - classes - SHAPES) the word, as cell * 2^40 + times. Words known to occur less than
+    near: the classes after (cell) and before (cell - classes - SHAPES) the word, as cell * 2^22 + times
+    (several entries for more). Words known to occur less than
     ``least`` times are left out. If all words of that many are in ``head``, so are all others.
     """
     total = classes + SHAPES
@@ -213,12 +215,16 @@ def neighbours(rows, class_of, classes, head, least):
             after, before = np.r_[number[1:], number[:1]], np.r_[number[-1:], number[:-1]]
             keys = codes[at] * (2 * total)
             cells, n = np.unique(np.r_[keys + after[at], keys + total + before[at]], return_counts=True)
+            pieces = -(-n // (TIMES - 1))
+            cells, n, last = np.repeat(cells, pieces), np.repeat(n, pieces), np.cumsum(pieces) - 1
+            n, rest = np.minimum(n, TIMES - 1), (n[last] - (pieces - 1) * (TIMES - 1))
+            n[last] = rest
             word, cell = np.divmod(cells, 2 * total)
             starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else word
-            near = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(word)].astype(np.int32)), pa.array((cell << 40) + n))
+            near = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(word)].astype(np.int32)), pa.array((cell * TIMES + n).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([pa.array(words[word[starts]].tolist(), pa.binary()), near], ["word", "near"])
 
-    return rows.select("text").mapInArrow(run, "word binary, near array<long>")
+    return rows.select("text").mapInArrow(run, "word binary, near array<int>")
 
 
 def best_class(cells, n, starts, grid, classes):
@@ -239,7 +245,7 @@ def word_classes(rows, counts, seeds, grid, classes, head, least):
     attested = counts.where(F.col("n") >= least).select("word")
     # the join deals by word, which serves both groupings
     entries = neighbours(rows, seeds, classes, head, least).join(attested, "word").select("word", F.explode("near").alias("x"))
-    sums = entries.groupBy("word", F.shiftright("x", 40).cast("int").alias("cell")).agg(F.sum(F.col("x").bitwiseAND((1 << 40) - 1)).alias("n"))
+    sums = entries.groupBy("word", F.shiftright("x", 22).alias("cell")).agg(F.sum(F.col("x").bitwiseAND(TIMES - 1)).alias("n"))
     lists = sums.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("near"))  # at most two entries a class
 
     def choose(batches):

@@ -14,6 +14,7 @@ of classes from which the transitions are counted and the texts scored.
 """
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,7 @@ LAST_KINDS = 5
 FIRST_KINDS = 9
 SHAPES = LAST_KINDS * FIRST_KINDS
 TIMES = 1 << 22  # a cell and its number share an int
+MARKS = 1 << 26  # bits of the map of attested words
 
 
 def shape_of(word):
@@ -191,24 +193,39 @@ def coded(texts):
     return codes, words, np.fromiter(map(len, lists), np.int64, len(lists))
 
 
-def neighbours(rows, class_of, classes, head, least):
+def marks_of(words):
+    """A map of ``MARKS`` bits (bytes) with the places of all ``words``; a word whose place is empty is none of them."""
+    place = F.crc32("word") % MARKS
+    cells = words.select(place.alias("p")).groupBy(F.expr("p div 64").alias("cell")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits")).toArrow()  # at most MARKS / 64 rows
+    flat = np.zeros(MARKS // 64, "<i8")
+    flat[cells["cell"].to_numpy()] = cells["bits"].to_numpy()
+    return flat.tobytes()
+
+
+def marked(marks, word):
+    place = zlib.crc32(word) % MARKS
+    return marks[place >> 3] >> (place & 7) & 1
+
+
+def neighbours(rows, class_of, classes, head, least, marks):
     """(word, near) for every word that is not in ``class_of``, one row for each part of the texts.
 
     near: the classes after (cell) and before (cell - classes - SHAPES) the word, as cell * 2^22 + times
     (several entries for more). Words known to occur less than
-    ``least`` times are left out. If all words of that many are in ``head``, so are all others.
+    ``least`` times are left out: those of ``head`` by their count, the rest if their place in ``marks`` is empty (a few rarer
+    words share a place with others and stay). If all words of that many are in ``head``, all others are left out.
     """
     total = classes + SHAPES
     beyond = min(head.values(), default=math.inf) > least
-    shared = rows.sparkSession.sparkContext.broadcast((class_of, head))  # at most head_words words
+    shared = rows.sparkSession.sparkContext.broadcast((class_of, head, marks))  # at most head_words words and MARKS bits
 
     def run(batches):
-        class_of, head = shared.value
+        class_of, head, marks = shared.value
         for part in parts_of(batches):
             codes, words, _ = coded(part.column("text").to_pylist())
             if not len(words):
                 continue
-            open_ = np.array([w not in class_of and (head[w] >= least if w in head else beyond) for w in words])
+            open_ = np.array([w not in class_of and (head[w] >= least if w in head else beyond and marked(marks, w)) for w in words], bool)
             number = np.array([class_of[w] if w in class_of else classes + shape_of(w) for w in words])[codes]
             at = np.flatnonzero(open_[codes])
             # a text follows the end of another one: the last end of the part is followed by its first word
@@ -244,7 +261,7 @@ def word_classes(rows, counts, seeds, grid, classes, head, least):
     """(word, n, class) for every word of ``counts``: seeds as given, words of ``least`` occurrences by their neighbours, others by spelling."""
     attested = counts.where(F.col("n") >= least).select("word")
     # the join deals by word, which serves both groupings
-    entries = neighbours(rows, seeds, classes, head, least).join(attested, "word").select("word", F.explode("near").alias("x"))
+    entries = neighbours(rows, seeds, classes, head, least, marks_of(attested)).join(attested, "word").select("word", F.explode("near").alias("x"))
     sums = entries.groupBy("word", F.shiftright("x", 22).alias("cell")).agg(F.sum(F.col("x").bitwiseAND(TIMES - 1)).alias("n"))
     lists = sums.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("cell", "n"))).alias("near"))  # at most two entries a class
 

@@ -146,3 +146,12 @@ def test_no_rows(spark, docs_of):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     row = class_lm.score_texts(docs_of([(held, "a b")])).first()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
+
+
+def test_marks_hold_every_word_and_few_others(spark):
+    own = [f"wört{k}".encode() for k in range(5000)]
+    marks = class_lm.marks_of(spark.createDataFrame([(bytearray(w),) for w in own], "word binary"))
+    assert len(marks) * 8 == class_lm.MARKS
+    assert all(class_lm.marked(marks, w) for w in own)
+    assert sum(class_lm.marked(marks, b"x%d" % k) for k in range(5000)) < 25
+    assert not any(class_lm.marks_of(spark.createDataFrame([], "word binary")))

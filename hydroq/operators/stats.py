@@ -223,12 +223,35 @@ def paired_t(df, first_year, second_year, keys=("VmvCode",), value=V):
     return out.withColumn("t", F.try_divide(F.col("mean_difference"), F.col("sd") / F.sqrt("pairs")))
 
 
+def _group_moments(df, group, keys, value):
+    """Size ``n``, mean ``m`` and variance ``v`` of every group."""
+    return df.where(col(value).isNotNull() & col(group).isNotNull()).groupBy(*keys, group).agg(
+        F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v")
+    )
+
+
 def one_way_anova(df, group, keys=(), value=V):
     """F of the between-group mean square over the within-group one, from one aggregate per group."""
-    g = df.where(col(value).isNotNull() & col(group).isNotNull()).groupBy(*keys, group).agg(
-        F.count(value).alias("n"), F.avg(value).alias("m"), F.coalesce(F.var_samp(value), F.lit(0.0)).alias("v")
+    return anova_of_groups(_group_moments(df, group, keys, value), keys)
+
+
+def tukey_hsd(df, group, keys=(), value=V):
+    """(keys, first, second, difference, q, groups, df, p_value): every pair of group means by the studentised range.
+
+    Follows a one-way analysis of variance; unequal sizes by Tukey and Kramer. Rows meet in one aggregate per group, pairs are
+    made of finished means only (the groups of a key fit one task). q and p_value are null without spread within the groups
+    or without degrees of freedom; keys of one group give no row.
+    """
+    whole = _group_moments(df, group, keys, value).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(group).alias("g"), "n", "m"))).alias("means"), F.count(F.lit(1)).alias("groups"),
+        (F.sum("n") - F.count(F.lit(1))).alias("df"), F.sum((F.col("n") - 1) * F.col("v")).alias("within"),
     )
-    return anova_of_groups(g, keys)
+    firsts = whole.select("*", F.posexplode("means").alias("place", "a"))
+    pairs = firsts.withColumn("b", F.explode(F.slice("means", F.col("place") + 2, F.size("means"))))
+    difference = F.col("b.m") - F.col("a.m")
+    error = F.sqrt(F.try_divide(F.col("within"), F.col("df").cast("double")) / 2 * (1 / F.col("a.n") + 1 / F.col("b.n")))
+    out = pairs.select(*keys, F.col("a.g").alias("first"), F.col("b.g").alias("second"), difference.alias("difference"), F.try_divide(F.abs(difference), error).alias("q"), "groups", "df")
+    return out.withColumn("p_value", tails.studentised_range_p("q", F.col("groups").cast("double"), F.col("df").cast("double")))
 
 
 def anova_of_groups(g, keys=()):

@@ -246,6 +246,18 @@ def _(spark, sf):
     return out.withColumn("p_value", tails.f_upper_p("f", d1, d2))
 
 
+_TUKEY = """WITH g AS (SELECT VmvCode, RiverBasinCode AS grp, count(MeasurementValueNum) AS n, avg(MeasurementValueNum) AS m, coalesce(var_samp(MeasurementValueNum), 0) AS v FROM obs
+      WHERE MeasurementValueNum IS NOT NULL AND RiverBasinCode IS NOT NULL GROUP BY 1, 2),
+    o AS (SELECT VmvCode, count(*) AS groups, (sum(n) - count(*))::BIGINT AS df, sum((n - 1) * v) AS within FROM g GROUP BY 1),
+    pq AS (SELECT VmvCode, a.grp AS first, b.grp AS second, b.m - a.m AS difference, abs(b.m - a.m) / nullif(sqrt(within / nullif(df, 0) / 2 * (1 / a.n + 1 / b.n)), 0) AS q, groups, df
+      FROM g a JOIN g b USING (VmvCode) JOIN o USING (VmvCode) WHERE a.grp < b.grp), """
+
+
+@query("j15b_tukey_pairs", _TUKEY + tail_sql.with_studentised_range("pq") + " SELECT pq.*, p_value FROM pq LEFT JOIN ranges USING (q, groups, df)", {"difference": 4, "q": 5, "p_value": 6})
+def _(spark, sf):
+    return stats.tukey_hsd(obs(spark, sf, "VmvCode", "RiverBasinCode", _V), "RiverBasinCode", ["VmvCode"])
+
+
 _RANKS = """r AS (SELECT VmvCode, {g} AS grp, v, rank() OVER w + (count(*) OVER (PARTITION BY VmvCode, v) - 1)/2.0 AS rk, count(*) OVER (PARTITION BY VmvCode) AS total FROM
  (SELECT VmvCode, {g}, MeasurementValueNum v FROM obs WHERE MeasurementValueNum IS NOT NULL {f}) WINDOW w AS (PARTITION BY VmvCode ORDER BY v)),
  ti AS (SELECT VmvCode, sum(c::DOUBLE**3 - c) AS ties FROM (SELECT VmvCode, v, count(*) c FROM r GROUP BY 1,2) GROUP BY 1)"""

@@ -161,3 +161,36 @@ def test_shapiro_by_ranks(spark):
     # the worked example of the test's authors
     assert got[1].statistic == pytest.approx(0.79, abs=0.005) and got[1].p_value == pytest.approx(0.0067, abs=0.002)
     assert got[2].normal and got[7].statistic > 0.99 and got[7].p_value is None
+
+
+def test_studentised_range():
+    for q, df in [(0.3, 1), (2.0, 4), (3.5, 30), (4.0, 10**6)]:
+        # two means: the range is the root of two times a t value
+        assert tails.studentised_range_upper(q, 2, df) == pytest.approx(tails.t_two_sided(q / math.sqrt(2), df), abs=1e-9)
+    # the classic 5 % points
+    for q, groups, df in [(3.877, 3, 10), (4.232, 5, 20), (3.314, 3, 10**7), (4.474, 10, 10**7)]:
+        assert tails.studentised_range_upper(q, groups, df) == pytest.approx(0.05, abs=1e-4)
+    assert tails.studentised_range_upper(0.0, 4, 9) == pytest.approx(1.0)
+    assert tails.studentised_range_upper(200.0, 4, 90) == 0.0
+
+
+def test_tukey_pairs(spark):
+    """Pairs of three groups of unequal size by hand; a constant key has no p, a key of one group no row."""
+    values = {("a", 1): [4.0, 6.0, 5.0, 7.0], ("a", 2): [9.0, 8.0, 10.0], ("a", 3): [5.5, 6.5, 6.0, 5.0, 7.5], ("b", 1): [2.0, 2.0], ("b", 2): [2.0], ("c", 1): [1.0, 3.0]}
+    rows = [(k, g, v) for (k, g), vs in values.items() for v in vs] + [("a", None, 50.0), ("a", 1, None)]
+    frame = spark.createDataFrame(rows, "k string, g int, v double").repartition(3)
+    got = {(r.k, r.first, r.second): r for r in stats.tukey_hsd(frame, "g", ["k"], "v").collect()}
+    assert sorted(got) == [("a", 1, 2), ("a", 1, 3), ("a", 2, 3), ("b", 1, 2)]
+    assert got["b", 1, 2].q is None and got["b", 1, 2].p_value is None
+    within = sum(np.var(values["a", g]) * len(values["a", g]) for g in (1, 2, 3))
+    for i, j in [(1, 2), (1, 3), (2, 3)]:
+        x, y, r = values["a", i], values["a", j], got["a", i, j]
+        assert r.difference == pytest.approx(np.mean(y) - np.mean(x)) and r.groups == 3 and r.df == 9
+        q = abs(r.difference) / math.sqrt(within / 9 / 2 * (1 / len(x) + 1 / len(y)))
+        assert r.q == pytest.approx(q) and r.p_value == pytest.approx(tails.studentised_range_upper(q, 3, 9))
+    # simulated ranges of the same shape agree
+    rng = np.random.default_rng(5)
+    draws = rng.standard_normal((200_000, 3))
+    ranges = (draws.max(1) - draws.min(1)) / np.sqrt(rng.chisquare(9, 200_000) / 9)
+    assert got["a", 1, 2].p_value == pytest.approx((ranges > got["a", 1, 2].q).mean(), abs=3e-3)
+    assert stats.tukey_hsd(frame.limit(0), "g", ["k"], "v").count() == 0 and stats.tukey_hsd(frame.limit(0), "g", (), "v").count() == 0

@@ -106,6 +106,18 @@ _S_NODES, _S_WEIGHTS = np.polynomial.legendre.leggauss(64)
 _Z_NODES, _Z_WEIGHTS = np.polynomial.legendre.leggauss(96)
 
 
+_GRID = np.arange(-9 * 512, 9 * 512 + 1) / 512.0
+_GRID_CDF = np.array([normal_cdf(v) for v in _GRID])
+
+
+def _normal_cdf_of_many(x):
+    """The distribution function between -9 and 9 from the nearest grid point and three derivatives there."""
+    k = np.rint((x + 9.0) * 512).astype(int)
+    near = _GRID[k]
+    d = x - near
+    return _GRID_CDF[k] + np.exp(-near * near / 2.0) / math.sqrt(2.0 * math.pi) * d * (1.0 - near * d / 2.0 + (near * near - 1.0) * d * d / 6.0)
+
+
 def studentised_range_upper(q, groups, df):
     """Chance that the range of ``groups`` normal means over an estimate of ``df`` degrees of freedom exceeds ``q``.
 
@@ -121,8 +133,10 @@ def studentised_range_upper(q, groups, df):
     density = _S_WEIGHTS * np.exp(density - density.max())
     z = 8.0 * _Z_NODES
     mass = 8.0 * _Z_WEIGHTS * np.exp(-z * z / 2.0) / math.sqrt(2.0 * math.pi)
-    below = np.array([normal_cdf(v) for v in z])
-    shifted = np.array([normal_cdf(v) for v in (z[None, :] - q * s[:, None]).ravel()]).reshape(len(s), len(z))
+    below = _normal_cdf_of_many(z)
+    at = z[None, :] - q * s[:, None]
+    shifted = np.zeros(at.shape)  # far left there is nothing
+    shifted[at > -9.0] = _normal_cdf_of_many(at[at > -9.0])
     inside = groups * (mass * (below - shifted) ** (groups - 1)).sum(1)
     return float(min(1.0, max(0.0, (density * (1.0 - inside)).sum() / density.sum())))
 

@@ -93,13 +93,13 @@ def quick_normal_cdf(x):
 
 
 def with_studentised_range(source):
-    """WITH entries that end in ``ranges`` (q, groups, df, p_value) for the different rows of ``source`` (q, groups, df)."""
-    def weight(i, last):
-        return f"(CASE WHEN {i} = 0 OR {i} = {last} THEN 1 WHEN {i} % 2 = 1 THEN 4 ELSE 2 END)"
+    """WITH entries that end in ``ranges`` (q, groups, df, p_value) for the different rows of ``source`` (q, groups, df).
 
+    Both integrands fade out at their ends (the spread is taken by its logarithm), where equal weights are far more exact than Simpson's.
+    """
     return f"""rq AS (SELECT DISTINCT q, groups, df FROM {source} WHERE q IS NOT NULL),
-    rz AS (SELECT z, {quick_normal_cdf('z')} AS below, {weight('j', 96)} / 18.0 * exp(-0.5 * z * z) / sqrt(2 * pi()) AS mass FROM (SELECT j, -8 + j / 6.0 AS z FROM range(97) t(j))),
-    rs AS (SELECT q, groups, df, s, {weight('i', 48)} * exp((df - 1) * ln(s) - df * (s * s - 1) / 2) AS density FROM
-      (SELECT *, low + (high - low) * i / 48.0 AS s FROM (SELECT *, greatest(1 - 8 / sqrt(2.0 * df), 1e-9) AS low, 1 + 8 / sqrt(2.0 * df) AS high FROM rq), range(49) t(i))),
+    rz AS (SELECT z, {quick_normal_cdf('z')} AS below, exp(-0.5 * z * z) / sqrt(2 * pi()) / 6.0 AS mass FROM (SELECT -8 + j / 6.0 AS z FROM range(97) t(j))),
+    rs AS (SELECT q, groups, df, exp(u) AS s, exp(df * u - df * (exp(2 * u) - 1) / 2) AS density FROM (SELECT q, groups, df, high - (low + high) * i / steps AS u FROM
+      (SELECT *, unnest(range(0, steps + 1)) AS i FROM (SELECT *, greatest(8 / sqrt(2.0 * df), 37.0 / df) AS low, 8 / sqrt(2.0 * df) AS high, CASE WHEN df < 20 THEN 400 ELSE 48 END AS steps FROM rq WHERE df > 0))) ),
     ri AS (SELECT q, groups, df, s, density, groups * sum(mass * pow(greatest(below - {quick_normal_cdf('x')}, 0), groups - 1)) AS inside FROM (SELECT rs.*, below, mass, z - q * s AS x FROM rs, rz) GROUP BY q, groups, df, s, density),
     ranges AS (SELECT q, groups, df, greatest(0.0, least(1.0, sum(density * (1 - inside)) / sum(density))) AS p_value FROM ri GROUP BY q, groups, df)"""

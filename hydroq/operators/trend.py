@@ -8,16 +8,16 @@ from hydroq.functions import labels as L
 from hydroq.functions import tails
 from hydroq.functions.values import col, days_between, is_blank, percent, percent_or_zero, true_or_false
 from hydroq.operators import audit, filters, ordered, quality, units
+from hydroq.sources.staging import stage
 
 V = "MeasurementValueNum"
 TS = "SampleDateTime"
 
 
-def linear_trend(df, keys=("StationNumber", "VmvCode"), window="monthly", least=10):
-    """Slope, intercept, r squared and t of the period means over the period index, per series.
+def trend_periods(df, keys=("StationNumber", "VmvCode"), window="monthly", least=10):
+    """(keys, period_start, y, x): period means and their place in the series, for series of ``least`` rows and more.
 
-    Rows outside the audit bounds are dropped first; series with fewer than ``least`` rows too. The
-    index window covers one row per period of a series.
+    Rows outside the audit bounds are dropped first. The index window covers one row per period of a series.
     """
     keys = list(keys)
     rows = df.where(~audit.out_of_range()).where(col(TS).isNotNull())
@@ -25,15 +25,54 @@ def linear_trend(df, keys=("StationNumber", "VmvCode"), window="monthly", least=
     order = Window.partitionBy(*keys).orderBy("period_start")
     whole = Window.partitionBy(*keys)
     indexed = periods.withColumns({"x": (F.row_number().over(order) - 1).cast("double"), "_all": F.sum("_rows").over(whole)})
-    used = indexed.where((F.col("_all") >= least) & F.col("y").isNotNull())
-    out = used.groupBy(*keys).agg(
+    return indexed.where((F.col("_all") >= least) & F.col("y").isNotNull()).drop("_rows", "_all")
+
+
+def fitted_lines(periods, keys):
+    """Least squares of every series of three periods or more."""
+    return periods.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r_squared")
     ).where("n >= 3")
+
+
+def linear_trend(df, keys=("StationNumber", "VmvCode"), window="monthly", least=10):
+    """Slope, intercept, r squared and t of the period means over the period index, per series."""
+    out = fitted_lines(trend_periods(df, keys, window, least), keys)
     r2 = F.col("r_squared")
     t = F.signum("slope") * F.sqrt(F.try_divide(r2 * (F.col("n") - 2), F.when(r2 < 1, 1 - r2)))
     return out.withColumns({"t": t, "direction": F.when(F.col("slope") > 0, "increasing").otherwise("decreasing")})
 
 
+def trend_diagnostics(df, keys=("StationNumber", "VmvCode"), window="monthly", least=10):
+    """Whether the residuals of every linear trend allow its t test: memory, changing spread, shape.
+
+    (keys, n, slope, r_squared, durbin_watson, serial, breusch_pagan, bp_p, jarque_bera, jb_p). Durbin and Watson's ratio compares each residual
+    with that of the period before; below 1.5 ``serial`` is positive, above 2.5 negative. Breusch and Pagan regress the squared residuals on
+    the period (n r squared, one degree of freedom; 0 if they are all alike). Jarque and Bera join skewness and kurtosis. Lines that pass
+    through every point (r squared within 1e-12 of 1, or all means alike) have no residuals: null throughout. Null keys are left out.
+    """
+    keys = list(keys)
+    periods = stage(trend_periods(df, keys, window, least).dropna(subset=keys), "periods")
+    lines = fitted_lines(periods, keys)
+    fitted = periods.join(lines, keys).select(*keys, "n", "slope", "r_squared", "x", (F.col("y") - F.col("intercept") - F.col("slope") * F.col("x")).alias("e"))
+    steps = ordered.with_previous(fitted, keys, "x", {"e": "before"}, F.floor(F.col("x") / 256)).withColumn("e2", F.col("e") * F.col("e"))
+    sums = steps.groupBy(*keys, "n", "slope", "r_squared").agg(
+        F.avg("e2").alias("m2"), F.avg(F.pow("e", F.lit(3))).alias("m3"), F.avg(F.col("e2") * F.col("e2")).alias("m4"), F.var_pop("e2").alias("spread"),
+        F.sum(F.pow(F.col("e") - F.col("before"), F.lit(2))).alias("jumps"), F.regr_r2("e2", "x").alias("aux"),
+    )
+    real = (F.col("r_squared") < 1 - 1e-12) & (F.col("m2") > 0)
+    out = sums.withColumns({
+        "durbin_watson": F.when(real, F.col("jumps") / (F.col("m2") * F.col("n"))),
+        "breusch_pagan": F.when(real, F.when(F.col("spread") > 1e-18 * F.col("m2") * F.col("m2"), F.col("n") * F.col("aux")).otherwise(0.0)),
+        "jarque_bera": F.when(real, F.col("n") / 6 * (F.pow("m3", F.lit(2)) / F.pow("m2", F.lit(3)) + F.pow(F.col("m4") / F.pow("m2", F.lit(2)) - 3, F.lit(2)) / 4)),
+    })
+    serial = F.when(F.col("durbin_watson") < 1.5, "positive").when(F.col("durbin_watson") > 2.5, "negative").when(F.col("durbin_watson").isNotNull(), "none")
+    return out.select(
+        *keys, "n", "slope", "r_squared", "durbin_watson", serial.alias("serial"), "breusch_pagan", tails.chi2_upper_p("breusch_pagan", F.lit(1.0)).alias("bp_p"),
+        "jarque_bera", tails.chi2_upper_p("jarque_bera", F.lit(2.0)).alias("jb_p"),
+    )
+
+
 def with_significance(trends):
     df = (F.col("n") - 2).cast("double")
     out = trends.withColumn("p_value", F.when(F.col("r_squared") >= 1, F.lit(0.0)).otherwise(tails.t_two_sided_p("t", df)))

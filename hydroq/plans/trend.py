@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from hydroq.operators import spatial, stats, trend
+from hydroq.operators import refresh, spatial, stats, trend
 from hydroq.plans import tail_sql
 from hydroq.plans.catalog import obs, query
 from hydroq.plans.labels import PERIOD_SQL
@@ -49,6 +49,22 @@ def _(spark, sf):
     return trend.with_significance(trend.linear_trend(obs(spark, sf, *_TREND_COLS), ["RiverBasinCode", "VmvCode"], "quarterly"))
 
 
+@query(
+    "j08_trend_diagnostics",
+    "WITH " + _trend_sql(["RiverBasinCode", "VmvCode"], "obs", "quarter") + f""",
+    e AS MATERIALIZED (SELECT RiverBasinCode, VmvCode, n, slope, r_squared, x, y - intercept - slope * x AS e FROM ix JOIN tr USING (RiverBasinCode, VmvCode) WHERE allc >= 10 AND y IS NOT NULL),
+    j AS (SELECT *, e - lag(e) OVER (PARTITION BY RiverBasinCode, VmvCode ORDER BY x) AS jump FROM e),
+    m AS (SELECT RiverBasinCode, VmvCode, n, slope, r_squared, avg(e*e) AS m2, avg(e*e*e) AS m3, avg(e*e*e*e) AS m4, var_pop(e*e) AS spread, sum(jump*jump) AS jumps, pow(corr(e*e, x), 2) AS aux FROM j GROUP BY ALL),
+    d AS (SELECT *, CASE WHEN ok THEN jumps / (m2 * n) END AS durbin_watson, CASE WHEN ok THEN CASE WHEN spread > 1e-18 * m2 * m2 THEN n * aux ELSE 0 END END AS breusch_pagan,
+      CASE WHEN ok THEN n / 6 * (pow(m3, 2) / pow(m2, 3) + pow(m4 / pow(m2, 2) - 3, 2) / 4) END AS jarque_bera FROM (SELECT *, r_squared < 1 - 1e-12 AND m2 > 0 AS ok FROM m))
+    SELECT RiverBasinCode, VmvCode, n, slope, r_squared, durbin_watson, CASE WHEN durbin_watson < 1.5 THEN 'positive' WHEN durbin_watson > 2.5 THEN 'negative' WHEN durbin_watson IS NOT NULL THEN 'none' END AS serial,
+    breusch_pagan, {tail_sql.chi2_upper('breusch_pagan', 1)} AS bp_p, jarque_bera, {tail_sql.chi2_upper('jarque_bera', 2)} AS jb_p FROM d""",
+    {"slope": 5, "r_squared": 7, "durbin_watson": 6, "breusch_pagan": 5, "bp_p": 5, "jarque_bera": 5, "jb_p": 5},
+)
+def _(spark, sf):
+    return trend.trend_diagnostics(obs(spark, sf, *_TREND_COLS), ["RiverBasinCode", "VmvCode"], "quarterly")
+
+
 @query(
     "j13_trend_robustness",
     f"""WITH ver AS (SELECT *, 'C' AS version FROM obs UNION ALL SELECT *, 'A' FROM obs WHERE {_Q} IS NULL OR {_Q} NOT IN ('SUS','RER|SUS','HT|RER|SUS','HT|SUS')), """
@@ -104,22 +120,28 @@ def _(spark, sf):
     return trend.unknown_keys(obs(spark, sf, "VariableName"), ["pH", "Iron Total", "TURBIDITY", "Cadmium"], "VariableName")
 
 
-@query(
-    "j11_station_overview",
-    f"""WITH q AS (SELECT *, {_QA} FROM obs), st AS (SELECT 'AB' || lpad(s_suppkey::VARCHAR, 8, '0') AS StationNumber, s_name AS Station, n_name AS RiverBasinCode FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+_OVERVIEW_SQL = f"""WITH q AS (SELECT *, {_QA} FROM obs), st AS (SELECT 'AB' || lpad(s_suppkey::VARCHAR, 8, '0') AS StationNumber, s_name AS Station, n_name AS RiverBasinCode FROM supplier JOIN nation ON s_nationkey = n_nationkey)
     SELECT st.StationNumber, any_value(st.Station) AS Station, any_value(st.RiverBasinCode) AS RiverBasinCode, count(DISTINCT VariableName) AS num_parameters, count(DISTINCT CAST(SampleDateTime AS DATE)) AS num_samples,
     min(SampleDateTime)::VARCHAR AS first_sample, max(SampleDateTime)::VARCHAR AS last_sample, count(*) FILTER (s1) AS s1_violations, count(*) FILTER (m2) AS m2_violations,
-    100.0*count(*) FILTER (NOT (s1 OR m2))/count(*) AS compliance_pct FROM st LEFT JOIN q ON st.StationNumber = q.StationNumber GROUP BY 1""",
+    100.0*count(*) FILTER (NOT (s1 OR m2))/count(*) AS compliance_pct FROM st LEFT JOIN q ON st.StationNumber = q.StationNumber GROUP BY 1"""
+
+
+@query(
+    "j11_station_overview",
+    _OVERVIEW_SQL,
     "compliance_pct",
 )
 def _(spark, sf):
     return trend.station_overview(_stations(spark, sf), obs(spark, sf, "StationNumber", "VariableName", "SampleDateTime", "UnitCode", _V))
 
 
+_MONTHLY_SQL = f"""SELECT StationNumber, VmvCode, year(SampleDateTime)::INT AS period_year, month(SampleDateTime)::INT AS period_month, avg({_V}) AS value_mean, stddev_samp({_V}) AS value_std, min({_V}) AS value_min,
+    max({_V}) AS value_max, count({_V}) AS sample_count FROM obs WHERE {_V} IS NOT NULL GROUP BY 1,2,3,4"""
+
+
 @query(
     "j12_monthly_table",
-    f"""SELECT StationNumber, VmvCode, year(SampleDateTime)::INT AS period_year, month(SampleDateTime)::INT AS period_month, avg({_V}) AS value_mean, stddev_samp({_V}) AS value_std, min({_V}) AS value_min,
-    max({_V}) AS value_max, count({_V}) AS sample_count FROM obs WHERE {_V} IS NOT NULL GROUP BY 1,2,3,4""",
+    _MONTHLY_SQL,
     "value_mean value_std",
 )
 def _(spark, sf):
@@ -129,6 +151,29 @@ def _(spark, sf):
     return spark.read.schema(made.schema).parquet(path)
 
 
+_STATE_COLS = ("StationNumber", "VmvCode", "VariableName", "SampleDateTime", "UnitCode", "arrival_block", _V)
+
+
+def _refreshed(spark, sf):
+    """Two batches: the second brings every other block of the rows since 1997, so older months are left as they are."""
+    rows = obs(spark, sf, *_STATE_COLS)
+    late = F.expr("year(SampleDateTime) >= 1997 AND arrival_block % 2 = 1")
+    path = staging.scratch_dir(spark, "states")
+    refresh.refresh(path, rows.where(~late), 1)
+    refresh.refresh(path, rows.where(late), 2)
+    return refresh.stored(spark, path)
+
+
+@query("j12_refreshed_monthly_table", _MONTHLY_SQL, "value_mean value_std")
+def _(spark, sf):
+    return refresh.monthly_from(_refreshed(spark, sf))
+
+
+@query("j11_refreshed_overview", _OVERVIEW_SQL, "compliance_pct")
+def _(spark, sf):
+    return refresh.overview_from(_stations(spark, sf), _refreshed(spark, sf))
+
+
 _SYN = ["StationNumber", "VmvCode", "UnitCode", "MeasurementFlag", "MethodDetectionLimit", _V]
 
 

@@ -49,20 +49,28 @@ def contained(docs, items, width=5, least=0.8, id_col="doc_id", text_col="text")
     """(doc_id, item_id, n_shingles, n_found, containment): the pairs with containment of ``least`` or more.
 
     containment: the share of the item's distinct shingles found in the document. Items and documents without words (null,
-    empty, signs only) match nothing; an item of fewer than ``width`` words matches only texts of the same words. Repeated
+    empty, signs only) match nothing. An item of fewer than ``width`` words is one shingle of its own length and is found wherever its
+    words follow each other; documents get runs of such a length only if an item has it. Repeated
     rows give one pair. Several texts under one id count each. Other columns stay out. Empty tables: no rows.
     """
     items = stage(item_sketches(items, width, least), "items")
     sketch = small_side(stage(items.select("item_id", "item", F.explode("sketch").alias("h")), "sketches"))
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    few = items.where("n = 1").select((F.size(F.split(F.get("texts", F.lit(0)), " "))).alias("words")).where(F.col("words") < width).distinct()
+    widths = [width, *sorted(r.words for r in few.collect())]  # at most ``width`` numbers
+
+    def of_all_widths(make, words):
+        return F.flatten(F.array(*[make(words, w) for w in widths]))
+
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
     # the words' hashes are a column of their own: an expression inside the lambda would be computed for each shingle
-    seen = own.select("doc_id", F.xxhash64("text").alias("row"), F.transform(words_in(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
-    seen = seen.select("doc_id", "row", F.explode(shingle_hashes(F.col("hashes"), width)).alias("h"))
+    seen = own.select("doc_id", "row", F.transform(words_in(F.col("text")), lambda w: F.xxhash64(w)).alias("hashes"))
+    seen = seen.select("doc_id", "row", F.explode(of_all_widths(shingle_hashes, F.col("hashes"))).alias("h"))
     found = stage(seen.join(sketch, "h").select("doc_id", "row", "item_id", "item").distinct(), "found")
-    pairs = found.join(small_side(items.drop("sketch", "class")), (found.item_id.eqNullSafe(items.item_id)) & (found.item == items.item)).select(found.doc_id, found.row, found.item_id, "texts", "n")
-    texts = own.withColumn("row", F.xxhash64("text")).withColumnRenamed("doc_id", "own_id")
-    met = pairs.join(texts, (pairs.row == texts.row) & pairs.doc_id.eqNullSafe(texts.own_id))
-    met = met.select("doc_id", "item_id", "n", "texts", words_in(F.col("text")).alias("words")).withColumn("own", shingle_texts(F.col("words"), width))
+    # texts meet the written candidates first: the planner knows their size, and below its limit no text is shuffled
+    met = own.withColumnsRenamed({"doc_id": "own_id", "row": "own_row"}).join(found, (F.col("own_row") == F.col("row")) & F.col("own_id").eqNullSafe(F.col("doc_id")))
+    met = met.select("doc_id", F.col("item_id").alias("met_id"), F.col("item").alias("met_item"), "text")
+    met = met.join(items.select("item_id", "item", "texts", "n"), F.col("met_id").eqNullSafe(F.col("item_id")) & (F.col("met_item") == F.col("item")))
+    met = met.select("doc_id", "item_id", "n", "texts", words_in(F.col("text")).alias("words")).withColumn("own", of_all_widths(shingle_texts, F.col("words")))
     met = met.withColumn("n_found", F.size(F.array_intersect("texts", "own")))
     out = met.select("doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), F.col("n_found").cast("long").alias("n_found"), (F.col("n_found") / F.col("n")).alias("containment"))
     # written first: a filter pushed below the projections would compute the words anew for each shingle
@@ -86,9 +94,14 @@ WITH listed AS (
 ), runs AS (
   SELECT kind, id, n, pos, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS x
   FROM words WINDOW o AS (PARTITION BY kind, id ORDER BY pos)
+), short AS (
+  SELECT id, s.n, CASE s.n WHEN 1 THEN w WHEN 2 THEN w || ' ' || lead(w, 1) OVER o WHEN 3 THEN w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o
+    ELSE w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o END AS x
+  FROM words, (SELECT DISTINCT n FROM words WHERE kind = 'item' AND n < 5) s WHERE kind = 'doc' WINDOW o AS (PARTITION BY id, s.n ORDER BY pos)
 ), shingles AS (
-  SELECT DISTINCT kind, id, x FROM runs WHERE x IS NOT NULL
-  UNION ALL SELECT kind, id, string_agg(w, ' ' ORDER BY pos) FROM words WHERE n < 5 GROUP BY ALL
+  SELECT kind, id, x FROM runs WHERE x IS NOT NULL
+  UNION SELECT kind, id, string_agg(w, ' ' ORDER BY pos) FROM words WHERE n < 5 GROUP BY ALL
+  UNION SELECT 'doc', id, x FROM short WHERE x IS NOT NULL
 ), sizes AS (
   SELECT id, count(*) AS n FROM shingles WHERE kind = 'item' GROUP BY id
 ), pairs AS (

@@ -13,12 +13,13 @@ def runs(text, width):
 
 
 def brute(docs, items):
-    out = set()
+    out, own, docs = set(), {}, list(docs)
     for j, u in items:
         q = runs(u, 5)
         width = min(5, max((len(x.split()) for x in q), default=5))
-        for i, t in docs:
-            s = runs(t, width)
+        if width not in own:
+            own[width] = [(i, runs(t, width)) for i, t in docs]
+        for i, s in own[width]:
             if q and len(q & s) / len(q) >= 0.8:
                 out.add((i, j, len(q), len(q & s), len(q & s) / len(q)))
     return out

@@ -4,6 +4,8 @@ Neighbours of a station are all other stations in its own cell and in the eight
 neighbours follow from cell totals, so no pair of stations is ever formed.
 """
 
+import math
+
 from pyspark.sql import functions as F
 
 from hydroq.functions.values import col
@@ -59,3 +61,26 @@ def local_morans(points, value, key="StationNumber", size=1.0):
         F.when(lag.isNull(), "isolated").when((z >= 0) & (lag >= 0), "high-high").when((z < 0) & (lag < 0), "low-low").when(z >= 0, "high-low").otherwise("low-high")
     )
     return lagged.select(key, "neighbours", F.try_divide(z * lag, m2).alias("local_i"), quadrant.alias("quadrant"))
+
+
+def density_surface(df, keys=(), weight=None, size=0.25, reach=3, sigma=1.5, tile=64):
+    """(keys, tile_row, tile_col, cell_row, cell_col, density): a Gaussian surface over grid cells, as heat maps show it.
+
+    Rows count by ``weight`` (1 without one) in their cell of ``size`` degrees; each cell then spreads over ``reach`` cells on every side with
+    a Gaussian of ``sigma`` cells, cut there and scaled so that the surface sums to the weights. The Gaussian is taken along rows, then along
+    columns, so an occupied cell fans out 2 * reach + 1 times twice, whatever the number of rows in it. Tiles of ``tile`` cells are for
+    reading a part of the map. Rows without coordinates or weight are left out; null keys are a surface of their own.
+    """
+    keys = list(keys)
+    amount = F.lit(1.0) if weight is None else col(weight).cast("double")
+    rows = _cells(df, size).withColumn("_amount", amount).dropna(subset=["_cx", "_cy", "_amount"])
+    cells = rows.groupBy(*keys, "_cx", "_cy").agg(F.sum("_amount").alias("_amount"))
+    bells = [math.exp(-d * d / (2.0 * sigma * sigma)) for d in range(-reach, reach + 1)]
+    steps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(g / sum(bells)).alias("g")) for d, g in zip(range(-reach, reach + 1), bells)])
+
+    def along(frame, axis, other):
+        spread = frame.select("*", F.explode(steps).alias("_s")).select(*keys, (F.col(axis) + F.col("_s.d")).alias(axis), other, (F.col("_amount") * F.col("_s.g")).alias("_amount"))
+        return spread.groupBy(*keys, axis, other).agg(F.sum("_amount").alias("_amount"))
+
+    smooth = along(along(cells, "_cx", "_cy"), "_cy", "_cx")
+    return smooth.select(*keys, F.floor(F.col("_cx") / tile).alias("tile_row"), F.floor(F.col("_cy") / tile).alias("tile_col"), F.col("_cx").alias("cell_row"), F.col("_cy").alias("cell_col"), F.col("_amount").alias("density"))

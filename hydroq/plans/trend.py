@@ -273,6 +273,22 @@ def _(spark, sf):
     return spatial.local_morans(_points(spark, sf), "quality", size=0.1)
 
 
+_BELL = "exp(-{0} * {0} / 4.5)"  # 1.5 cells
+
+
+@query(
+    "j31_density_surface",
+    f"""WITH c AS (SELECT ContinentalRiverBasinCode, floor(LatitudeDecimalDegrees / 0.25)::BIGINT AS a, floor(LongitudeDecimalDegrees / 0.25)::BIGINT AS b, count(*) AS n FROM obs WHERE NOT {_BLANK} GROUP BY ALL),
+    k AS (SELECT i, j, {_BELL.format('i')} * {_BELL.format('j')} / sum({_BELL.format('i')} * {_BELL.format('j')}) OVER () AS g FROM range(-3, 4) x(i), range(-3, 4) y(j)),
+    s AS (SELECT ContinentalRiverBasinCode, a + i AS cell_row, b + j AS cell_col, sum(n * g) AS density FROM c, k GROUP BY ALL)
+    SELECT ContinentalRiverBasinCode, floor(cell_row / 64)::BIGINT AS tile_row, floor(cell_col / 64)::BIGINT AS tile_col, cell_row, cell_col, density FROM s""",
+    "density",
+)
+def _(spark, sf):
+    rows = obs(spark, sf, "ContinentalRiverBasinCode", "LatitudeDecimalDegrees", "LongitudeDecimalDegrees", _Q)
+    return spatial.density_surface(rows.where(F.expr(f"NOT {_BLANK}")), ["ContinentalRiverBasinCode"])
+
+
 _TIER = "CASE WHEN c >= 95 THEN 'Excellent' WHEN c >= 90 THEN 'Good' WHEN c >= 85 THEN 'Fair' ELSE 'Poor' END"
 _USE = "CASE WHEN c >= 95 THEN 'All analyses' WHEN c >= 90 THEN 'Trend analysis' WHEN c >= 85 THEN 'Exploratory' ELSE 'Not recommended' END"
 

@@ -10,9 +10,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hydroq.functions.values import col
+from hydroq.operators import pairs
+from hydroq.sources.staging import stage
 
 _BLOCK = "_block"
 BLOCKS_PER_LOG = 256
+PAIR_ROWS = 65536  # rows of a series whose pairs one task counts at a time
 
 
 def value_block(c):
@@ -42,11 +45,12 @@ def day_block(c):
     return F.unix_date(F.to_date(col(c)))
 
 
-def running_totals(df, keys, order, sums, block):
+def running_totals(df, keys, order, sums, block, equals=False):
     """Add to each row of a frame with unique (keys, order) the totals of all earlier rows.
 
     ``sums`` maps a numeric column to the name of its exclusive running total; ``<name>_all``
-    holds the total of the key. ``block`` is an order-preserving column expression.
+    holds the total of the key. ``block`` is an order-preserving column expression. With ``equals``
+    the order may repeat, and the totals take in the row itself and all rows of its order.
     """
     df, keys_ = _blocked(df, keys, block)
     per_block = df.groupBy(*keys_, _BLOCK).agg(*[F.sum(s).alias(f"_b_{n}") for s, n in sums.items()])
@@ -58,7 +62,8 @@ def running_totals(df, keys, order, sums, block):
         *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums.values()],
         *[F.sum(f"_b_{n}").over(whole).alias(f"{n}_all") for n in sums.values()],
     )
-    inside = Window.partitionBy(*keys_, _BLOCK).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys_, _BLOCK).orderBy(order)
+    inside = inside.rangeBetween(Window.unboundedPreceding, Window.currentRow) if equals else inside.rowsBetween(Window.unboundedPreceding, -1)
     # a merge join shares its partitioning with the window below and may spill on both sides
     joined = df.join(offsets.hint("merge"), [*keys_, _BLOCK])
     for s, n in sums.items():
@@ -166,19 +171,45 @@ def top_k(df, keys, order, k):
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def pair_sign_sum(df, keys, order, value, block):
+def pair_sign_sum(df, keys, order, value, block, size=PAIR_ROWS):
     """Sum of sign(later value - earlier value) over all row pairs of a series, without making pairs.
 
-    Returns keys, ``n`` and ``s`` for series of two rows or more. Position and size of a series both come from the block
-    totals, so no join on the bare key is needed.
+    Returns keys, ``n`` and ``s`` for series of two rows or more. A series of up to ``size`` rows is counted in one task, side by side
+    with others. A longer one is cut into stretches of ``size`` rows by position and into ranges of about ``size`` rows by value. A pair
+    lies in one stretch, or in one range of different stretches, or differs in both; the last kind needs only the rows per stretch and range.
     """
-    one = df.withColumn("_one", F.lit(1).cast("long"))
-    placed = running_totals(one, list(keys), order, {"_one": "position"}, block).withColumnRenamed("position_all", "n")
-    return long_pair_sign_sum(placed.where("n > 1"), keys, "position", value)
-
-
-def long_pair_sign_sum(df, keys, position, value, size="n"):
-    """The pair sum for series of any length from their positions 0..n-1 and their ``size``.
+    keys_ = list(keys) or ["_whole"]
+    rows = df if keys else df.withColumn("_whole", F.lit(0))
+    rows = rows.dropna(subset=keys_).select(*keys_, F.col(order).alias("_order"), col(value).alias("_v"), block.alias("_day"))
+    # at most one row per ``size`` fact rows
+    long = stage(rows.groupBy(*keys_).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > size).select(*keys_), "long-series")
+    one = F.lit(1)
+    short = rows.join(long, keys_, "left_anti").withColumn("_at", F.row_number().over(Window.partitionBy(*keys_).orderBy("_order")) - 1)
+    out = pairs.group_sums(short, keys_, F.col("_at"), F.col("_v"), one)
+    if not long.isEmpty():
+        out = out.unionByName(_pair_sums_of_long(rows.join(long, keys_), keys_, size))
+    return out.where("n > 1").select(*keys, "n", "s")
+
+
+def _pair_sums_of_long(rows, keys, size):
+    placed = running_totals(rows.withColumn("_one", F.lit(1).cast("long")), keys, "_order", {"_one": "_at"}, F.col("_day"))
+    # staged, as rows of equal order must keep the place they got
+    placed = stage(placed.select(*keys, F.expr(f"_at div {size}").alias("_stretch"), F.expr(f"_at % {size}").alias("_at"), "_v"), "placed")
+    near = pairs.group_sums(placed, [*keys, "_stretch"], F.col("_at"), F.col("_v"), F.lit(1))
+    # equal values share a range, a frequent one takes one cell per stretch
+    cells = placed.groupBy(*keys, "_stretch", "_v").agg(F.count(F.lit(1)).alias("_w"))
+    ranged = running_totals(cells, keys, "_v", {"_w": "_upto"}, value_block("_v"), equals=True)
+    ranged = ranged.select(*keys, "_stretch", "_v", "_w", F.expr(f"(_upto - 1) div {size}").alias("_range"), F.expr(f"(_upto_all - 1) div {size} + 1").alias("_stretches"))
+    alike = pairs.group_sums(ranged, [*keys, "_range"], F.col("_stretch"), F.col("_v"), F.col("_w"))
+    coarse = ranged.groupBy(*keys, "_stretches", "_stretch", "_range").agg(F.sum("_w").alias("_w"))
+    apart = long_pair_sign_sum(coarse, keys, "_stretch", "_range", "_stretches", F.col("_w"))
+    none = F.lit(0).cast("long").alias("n")
+    parts = near.select(*keys, "n", "s").unionByName(alike.select(*keys, none, "s")).unionByName(apart.select(*keys, none, "s"))
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+
+
+def long_pair_sign_sum(df, keys, position, value, size="n", weight=None):
+    """The pair sum for series of any length from their positions 0..n-1 and their ``size``; a row counts ``weight`` times.
 
     Two positions first differ at exactly one binary digit; at that digit's level they sit in the
     left and the right half of one block. So each row enters one block per level, and a block
@@ -189,6 +220,7 @@ def long_pair_sign_sum(df, keys, position, value, size="n"):
         F.col(size).alias("n"),
         F.col(value).alias("_v"),
         F.col(position).alias("_p"),
+        (F.lit(1) if weight is None else weight).cast("long").alias("_c"),
         F.explode(F.sequence(F.lit(0), F.length(F.bin(F.col(size) - 1)) - 1)).alias("_level"),
     )
     block_no = F.expr("shiftright(_p, _level + 1)")
@@ -196,7 +228,7 @@ def long_pair_sign_sum(df, keys, position, value, size="n"):
     cells = (
         levels.withColumns({"_half": block_no, "_right": right})
         .groupBy(*keys, "n", "_level", "_half", "_v")
-        .agg(F.sum(1 - F.col("_right")).alias("_l"), F.sum("_right").alias("_r"))
+        .agg(F.sum(F.col("_c") * (1 - F.col("_right"))).alias("_l"), F.sum(F.col("_c") * F.col("_right")).alias("_r"))
     )
     run = running_totals(cells, [*keys, "n", "_level", "_half"], "_v", {"_l": "_below"}, value_block("_v"))
     above = F.col("_below_all") - F.col("_below") - F.col("_l")

@@ -75,6 +75,30 @@ def test_pair_sum_without_pairs(spark, values):
     assert got[0]["s"] == _pair_sum(np.array(values, dtype=float)) and got[0]["n"] == len(values)
 
 
+@pytest.mark.parametrize("size", [16, 150])
+def test_pair_sums_of_series_cut_into_stretches_and_ranges(skewed, size):
+    """Values with many ties, one of them in a third of the rows: more than a range holds."""
+    frame, rows = skewed
+    frame = frame.assign(v=np.where(frame.t % 3 == 0, 7.0, np.round(frame.v, -1))).dropna()
+    rows = rows.sparkSession.createDataFrame(frame)
+    got = ordered.pair_sign_sum(rows, ["k"], "t", "v", F.floor(F.col("t") / 100), size=size).toPandas().set_index("k")
+    whole = ordered.pair_sign_sum(rows, [], "t", "v", F.floor(F.col("t") / 100), size=size).collect()
+    for k, group in frame.groupby("k"):
+        assert (got.n[k], got.s[k]) == (len(group), _pair_sum(group.sort_values("t").v.to_numpy()))
+    assert [tuple(r) for r in whole] == [(len(frame), _pair_sum(frame.sort_values("t").v.to_numpy()))]
+
+
+def test_long_series_are_not_written_once_a_level(spark, monkeypatch):
+    """What leaves the fact rows is one row per distinct value and stretch, whatever the number of levels."""
+    cells = []
+    monkeypatch.setattr(ordered, "long_pair_sign_sum", lambda df, *a, f=ordered.long_pair_sign_sum, **b: (cells.append(df.count()), f(df, *a, **b))[1])
+    n = 4000
+    rows = spark.range(n).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.expr("(id * 7919) % 4001 * 1.0").cast("double").alias("v"))
+    (got,) = ordered.pair_sign_sum(rows, ["k"], "t", "v", F.floor(F.col("t") / 100), size=500).collect()
+    x = np.arange(n) * 7919 % 4001
+    assert (got.n, got.s) == (n, _pair_sum(x)) and cells and max(cells) <= (n // 500) ** 2
+
+
 def test_value_blocks_keep_order(spark):
     rows = spark.createDataFrame([(v,) for v in [float("-inf"), -1e300, -2.0, -0.0, 0.0, 1e-9, 3.5, 1e300, float("inf")]], "v double")
     blocks = [r[0] for r in rows.select(ordered.value_block("v")).collect()]

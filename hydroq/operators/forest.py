@@ -81,7 +81,8 @@ def forest_steps(numbers, trees=TREES, sample=SAMPLE, seed=SEED):
     The sample is drawn in one pass: the rows with the smallest MD5 of their key, ``trees`` * ``sample`` of them at most. A tree takes the next
     ``sample`` of them in that order, starting again at the end, so that no tree holds a row twice.
     """
-    counts = numbers.groupBy("column").agg(F.count(F.lit(1)).alias("rows"))
+    # staged, so that the planner knows that a row per column is small and leaves the numbers where they are
+    counts = stage(numbers.groupBy("column").agg(F.count(F.lit(1)).alias("rows")), "counts")
     digest = F.md5(F.col("key").cast("string").cast("binary"))
     # twice the rows wanted pass a threshold before the exact ranks are taken, so that tasks send few rows
     share = F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / 16.0 ** 12
@@ -119,7 +120,7 @@ def isolation_outliers(df, columns, key="row_key", contamination=CONTAMINATION,
     scored = stage(isolation_scores(numbers, trees, sample, seed), "scores")
     by_score = scored.groupBy("column", "score").agg(F.sum("n").alias("n"))
     placed = ordered.running_totals(by_score, ["column"], "score", {"n": "before"}, ordered.value_block("score")).withColumnRenamed("before_all", "total")
-    cuts = placed.groupBy("column").agg(*ordered.quantile_columns("score", {"cut": 1.0 - contamination}))
+    cuts = stage(placed.groupBy("column").agg(*ordered.quantile_columns("score", {"cut": 1.0 - contamination})), "cuts")
     judged = scored.where(F.col("rows") > LEAST_ROWS).join(cuts, "column").select("column", "value", "n", "score", (F.col("score") > F.col("cut")).alias("is_outlier"))
     few = scored.where(F.col("rows") <= LEAST_ROWS).select("column", "value", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("i"))
     few = with_outlier_flag(few, ["column"], "value").groupBy("column", "value", "is_outlier").agg(F.count(F.lit(1)).alias("n"))

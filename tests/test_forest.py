@@ -47,6 +47,15 @@ def test_one_value_a_third_of_all_rows_and_an_even_column(make):
     assert [(r.value, r.n, r.is_outlier) for r in got if r.column == "MethodDetectionLimit"] == [(2.0, 300, False)]
 
 
+def test_numbers_are_not_dealt_by_column(make):
+    """A column may hold all rows: neither its numbers nor its scores may meet in one task."""
+    rows = make([{"row_key": k, "MeasurementValueNum": k * 0.5} for k in range(50)])
+    steps = forest.forest_steps(forest.numbers_of(rows, ["MeasurementValueNum"], "row_key"), trees=3, sample=8)
+    found = forest.isolation_outliers(rows, ["MeasurementValueNum"], trees=3, sample=8).where("score is not null")
+    for frame in (steps, found):
+        assert "SortMergeJoin" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
 def test_few_numbers_fall_back_to_quartiles_and_no_rows(make):
     rows = make([{"row_key": k, "MeasurementValueNum": v} for k, v in enumerate([1.0, 1.1, 0.9, 1.0, 1.2, 1.05, 50.0, float("nan"), None])])
     got = {r.value: (r.n, r.score, r.is_outlier) for r in forest.isolation_outliers(rows, ["MeasurementValueNum"]).collect()}

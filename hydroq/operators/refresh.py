@@ -65,10 +65,17 @@ def merged(parts, keys=KEYS):
 
 def stored(spark, path):
     """The states below ``path``; none if nothing was written yet."""
+    return spark.read.schema(STATE).parquet(path) if _exists(spark, path) else spark.createDataFrame([], STATE)
+
+
+def _exists(spark, path):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], STATE)
-    return spark.read.schema(STATE).parquet(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def _write(whole, path):
+    out = whole.hint("rebalance", *[F.col(c) for c in MONTH])  # large months become several files, small ones share a task
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*MONTH).parquet(path)
 
 
 def _same_month(a, b):
@@ -82,6 +89,9 @@ def refresh(path, df, batch, bad_units=("ug/L",)):
     its months are replaced. An empty batch changes nothing.
     """
     spark = df.sparkSession
+    if not _exists(spark, path):  # nothing to merge with: the states of a batch have unique keys
+        _write(states(df, batch, bad_units), path)
+        return stored(spark, path).select(*MONTH).distinct()
     old = stored(spark, path)
     new = stage(states(df, batch, bad_units), "increment")
     touched = new.select(*MONTH).distinct()
@@ -93,8 +103,7 @@ def refresh(path, df, batch, bad_units=("ug/L",)):
     whole = merged(kept.unionByName(fresh)).withColumn("batch", F.lit(batch).cast("long")).to(_schema(spark))
     # written first: the folders it is read from are replaced next
     whole = stage(whole, "refreshed")
-    out = whole.hint("rebalance", *[F.col(c) for c in MONTH])  # large months become several files, small ones share a task
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*MONTH).parquet(path)
+    _write(whole, path)
     return whole.select(*MONTH).distinct()
 
 

@@ -87,3 +87,12 @@ def test_empty_batches(spark, make, stations, tmp_path):
     kept = files(path)
     refresh.refresh(path, nothing, 3)
     assert files(path) == kept
+
+
+def test_the_first_batch_has_nothing_to_merge_with(spark, make, stations, tmp_path, monkeypatch):
+    path = str(tmp_path / "states")
+    with monkeypatch.context() as m:
+        m.setattr(refresh, "merged", lambda *a: pytest.fail("states of one batch are merged"))
+        written = refresh.refresh(path, make(rows_of()), 1)
+        assert written.count() == 7
+    assert state_of(spark, path, stations) == expected(make(rows_of()), stations)

@@ -67,18 +67,34 @@ def rows_after_gap(df, keys=("StationNumber",), days=S.GAP_DAYS):
     return temporal.gaps(df, keys).where(col("gap_days") > days).select(*keys, TS, col("first_key").alias("row_key"), "gap_days")
 
 
-def incomplete_samples(df, limit=50.0):
-    """C1: 100 * rows with a number / (distinct variables + 1) below the limit."""
+def incomplete_samples(df, limit=50.0, carry=()):
+    """C1: 100 * rows with a number / (distinct variables + 1) below the limit; ``carry`` are further aggregates to keep."""
     s = df.where(col("SampleNumber").isNotNull()).groupBy("SampleNumber").agg(
-        F.count(V).alias("numbers"), F.countDistinct("VariableName").alias("variables")
+        F.count(V).alias("numbers"), F.countDistinct("VariableName").alias("variables"), *carry
     )
-    return s.where(100.0 * col("numbers") / (col("variables") + 1) < limit).select("SampleNumber")
+    return s.where(100.0 * col("numbers") / (col("variables") + 1) < limit).drop("numbers", "variables")
 
 
-def sparse_years(df, fewest=3):
-    """C2: station-years with fewer samples."""
+def sparse_years(df, fewest=3, carry=()):
+    """C2: station-years with fewer samples; ``carry`` are further aggregates to keep."""
     years = df.where(col(TS).isNotNull() & col("StationNumber").isNotNull()).groupBy("StationNumber", F.year(TS).alias("Year"))
-    return years.agg(F.countDistinct("SampleNumber").alias("samples")).where(col("samples") < fewest).select("StationNumber", "Year")
+    return years.agg(F.countDistinct("SampleNumber").alias("samples"), *carry).where(col("samples") < fewest).drop("samples")
+
+
+PLACE = ["LatitudeDecimalDegrees", "LongitudeDecimalDegrees"]
+
+
+def _visits(df):
+    """One row per visit, sample and place: whether it has a core variable, its first row key and its rows."""
+    core = F.max(true_or_false(col("VariableName").isin(S.CORE_VARIABLES)).cast("int")).alias("core")
+    rows = df.where(col("StationNumber").isNotNull())
+    return rows.groupBy("StationNumber", TS, "SampleNumber", *PLACE).agg(core, F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("rows"))
+
+
+def _per_station(visits):
+    return visits.groupBy("StationNumber").agg(
+        (F.greatest(*[F.countDistinct(c) for c in PLACE]) > 1).alias("s2"), (F.max("core") == 0).alias("m3"), F.sum("rows").alias("rows")
+    )
 
 
 def station_findings(df):
@@ -87,17 +103,12 @@ def station_findings(df):
     The fact rows are reduced once to a staged table of one row per visit and sample, which the four
     rules read. The lists are bounded by years and by gaps of sixty days.
     """
-    place = ["LatitudeDecimalDegrees", "LongitudeDecimalDegrees"]
-    core = F.max(true_or_false(col("VariableName").isin(S.CORE_VARIABLES)).cast("int")).alias("core")
-    reduced = df.where(col("StationNumber").isNotNull()).groupBy("StationNumber", TS, "SampleNumber", *place).agg(core, F.min("row_key").alias("row_key"))
-    reduced = stage(reduced, "audit-visits")
-    per_station = reduced.groupBy("StationNumber").agg(
-        (F.greatest(*[F.countDistinct(c) for c in place]) > 1).alias("s2"), (F.max("core") == 0).alias("m3")
-    )
+    reduced = stage(_visits(df), "audit-visits")
+    per_station = _per_station(reduced)
     sparse = sparse_years(reduced).groupBy("StationNumber").agg(F.collect_list("Year").alias("c2"))
     late = rows_after_gap(reduced).groupBy("StationNumber").agg(F.collect_list("row_key").alias("t1"))
     all_of = per_station.join(sparse, "StationNumber", "left").join(late, "StationNumber", "left")
-    return all_of.where("s2 or m3 or c2 is not null or t1 is not null")
+    return all_of.where("s2 or m3 or c2 is not null or t1 is not null").drop("rows")
 
 
 def _with_findings(df):
@@ -122,25 +133,33 @@ def _went_back():
 
 
 def _broken():
-    """The conditions of all rules but T2, on rows with findings."""
+    """The conditions of the rules that need findings, on rows with findings."""
     return {
         "S1": col("s1"),
         "S2": col("s2"),
-        "S3": missing_text(),
-        "M1": flag_without_qualifier(),
-        "M2": out_of_range(),
         "M3": col("m3"),
         "T1": F.array_contains("t1", col("row_key")),
-        "T3": cold_summer(),
         "C1": col("c1"),
         "C2": F.array_contains("c2", F.year(TS)),
     }
 
 
+OWN = ("S3", "M1", "M2", "T3")
+
+
+def _own_rules():
+    """The rules that need only the row."""
+    return {"S3": missing_text(), "M1": flag_without_qualifier(), "M2": out_of_range(), "T3": cold_summer()}
+
+
 def with_issues(df):
-    """Rows with ``issues``, the list of rule codes they break."""
-    rows = _with_findings(_in_arrival_order(df))
-    broken = {**_broken(), "T2": _went_back()}
+    """Rows with ``issues``, the list of rule codes they break.
+
+    The rules of the row itself become one number before the rows are dealt out, so the columns behind them need not travel.
+    """
+    own = sum((F.when(true_or_false(rule), F.lit(1 << OWN.index(name))).otherwise(0) for name, rule in _own_rules().items()), F.lit(0))
+    rows = _with_findings(_in_arrival_order(df.withColumn("_own", own)))
+    broken = {**_broken(), "T2": _went_back(), **{name: F.col("_own").bitwiseAND(1 << i) != 0 for i, name in enumerate(OWN)}}
     marks = [F.when(true_or_false(broken[rule]), F.lit(rule)) for rule, _ in S.AUDIT_RULES]
     return rows.withColumn("issues", F.array_compact(F.array(*marks))).select(*df.columns, "issues")
 
@@ -162,10 +181,26 @@ def by_rule(audited):
 
 
 def rule_counts(df):
-    """The counts of ``by_rule`` without audited rows: arrival order is only followed by project, place and time."""
-    late = _in_arrival_order(df.select("row_key", "arrival_block", "ProjectNumber", TS)).agg(F.count_if(true_or_false(_went_back()))).scalar()
-    counts = _with_findings(df).agg(*[F.count_if(true_or_false(broken)).alias(rule) for rule, broken in _broken().items()])
-    return _listed(counts.withColumn("T2", late))
+    """The counts of ``by_rule`` without audited rows: each rule is counted where its groups are, so no findings go back to the rows.
+
+    Arrival order is only followed by project, place and time; rows after a gap are looked up by station and row key alone.
+    """
+    rows = F.sum("rows").alias("rows")
+    staged = stage_all({"codes": codes_with_several_units(df).withColumn("s1", F.lit(True)), "visits": _visits(df)})
+    visits = staged["visits"]
+    gaps = stage(rows_after_gap(visits).select("StationNumber", "row_key").distinct(), "gap-rows")
+    stations = _per_station(visits)
+    own = {"S1": col("s1"), **_own_rules()}
+    counts = df.join(staged["codes"], "VmvCode", "left").agg(*[F.count_if(true_or_false(broken)).alias(rule) for rule, broken in own.items()])
+    sums = {
+        "S2": stations.where("s2").agg(rows),
+        "M3": stations.where("m3").agg(rows),
+        "C1": incomplete_samples(df, carry=[F.count(F.lit(1)).alias("rows")]).agg(rows),
+        "C2": sparse_years(visits, carry=[rows]).agg(rows),
+        "T1": df.select("StationNumber", "row_key").join(gaps, ["StationNumber", "row_key"], "left_semi").agg(F.count(F.lit(1))),
+        "T2": _in_arrival_order(df.select("row_key", "arrival_block", "ProjectNumber", TS)).agg(F.count_if(true_or_false(_went_back()))),
+    }
+    return _listed(counts.withColumns({rule: F.coalesce(frame.scalar(), F.lit(0)) for rule, frame in sums.items()}))
 
 
 def _listed(counts):

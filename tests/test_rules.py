@@ -149,3 +149,32 @@ def test_trend_direction(make):
     t = trend.with_significance(trend.linear_trend(rows)).collect()[0]
     assert t["slope"] == pytest.approx(1.0) and t["direction"] == "increasing" and t["significant"]
     assert trend.linear_trend(rows.limit(9)).count() == 0
+
+
+def test_period_labels_are_made_once_a_group(make):
+    rows = make([{"SampleDateTime": d, "SampleNumber": "a", "MeasurementValueNum": 1.0} for d in ("2020-12-31 05:00:00", "2020-01-01 00:00:00", "2019-12-30 09:00:00", None)])
+    for period in ("daily", "weekly", "monthly", "quarterly", "seasonal", "annual", "event"):
+        got = trend.summarize(rows, ["StationNumber"], period)
+        assert got.columns[:3] == ["StationNumber", "period_start", "period_label"]
+        want = rows.select(L.period_start("SampleDateTime", period).alias("s"), L.period_label("SampleDateTime", period).alias("l")).distinct()
+        assert sorted(map(str, ((r.period_start, r.period_label) for r in got.collect()))) == sorted(map(str, ((r.s, r.l) for r in want.collect())))
+        plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        assert period == "event" or not any("Aggregate [" in line and "period_label" in line for line in plan)
+
+
+def test_audited_rows_do_not_carry_what_the_rules_read(make):
+    """The rules of the row itself are settled before rows are dealt out."""
+    rows = make([{"SampleDateTime": "2020-01-01 00:00:00", "MeasurementFlag": "S"}])
+    plan = audit.overall(audit.with_issues(rows))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    late = [line for line in plan if "Project [" in line and "previous" in line and "AS _own" not in line]
+    assert late and not any("MeasurementQualifier" in line or "VariableName" in line for line in late)
+
+
+def test_rules_are_counted_without_audited_rows(make, monkeypatch):
+    base = {"ProjectNumber": "P", "UnitCode": "u", "LatitudeDecimalDegrees": 1.0, "LongitudeDecimalDegrees": 1.0, "SampleNumber": "a", "MeasurementValueNum": 15.0}
+    rows = make([{**base, "SampleDateTime": f"20{10 + k % 7}-0{1 + k % 9}-01 00:00:00", "LatitudeDecimalDegrees": 1.0 + k // 20, "StationNumber": None if k % 11 == 0 else f"S{k % 3}",
+                  "SampleNumber": None if k % 13 == 0 else f"n{k % 9}", "VmvCode": k % 4, "UnitCode": None if k % 8 == 0 else "u", "VariableName": f"v{k % 5}", "MeasurementValueNum": None if k % 3 else 1.0} for k in range(40)] + [{**base, "row_key": 1}] * 2)
+    want = {r["Rule"]: r["RecordCount"] for r in audit.by_rule(audit.with_issues(rows)).collect()}
+    monkeypatch.setattr(audit, "station_findings", lambda df: pytest.fail("findings go back to the rows"))
+    got = {r["Rule"]: r["RecordCount"] for r in audit.rule_counts(rows).collect()}
+    assert got == want and sum(n > 0 for n in got.values()) >= 6

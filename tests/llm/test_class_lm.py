@@ -155,3 +155,77 @@ def test_marks_hold_every_word_and_few_others(spark):
     assert all(class_lm.marked(marks, w) for w in own)
     assert sum(class_lm.marked(marks, b"x%d" % k) for k in range(5000)) < 25
     assert not any(class_lm.marks_of(spark.createDataFrame([], "word binary")))
+
+
+ODD = [b"", b" A\tb\x0b", b"\n", b"x\xff Y\x00 \xc2\xa0b ", "É é ж, 日本. 😀".encode(), b"\xc3 a\xc3b \xe2\x82 \xc0\xaf 1 . b B b", b"\xc3", b"\xa9x"]
+
+
+def test_texts_become_the_numbers_of_their_words():
+    texts = class_lm.pa.array([b"cut off", *ODD], class_lm.pa.binary()).slice(1)
+    codes, words, size = class_lm.coded(texts)
+    words = words.to_pylist()
+    assert [words[c] for c in codes] == [w for t in ODD for w in class_lm.tokens_of(t)]
+    assert size.tolist() == [len(class_lm.tokens_of(t)) for t in ODD] and len(set(words)) == len(words)
+    for numbers in (codes, codes * 0, codes * 70_000, codes + (1 << 40)):
+        assert class_lm.unpacked(class_lm.packed(numbers), len(numbers)).tolist() == numbers.tolist()
+
+
+def test_spelling_and_marks_of_many_words_equal_those_of_one():
+    words = class_lm.coded(class_lm.pa.array(ODD, class_lm.pa.binary()))[1]
+    marks = np.random.default_rng(5).bytes(class_lm.MARKS // 8)
+    for part in (words, words.slice(2, 5), words.slice(0, 0)):
+        assert class_lm.shapes_of(part).tolist() == [class_lm.shape_of(w) for w in part.to_pylist()]
+        assert class_lm.all_marked(marks, part).tolist() == [bool(class_lm.marked(marks, w)) for w in part.to_pylist()]
+
+
+def test_sums_of_neighbours_cross_batches():
+    """Rows of one word in several batches are one sum, whatever is held of them at once."""
+    pa = class_lm.pa
+    rows = [(b"a", [0, 3]), (b"b", [1, 1, 5]), (b"b", [1]), (b"b", [2, 200]), (b"c", [0])]
+    want = {}
+    for word, cells in rows:
+        want.setdefault(word, np.zeros(210, int))[:] += np.bincount(cells, minlength=210)
+    batch = pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.binary()), pa.array([bytes(c) for _, c in rows], pa.binary())], ["word", "near"])
+    for cut in range(len(rows) + 1):
+        got = [(w, s) for words, sums in class_lm.near_sums([batch.slice(0, cut), batch.slice(cut)], 105) for w, s in zip(words.to_pylist(), sums)]
+        assert [w for w, _ in got] == sorted(want) and all((s == want[w]).all() for w, s in got)
+
+
+def test_no_text_is_written_and_each_is_read_once(spark, docs_of, monkeypatch):
+    """Texts are cut into words in one pass; what is written and dealt are numbers of words."""
+    written, stage = {}, class_lm.stage
+
+    def spy(df, name):
+        assert name not in written
+        written[name] = df.columns
+        return stage(df, name)
+
+    monkeypatch.setattr(class_lm, "stage", spy)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = made()
+    docs = docs_of(rows).select("doc_id", "text")
+    got = class_lm.score_texts(docs.mapInArrow(count, docs.schema), class_words=10, classes=4, head_words=40).collect()
+    assert len(got) == len(rows) == read.value
+    assert not [n for n, columns in written.items() if {"text", "packed"} & set(columns)]
+
+
+def test_rare_words_in_several_blocks(spark, docs_of):
+    """A block's own count of a word stands only if no other block has the word."""
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 == 2][:20]
+    free = [k for k in range(400) if zlib.crc32(str(k).encode()) % 7 != 2][:60]
+    rows = [(k, f"all own{k} twice{j // 2} part{j % 20} part{j % 20}") for j, k in enumerate(free)] + [(k, f"all new{k} twice{j} part{j} own{free[j]} unheard") for j, k in enumerate(held)]
+    frame = docs_of(rows)
+    texts = frame.select("doc_id", class_lm.held_out(frame, 7, 2, "doc_id").alias("held_out"), class_lm.F.col("text").cast("binary").alias("text")).coalesce(1)
+    for head_words in (100, 1):
+        blocks = class_lm.in_text_blocks(texts, most=3)
+        assert blocks.select("block").distinct().count() > 20
+        model, strings, _ = class_lm.fit(blocks, class_words=2, classes=2, head_words=head_words)
+        got = sorted(map(tuple, class_lm.score(strings, model).collect()))
+        for a, b in zip(got, sorted(brute_base(rows)), strict=True):
+            assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 * abs(b[5])

@@ -67,9 +67,18 @@ def rows_after_gap(df, keys=("StationNumber",), days=S.GAP_DAYS):
     return temporal.gaps(df, keys).where(col("gap_days") > days).select(*keys, TS, col("first_key").alias("row_key"), "gap_days")
 
 
-def incomplete_samples(df, limit=50.0, carry=()):
-    """C1: 100 * rows with a number / (distinct variables + 1) below the limit; ``carry`` are further aggregates to keep."""
-    s = df.where(col("SampleNumber").isNotNull()).groupBy("SampleNumber").agg(
+def incomplete_samples(df, limit=50.0, carry=(), counts=None):
+    """C1: 100 * rows with a number / (distinct variables + 1) below the limit; ``carry`` are further aggregates to keep.
+
+    ``counts`` are the same rows reduced to parts of samples, with their rows that have a number (``numbers``) or a variable
+    (``named``). A sample has no more variables than rows that name one, so the others pass without their variables being told apart.
+    """
+    rows = df.where(col("SampleNumber").isNotNull())
+    if counts is not None:
+        most = counts.where(col("SampleNumber").isNotNull()).groupBy("SampleNumber").agg(F.sum("numbers").alias("numbers"), F.sum("named").alias("named"))
+        few = most.where(100.0 * col("numbers") / (col("named") + 1) < limit).select("SampleNumber")
+        rows = rows.join(stage(few, "few-numbers"), "SampleNumber", "left_semi")
+    s = rows.groupBy("SampleNumber").agg(
         F.count(V).alias("numbers"), F.countDistinct("VariableName").alias("variables"), *carry
     )
     return s.where(100.0 * col("numbers") / (col("variables") + 1) < limit).drop("numbers", "variables")
@@ -85,25 +94,26 @@ PLACE = ["LatitudeDecimalDegrees", "LongitudeDecimalDegrees"]
 
 
 def _visits(df):
-    """One row per visit, sample and place: whether it has a core variable, its first row key and its rows."""
+    """One row per visit, sample and place: whether it has a core variable, its first row key, its rows and those with a number or a variable."""
     core = F.max(true_or_false(col("VariableName").isin(S.CORE_VARIABLES)).cast("int")).alias("core")
-    rows = df.where(col("StationNumber").isNotNull())
-    return rows.groupBy("StationNumber", TS, "SampleNumber", *PLACE).agg(core, F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("rows"))
+    return df.groupBy("StationNumber", TS, "SampleNumber", *PLACE).agg(
+        core, F.min("row_key").alias("row_key"), F.count(F.lit(1)).alias("rows"), F.count(V).alias("numbers"), F.count("VariableName").alias("named")
+    )
 
 
 def _per_station(visits):
-    return visits.groupBy("StationNumber").agg(
+    return visits.where(col("StationNumber").isNotNull()).groupBy("StationNumber").agg(
         (F.greatest(*[F.countDistinct(c) for c in PLACE]) > 1).alias("s2"), (F.max("core") == 0).alias("m3"), F.sum("rows").alias("rows")
     )
 
 
-def station_findings(df):
+def station_findings(df, visits=None):
     """All station-level findings in one row per station that has any: S2, M3, C2 years, T1 row keys.
 
-    The fact rows are reduced once to a staged table of one row per visit and sample, which the four
-    rules read. The lists are bounded by years and by gaps of sixty days.
+    The fact rows are reduced once to a staged table of one row per visit and sample (``visits``, if it is there
+    already), which the four rules read. The lists are bounded by years and by gaps of sixty days.
     """
-    reduced = stage(_visits(df), "audit-visits")
+    reduced = stage(_visits(df), "audit-visits") if visits is None else visits
     per_station = _per_station(reduced)
     sparse = sparse_years(reduced).groupBy("StationNumber").agg(F.collect_list("Year").alias("c2"))
     late = rows_after_gap(reduced).groupBy("StationNumber").agg(F.collect_list("row_key").alias("t1"))
@@ -111,20 +121,25 @@ def station_findings(df):
     return all_of.where("s2 or m3 or c2 is not null or t1 is not null").drop("rows")
 
 
+def _codes_and_visits(df):
+    return stage_all({"codes": codes_with_several_units(df).withColumn("s1", F.lit(True)), "visits": _visits(df)})
+
+
 def _with_findings(df):
     """Rows with what their code, sample and station were found to break; the findings are staged, small tables."""
-    staged = stage_all({
-        "codes": codes_with_several_units(df).withColumn("s1", F.lit(True)),
-        "samples": incomplete_samples(df).withColumn("c1", F.lit(True)),
-        "stations": station_findings(df),
+    staged = _codes_and_visits(df)
+    staged |= stage_all({
+        "samples": incomplete_samples(df, counts=staged["visits"]).withColumn("c1", F.lit(True)),
+        "stations": station_findings(df, staged["visits"]),
     })
     codes, samples, found = staged["codes"], staged["samples"], staged["stations"]
     return df.join(codes, "VmvCode", "left").join(samples, "SampleNumber", "left").join(found, "StationNumber", "left")
 
 
-def _in_arrival_order(df):
-    """Rows with the time of the row that arrived before in their project."""
-    return temporal.with_arrival_previous(df.withColumn("_p", F.coalesce("ProjectNumber", F.lit(""))), ["_p"])
+def _in_arrival_order(df, rows=None):
+    """Rows with the time of the row that arrived before in their project; ``rows`` are the same rows before they were widened."""
+    df, rows = (d if d is None else d.withColumn("_p", F.coalesce("ProjectNumber", F.lit(""))) for d in (df, rows))
+    return temporal.with_arrival_previous(df, ["_p"], rows)
 
 
 def _went_back():
@@ -144,23 +159,30 @@ def _broken():
     }
 
 
-OWN = ("S3", "M1", "M2", "T3")
-
-
 def _own_rules():
     """The rules that need only the row."""
     return {"S3": missing_text(), "M1": flag_without_qualifier(), "M2": out_of_range(), "T3": cold_summer()}
 
 
+RULES = [rule for rule, _ in S.AUDIT_RULES]
+
+
+def _bits(broken):
+    """The rules that a row breaks as bits of one number."""
+    return sum((F.when(true_or_false(rule), F.lit(1 << RULES.index(name))).otherwise(0) for name, rule in broken.items()), F.lit(0))
+
+
 def with_issues(df):
     """Rows with ``issues``, the list of rule codes they break.
 
-    The rules of the row itself become one number before the rows are dealt out, so the columns behind them need not travel.
+    The rules of the row itself become one number first, and those that need findings join it where the findings meet the rows. Only
+    then are rows dealt out by project, so neither the columns behind the rules nor the keys of the findings need to travel.
     """
-    own = sum((F.when(true_or_false(rule), F.lit(1 << OWN.index(name))).otherwise(0) for name, rule in _own_rules().items()), F.lit(0))
-    rows = _with_findings(_in_arrival_order(df.withColumn("_own", own)))
-    broken = {**_broken(), "T2": _went_back(), **{name: F.col("_own").bitwiseAND(1 << i) != 0 for i, name in enumerate(OWN)}}
-    marks = [F.when(true_or_false(broken[rule]), F.lit(rule)) for rule, _ in S.AUDIT_RULES]
+    found = _with_findings(df.withColumn("_own", _bits(_own_rules())))
+    told = found.withColumn("_told", col("_own") + _bits(_broken())).select(*df.columns, "_told")
+    rows = _in_arrival_order(told, df)
+    broken = {name: col("_told").bitwiseAND(1 << i) != 0 for i, name in enumerate(RULES)} | {"T2": _went_back()}
+    marks = [F.when(true_or_false(broken[rule]), F.lit(rule)) for rule in RULES]
     return rows.withColumn("issues", F.array_compact(F.array(*marks))).select(*df.columns, "issues")
 
 
@@ -186,7 +208,7 @@ def rule_counts(df):
     Arrival order is only followed by project, place and time; rows after a gap are looked up by station and row key alone.
     """
     rows = F.sum("rows").alias("rows")
-    staged = stage_all({"codes": codes_with_several_units(df).withColumn("s1", F.lit(True)), "visits": _visits(df)})
+    staged = _codes_and_visits(df)
     visits = staged["visits"]
     gaps = stage(rows_after_gap(visits).select("StationNumber", "row_key").distinct(), "gap-rows")
     stations = _per_station(visits)
@@ -195,7 +217,7 @@ def rule_counts(df):
     sums = {
         "S2": stations.where("s2").agg(rows),
         "M3": stations.where("m3").agg(rows),
-        "C1": incomplete_samples(df, carry=[F.count(F.lit(1)).alias("rows")]).agg(rows),
+        "C1": incomplete_samples(df, carry=[F.count(F.lit(1)).alias("rows")], counts=visits).agg(rows),
         "C2": sparse_years(visits, carry=[rows]).agg(rows),
         "T1": df.select("StationNumber", "row_key").join(gaps, ["StationNumber", "row_key"], "left_semi").agg(F.count(F.lit(1))),
         "T2": _in_arrival_order(df.select("row_key", "arrival_block", "ProjectNumber", TS)).agg(F.count_if(true_or_false(_went_back()))),

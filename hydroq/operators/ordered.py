@@ -131,25 +131,38 @@ def with_position(df, keys, order, block, name="position"):
     return running_totals(one, keys, order, {"_one": name}, block).drop("_one", f"{name}_all")
 
 
-def with_previous(df, keys, order, carry, block):
+def with_previous(df, keys, order, carry, block, rows=None):
     """Previous row's values in key order: ``carry`` maps a column to the name of its lagged copy.
 
     (keys, order) must be unique. Inside a block a window looks back one row; the first row of a
     block takes the last row of the block before it, which one summary row per block carries over.
+    ``rows`` are the same rows before they were widened: the summaries then come from an aggregate
+    over them, as a second shuffle of the wide rows would carry other columns and not be reused.
     """
     df, keys_ = _blocked(df, keys, block)
     bundle = F.struct(*[F.col(c).alias(n) for c, n in carry.items()])
     inside = Window.partitionBy(*keys_, _BLOCK).orderBy(order)
     across = Window.partitionBy(*keys_).orderBy(_BLOCK)
-    looked = df.withColumns({"_prev": F.lag(bundle).over(inside), "_next": F.lead(F.lit(1)).over(inside)})
-    # the last row of each block comes out of the same shuffle and sort
-    edges = looked.where(F.col("_next").isNull()).select(*keys_, _BLOCK, F.lag(bundle).over(across).alias("_edge"))
+    looked = df.withColumns({"_prev": F.lag(bundle).over(inside)} | ({"_next": F.lead(F.lit(1)).over(inside)} if rows is None else {}))
+    if rows is None:
+        # the last row of each block comes out of the same shuffle and sort
+        last = looked.where(F.col("_next").isNull()).select(*keys_, _BLOCK, bundle.alias("_last"))
+    else:
+        last = _last_of_blocks(_blocked(rows, keys, block)[0], keys_, order, carry)
+    edges = last.select(*keys_, _BLOCK, F.lag("_last").over(across).alias("_edge"))
     joined = looked.join(edges.hint("merge"), [*keys_, _BLOCK])
     for n in carry.values():
         joined = joined.withColumn(n, F.coalesce(F.col("_prev")[n], F.col("_edge")[n]))
     return joined.drop(_BLOCK, "_all", "_prev", "_next", "_edge")
 
 
+def _last_of_blocks(rows, keys, order, carry):
+    """The carried values of the last row of each block; a null order comes first, so it only counts where there is no other."""
+    last = {n: F.when(F.count(order) > 0, F.max_by(c, order)).otherwise(F.last(c)) for c, n in carry.items()}
+    found = rows.groupBy(*keys, _BLOCK).agg(*[value.alias(n) for n, value in last.items()])
+    return found.select(*keys, _BLOCK, F.struct(*last).alias("_last"))
+
+
 def group_with_first(df, keys, first, counts=None, sums=None, row=False, order="row_key"):
     """One row per key: the first value of each ``first`` column in arrival order, with counts and sums.
 

@@ -67,9 +67,9 @@ def monthly_distribution(df):
     return counts.withColumns({"MonthName": L.lookup("Month", L.MONTH_NAMES), "SharePct": percent("TotalMeasurements", total)})
 
 
-def with_arrival_previous(df, keys):
-    """Each row with the time of the row that arrived before it, per key."""
-    return ordered.with_previous(df, list(keys), "row_key", {TS: "previous"}, col("arrival_block"))
+def with_arrival_previous(df, keys, rows=None):
+    """Each row with the time of the row that arrived before it, per key; ``rows`` as in ``ordered.with_previous``."""
+    return ordered.with_previous(df, list(keys), "row_key", {TS: "previous"}, col("arrival_block"), rows)
 
 
 def time_travel(df, key="StationNumber"):

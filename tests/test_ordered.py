@@ -47,6 +47,18 @@ def test_previous_row_crosses_blocks(skewed):
         assert group.p.isna().iloc[0] and (group.p.iloc[1:] == want.iloc[1:]).all()
 
 
+def test_previous_row_of_widened_rows(spark):
+    """Last rows taken from the narrow rows: the first of a block may lack its place, a null value is carried, a key may be null."""
+    cells = [("a" if i % 7 else None, i // 10, None if i % 10 == 0 else i, None if i % 10 == 9 else float(i)) for i in range(60)] + [("b", b, None, float(b)) for b in range(3)]
+    rows = spark.createDataFrame(cells, "k string, b int, t int, v double")
+    wide = rows.withColumn("more", F.concat("k", F.lit("!")))
+    got = ordered.with_previous(wide, ["k"], "t", {"v": "p"}, F.col("b"), rows)
+    assert sorted(map(str, got.collect())) == sorted(map(str, ordered.with_previous(wide, ["k"], "t", {"v": "p"}, F.col("b")).collect()))
+    assert got.columns == [*wide.columns, "p"]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
 def test_global_previous_and_running_totals(spark):
     rows = spark.range(50).select(F.col("id").alias("t"), F.lit(2).alias("x"))
     got = ordered.running_totals(rows, [], "t", {"x": "sofar"}, F.floor(F.col("t") / 7)).toPandas().sort_values("t")
